@@ -16,11 +16,12 @@ A set whose remaining quotas don't reach H + 1 repeats with another partition,
 and on the last one indexes its empty segments too, so no pair is missed.
 
 Equal sets are one node from the start.  Pairs are verified exactly, on the
-sets of both whole texts.  A bucket first proposes its smallest node to all
-others (a star); components of the verified links are formed; then pairs inside
-a bucket that are still in different components, and those alone, are verified.
-So a large group of near copies costs one check a member and bucket centre, not
-one a pair, and no link between components is lost.
+sets of both whole texts.  A bucket first proposes one node, chosen by a hash
+of node and bucket, to all others (a star); so a node of a large group meets
+other centres in other buckets.  Components of the verified links are formed;
+then pairs inside a bucket that are still in different components, and those
+alone, are verified.  So a large group of near copies costs one check a member
+and bucket centre, not one a pair, and no link between components is lost.
 
 Defined cases: null and empty texts, and texts without words, have the empty
 set and link with nothing; fewer words than a shingle are one shingle; rows
@@ -290,8 +291,9 @@ def linked_documents(docs: DataFrame, shingle: int = 5, num: int = 80, den: int
 
     bucket = Window.partitionBy("sig")
     index = _index(docs, shingle, seed, threshold, edges, bands)
-    index = index.withColumn("c", F.min("sid").over(bucket)).withColumn("z", F.max("sid").over(bucket))
-    index = stored(index.where("c <> z").drop("z").dropDuplicates(["sig", "sid"]), "buckets")
+    centre = F.min(F.struct(F.xxhash64("sid", "sig").alias("_order"), F.col("sid"))).over(bucket)
+    index = index.withColumn("lo", F.min("sid").over(bucket)).withColumn("hi", F.max("sid").over(bucket)).withColumn("c", centre["sid"])
+    index = stored(index.where("lo <> hi").drop("lo", "hi").dropDuplicates(["sig", "sid"]), "buckets")
     nodes = lambda df, a, b: df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
     star = stored(nodes(index.where("c <> sid"), "c", "sid"), "stars")
     links = stored(_verified(star, docs, reps, shingle, seed, threshold), "links")
