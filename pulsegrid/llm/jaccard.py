@@ -22,6 +22,10 @@ other centres in other buckets.  Components of the verified links are formed;
 then pairs inside a bucket that are still in different components, and those
 alone, are verified.  So a large group of near copies costs one check a member
 and bucket centre, not one a pair, and no link between components is lost.
+Before texts are compared, pairs must pass an exact bound: a parity sketch has
+a bit for each of 1,024 parts of the universe, set if the set has an odd number
+of elements there, and two sketches differ in no more bits than the sets in
+elements.
 
 Defined cases: null and empty texts, and texts without words, have the empty
 set and link with nothing; fewer words than a shingle are one shingle; rows
@@ -33,6 +37,7 @@ one; on a collision the work is done again with another seed.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from math import ceil, exp, sqrt
 
 import numpy as np
@@ -47,6 +52,7 @@ BAND_RATIO = 1.35
 ATTEMPTS = 3
 WORD_CACHE = 400_000
 SEEN_SETS = 500_000
+SKETCH_WORDS = 16
 BROADCAST_ROWS = 2_000_000
 #: For the cost model: a check costs as much as so many index rows; two documents share a passage of so many
 #: shingles with this chance.
@@ -185,16 +191,33 @@ def all_signatures(elements: np.ndarray, edges: list[int], bands: list[Band], th
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def sketch(elements: np.ndarray) -> np.ndarray:
+    """Parity of the number of elements in each of 64 * SKETCH_WORDS parts of the universe, as signed 64-bit words."""
+    part = (mixed(elements + _M1) & np.uint64(64 * SKETCH_WORDS - 1)).astype(np.int64)
+    odd = (np.bincount(part, minlength=64 * SKETCH_WORDS) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
 # -- tables -------------------------------------------------------------
 
+PARITY = [f"p{i}" for i in range(SKETCH_WORDS)]
+
+
+def _may_link(threshold: Threshold, a: str, b: str):
+    """Condition on sizes and sketches of two nodes, whose columns begin with ``a`` and ``b``: it never excludes linked sets."""
+    na, nb = F.col(f"{a}n"), F.col(f"{b}n")
+    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(a + p).bitwiseXOR(F.col(b + p))) for p in PARITY])
+    sized = F.lit(threshold.num) * F.greatest(na, nb) <= F.lit(threshold.den) * F.least(na, nb)
+    return sized & (apart * F.lit(threshold.num + threshold.den) <= F.lit(threshold.den - threshold.num) * (na + nb))
+
 
 def _sets(docs: DataFrame, shingle: int, seed: int) -> DataFrame:
-    """(doc_id, n, sid, chk): size and two hashes of the set; sid is null where there is nothing to link."""
+    """(doc_id, n, sid, chk, sketch words): size and two hashes of the set; sid is null where there is nothing to link."""
 
     def run(batches):
         make = Shingler(shingle, seed)
         for b in batches:
-            n, sid, chk = [], [], []
+            n, sid, chk, marks = [], [], [], []
             for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = make(text)
                 n.append(len(s))
@@ -202,18 +225,20 @@ def _sets(docs: DataFrame, shingle: int, seed: int) -> DataFrame:
                 some = len(s) and name is not None
                 sid.append((both & (1 << 64) - 1) - (1 << 63) if some else None)
                 chk.append((both >> 64) - (1 << 63) if some else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(chk, pa.int64())], names=["doc_id", "n", "sid", "chk"])
+                marks.append(sketch(s))
+            words = np.array(marks, np.int64).reshape(-1, SKETCH_WORDS).T
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in (n, sid, chk, *words))], names=["doc_id", "n", "sid", "chk", *PARITY])
 
-    return docs.mapInArrow(run, "doc_id long, n long, sid long, chk long")
+    return docs.mapInArrow(run, "doc_id long, n long, sid long, chk long, " + ", ".join(f"{p} long" for p in PARITY))
 
 
 def _index(docs: DataFrame, shingle: int, seed: int, threshold: Threshold, edges: list[int], bands: list[Band]) -> DataFrame:
-    """(sig, sid, n) rows; a set that a task has seen already is not indexed again."""
+    """(sig, sid) rows; a set that a task has seen already is not indexed again."""
 
     def run(batches):
         make, seen = Shingler(shingle, seed), set()
         for b in batches:
-            keys, sids, sizes = [], [], []
+            keys, sids = [], []
             for text in b.column(0).to_pylist():
                 s = make(text)
                 if not len(s):
@@ -227,11 +252,10 @@ def _index(docs: DataFrame, shingle: int, seed: int, threshold: Threshold, edges
                 if len(k):
                     keys.append(k)
                     sids.append(np.full(len(k), sid, np.int64))
-                    sizes.append(np.full(len(k), len(s), np.int32))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(sids)), pa.array(np.concatenate(sizes))], names=["sig", "sid", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(sids))], names=["sig", "sid"])
 
-    return docs.where("doc_id is not null").select("text").mapInArrow(run, "sig long, sid long, n int")
+    return docs.where("doc_id is not null").select("text").mapInArrow(run, "sig long, sid long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, shingle: int, seed: int, threshold: Threshold) -> DataFrame:
@@ -278,11 +302,12 @@ def linked_documents(docs: DataFrame, shingle: int = 5, num: int = 80, den: int
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     for seed in range(0, 100, 10):
         sets = stored(_sets(docs, shingle, seed), "sets")
-        grouped = sets.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.min("chk").alias("c1"), F.max("chk").alias("c2"))
+        grouped = sets.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.min("chk").alias("c1"), F.max("chk").alias("c2"), *[F.max(p).alias(p) for p in PARITY])
         grouped = stored(grouped, "distinct-sets")
         if not grouped.where("c1 <> c2").limit(1).count():
             break
-    reps = grouped.select("sid", "rep", "n")
+    reps, thin = grouped.select("sid", "rep", "n"), grouped.select("sid", "n", *PARITY)
+    ends = lambda side: thin.select(F.col("sid").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("n", *PARITY)])
     most = reps.agg(F.max("n")).first()[0] or 0
     edges = band_edges(most)
     at = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col("n"))) - 1
@@ -295,16 +320,17 @@ def linked_documents(docs: DataFrame, shingle: int = 5, num: int = 80, den: int
     index = index.withColumn("lo", F.min("sid").over(bucket)).withColumn("hi", F.max("sid").over(bucket)).withColumn("c", centre["sid"])
     index = stored(index.where("lo <> hi").drop("lo", "hi").dropDuplicates(["sig", "sid"]), "buckets")
     nodes = lambda df, a, b: df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
-    star = stored(nodes(index.where("c <> sid"), "c", "sid"), "stars")
+    star = nodes(index.where("c <> sid"), "c", "sid").join(ends("b"), "b").join(ends("a"), "a").where(_may_link(threshold, "a_", "b_"))
+    star = stored(star.select("a", "b"), "stars")
     links = stored(_verified(star, docs, reps, shingle, seed, threshold), "links")
     comp = components(links)
 
-    labelled = index.select("sig", "sid", "n").join(comp, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    labelled = labelled.withColumn("l1", F.min("label").over(bucket)).withColumn("l2", F.max("label").over(bucket)).where("l1 <> l2").select("sig", "sid", "n", "label")
-    left = labelled.select("sig", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    right = labelled.select(F.col("sig"), F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    sized = F.lit(num) * F.greatest("na", "nb") <= F.lit(den) * F.least("na", "nb")
-    across = left.join(right, (left["sig"] == right["sig"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & sized).select("a", "b").distinct()
+    labelled = index.select("sig", "sid").join(comp, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    labelled = labelled.withColumn("l1", F.min("label").over(bucket)).withColumn("l2", F.max("label").over(bucket)).where("l1 <> l2").select("sig", "sid", "label")
+    open_rows = stored(labelled.join(thin, "sid"), "open-buckets")
+    side = lambda x: open_rows.select("sig", F.col("sid").alias(x), F.col("label").alias(f"{x}_label"), *[F.col(c).alias(f"{x}_{c}") for c in ("n", *PARITY)])
+    left, right = side("a"), side("b")
+    across = left.join(right, (left["sig"] == right["sig"]) & (F.col("a") < F.col("b")) & (F.col("a_label") != F.col("b_label")) & _may_link(threshold, "a_", "b_")).select("a", "b").distinct()
     across = stored(across.join(star, ["a", "b"], "left_anti"), "across")
     more = stored(_verified(across, docs, reps, shingle, seed, threshold), "links")
     if more.limit(1).count():
