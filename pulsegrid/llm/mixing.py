@@ -73,17 +73,17 @@ def rake(cells: list[np.ndarray], tokens: np.ndarray, targets: list[np.ndarray],
     return w
 
 
-def rake_table(cells: DataFrame, targets: list[DataFrame], rounds: int = ROUNDS) -> DataFrame:
+def rake_table(cells: DataFrame, targets: list[DataFrame], rounds: int | None = None) -> DataFrame:
     """The same by DataFrame steps; targets[d] is (dim, share).  Adds w, which sums to 1."""
+    rounds = rounds or ROUNDS
     whole = cells.agg(F.sum("tokens")).first()[0] or 1
     w = cells.withColumn("w", F.col("tokens") / F.lit(float(whole)))
-    for i in range(rounds):
+    for _ in range(rounds):
         for dim, want in zip(DIMS, targets, strict=True):
             have = w.groupBy(dim).agg(F.sum("w").alias("_have")).join(want, dim)
             ratio = have.select(dim, F.when(F.col("_have") > 0, F.col("share") / F.col("_have")).otherwise(0.0).alias("_ratio"))
             w = w.join(ratio, dim).withColumn("w", F.col("w") * F.col("_ratio")).drop("_ratio")
-        if i % 3 == 2 or i == rounds - 1:
-            w = w.checkpoint()
+        w = stored(w, "mix-weights")
     return w
 
 
@@ -137,7 +137,8 @@ def _probabilities_table(cells: DataFrame, fraction: float, powers, targets) ->
     w = rake_table(cells, want).withColumn("rate", F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(0.0))
     total, reach = w.agg(F.sum("tokens"), F.sum(F.when(F.col("rate") > 0, F.col("tokens")))).first()
     budget, low, high = min(fraction * (total or 0), reach or 0), 0.0, 4.0 * (total or 1)
-    for _ in range(40):
+    w = stored(w, "mix-weights")
+    for _ in range(24):
         mid = (low + high) / 2
         kept = w.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("rate") * F.lit(mid)))).first()[0] or 0.0
         low, high = (mid, high) if kept < budget else (low, mid)
