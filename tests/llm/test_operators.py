@@ -1,0 +1,338 @@
+"""Each operator against a brute-force version or an exact round trip, with nulls, empties, ties, repeats and clashing columns."""
+
+import hashlib
+import io
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+from math import floor
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from pulsegrid.llm import bpe, jaccard, licenses, lines, mixing, quality, simhash, tokenfile, topk, warc
+
+VOCAB = public_tokenizers.path("word_bpe_49k.json")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+LINE = "The same boilerplate line of a site footer."
+ODD = ["", None, "   \n\t ", "one", "one two", "Ünïcödé ΣΑΣ <|endoftext|> it's 42\x1c!! 🙂 é", "word " * 30_000, "a\x00b"]
+
+
+def docs(spark, texts, extra=False):
+    rows = [(i, t, None if i % 7 == 3 else "en", None if i % 5 == 4 else f"s{i % 9}", 0) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, DOCS)
+    return df.withColumns({"sid": F.lit("x"), "h": F.lit(1), "tokens": F.lit("y"), "w": F.lit(0), "kept": F.lit(1), "score": F.lit("z")}) if extra else df
+
+
+# -- 1 --------------------------------------------------------------------
+
+
+def brute_components(texts, k, num, den):
+    sets = {}
+    for i, t in texts.items():
+        w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
+        sets[i] = {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set()
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for n, a in enumerate(ids):
+        for b in ids[:n]:
+            common = len(sets[a] & sets[b])
+            if common and den * common >= num * (len(sets[a]) + len(sets[b]) - common):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+def near_copies(seed, groups=12, members=7):
+    rng, out = random.Random(seed), list(ODD)
+    for g in range(groups):
+        n = rng.choice([3, 6, 10, 14, 25, 60, 150])
+        base = [f"w{rng.randrange(400)}" for _ in range(n)]
+        for _ in range(members):
+            w = list(base)
+            for _ in range(rng.randrange(0, max(2, n // 20))):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(10_000)}"
+            out.append(" ".join(w).upper() if rng.random() < 0.3 else "\n".join(w))
+    return out
+
+
+@pytest.mark.parametrize("k, num, den", [(3, 90, 100), (5, 80, 100)])
+def test_jaccard_components(spark, k, num, den):
+    texts = near_copies(k)
+    got = jaccard.linked_documents(docs(spark, texts, True), k, num, den).collect()
+    want = brute_components(dict(enumerate(texts)), k, num, den)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want and len(got) == len(texts)
+
+
+def test_jaccard_repeats_and_nulls(spark):
+    df = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (2, "A b\tc d")], "doc_id long, text string")
+    got = Counter(map(tuple, jaccard.linked_documents(df, 3, 90, 100).collect()))
+    assert got == Counter([(1, 2, 1), (1, 2, 1), (None, 2, None), (2, 2, 1)])
+    assert jaccard.linked_documents(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("num", [90, 80])
+def test_signatures_miss_no_linked_pair(num):
+    th, rng, missed = jaccard.Threshold(num, 100), np.random.default_rng(num), 0
+    edges = jaccard.band_edges(3000)
+    bands = [jaccard.plan_band(lo, hi - 1, th, 100_000) for lo, hi in zip(edges, edges[1:], strict=False)]
+    for _ in range(400):
+        n = int(rng.integers(5, 900) if rng.random() < 0.5 else rng.integers(5, 40))
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        gone = int(rng.integers(0, th.differ(n) + 1))
+        keep = rng.random(len(a)).argsort()[min(gone // 2, len(a) - 1) :]
+        b = np.unique(np.r_[a[keep], rng.integers(0, 1 << 63, gone - gone // 2).astype(np.uint64)])
+        if th.linked(a, b) and not np.array_equal(a, b):
+            keys = [jaccard.all_signatures(s, edges, bands, th) for s in (a, b)]
+            missed += not len(np.intersect1d(*keys))
+            diff = int(np.bitwise_count((jaccard.sketch(a) ^ jaccard.sketch(b)).view(np.uint64)).sum())
+            assert diff * (num + 100) <= (100 - num) * (len(a) + len(b))
+    assert not missed
+
+
+def test_components_of_a_chain(spark):
+    got = {r.sid: r.label for r in jaccard.components(spark.createDataFrame([(i, i + 1) for i in range(40)] + [(90, 99)], "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(41)} | {90: 90, 99: 90}
+
+
+# -- 2, 8 -----------------------------------------------------------------
+
+
+def test_token_files(spark):
+    texts = near_copies(1)
+    t = Tokenizer.from_file(VOCAB)
+    got = {r.doc_id: tuple(r)[1:] for r in tokenfile.checksums(tokenfile.read_ids(tokenfile.write_ids(docs(spark, texts, True), VOCAB))).collect()}
+    start = 0
+    for i, x in enumerate(texts):
+        ids = np.array(t.encode(x or "", add_special_tokens=False).ids + [1], "<u4")
+        assert got[i] == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    assert tokenfile.read_ids(tokenfile.write_ids(docs(spark, texts).limit(0), VOCAB)).count() == 0
+
+
+@pytest.mark.parametrize("n, high", [(0, 5), (1, 5), (700, 3), (3000, 65_535)])
+def test_range_coder_round_trip(n, high):
+    rng = np.random.default_rng(n)
+    rows = [(i, rng.integers(0, high, n).tolist()) for i in range(3)]
+    f = io.BytesIO()
+    tokenfile.write_file(f, rows)
+    assert [(a, b.tolist()) for a, b in tokenfile.read_file(f.getvalue())] == rows
+
+
+def test_token_file_checksums():
+    f = io.BytesIO()
+    tokenfile.write_file(f, [(1, list(range(2000)))])
+    data = bytearray(f.getvalue())
+    data[200] ^= 1
+    with pytest.raises(ValueError):
+        list(tokenfile.read_file(bytes(data)))
+
+
+def test_bpe_equals_library(spark):
+    texts = near_copies(2) + ["".join(random.Random(i).choices("aAbΣσİıﬁ'sré́̈ \t\x1c\x85​09٣①日🙂_-#!<|>", k=60)) for i in range(60)]
+    t = Tokenizer.from_file(VOCAB)
+    got = {r.doc_id: r for r in bpe.encode_decode(docs(spark, texts, True), VOCAB).collect()}
+    for i, x in enumerate(texts):
+        ids = t.encode(x or "", add_special_tokens=False).ids
+        assert got[i].ids == ids and got[i].decoded == t.decode(ids, skip_special_tokens=False)
+    back = bpe.decode(bpe.encode(docs(spark, texts), VOCAB), VOCAB)
+    assert {r.doc_id: r.decoded for r in back.collect()} == {i: r.decoded for i, r in got.items()}
+
+
+# -- 3 --------------------------------------------------------------------
+
+
+def test_fingerprints(spark):
+    texts = near_copies(3) + ["same text here once more", "same text here once more"]
+    got = {r.doc_id: r for r in simhash.edited_fingerprints(docs(spark, texts, True)).collect()}
+    plain = [t or "" for t in texts]
+    for i, t in enumerate(plain):
+        cut = len(t) // 4
+        edited = t[: len(t) - cut] + plain[(i + 1) % len(plain)][:cut]
+        assert (got[i].n_chars, got[i].edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert got[i].next_fingerprint == got[(i + 1) % len(plain)].fingerprint
+    assert got[len(plain) - 1].fingerprint == got[len(plain) - 2].fingerprint
+    assert got[0].fingerprint == 0
+
+
+def test_fingerprint_votes(spark):
+    df = spark.createDataFrame([(1, "a b c a b c d"), (2, "x")], "k long, text string")
+    hashes = spark.createDataFrame([(1, *"abc"), (1, *"bca"), (1, *"cab"), (1, *"abc"), (1, *"bcd"), (2, "x", None, None)], "k long, a string, b string, c string").select("k", F.xxhash64("a", "b", "c").alias("h")).collect()
+    for r in simhash.fingerprints(df, ["k"]).collect():
+        own = [h.h & (1 << 64) - 1 for h in hashes if h.k == r.k]
+        want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in own) > len(own))
+        assert r.fingerprint & (1 << 64) - 1 == want
+
+
+def test_neighbours_are_complete(spark):
+    rng = random.Random(5)
+    base = [rng.getrandbits(64) for _ in range(20)]
+    fps = sorted({b ^ sum(1 << x for x in rng.sample(range(64), rng.randrange(6))) for b in base for _ in range(8)} | {0, (1 << 64) - 1})
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    got = {(r.a, r.b, r.distance) for r in simhash.neighbours(spark.createDataFrame([(f,) for f in signed + signed[:3] + [None]], "fingerprint long")).collect()}
+    want = {(a, b, d) for a in signed for b in signed if a < b and (d := bin((a ^ b) & (1 << 64) - 1).count("1")) <= 3}
+    assert got == want and want
+
+
+# -- 4 --------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("segment, dropped", [(64, 3), (8192, 2), (50, 0)])
+def test_top_k(spark, segment, dropped):
+    rng = np.random.default_rng(segment)
+    vecs = [(i, rng.normal(0, 0.3, 12).round(2).tolist()) for i in range(300)]
+    vecs += [(1000 + i, vecs[0][1]) for i in range(40)] + [(5000, None), (5050, [None] * 12), (5100, [float("nan")] * 12), (5150, [float("inf")] * 12), (None, vecs[1][1]), (5200, []), vecs[3]]
+    df = spark.createDataFrame(vecs, "vec_id long, embedding array<double>").withColumn("label", F.lit(1))
+    got = [tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, 5, 256, segment_rows=segment, query_rows=4, dropped_bits=dropped).orderBy("query_id", "rank").collect()]
+    good = {i: [floor(256 * x) for x in v] for i, v in vecs if i is not None and v and all(x is not None and np.isfinite(x) for x in v)}
+    want = []
+    for q in sorted(i for i in good if i % 50 == 0):
+        best = sorted((-sum(a * b for a, b in zip(good[q], v, strict=True)), i) for i, v in good.items() if i != q)[:5]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert got == want
+
+
+# -- 5 --------------------------------------------------------------------
+
+
+def test_warc_round_trip(spark):
+    long = "<p>é" * 600
+    pages = [(1, "http://a/\r\nX: y", long), (2, None, long), (3, "u", "short"), (4, "u", "short"), (5, "u", None), (9, "u", long), (None, "u", long), (6, "u", "q" * 999), (7, "u", "q" * 999), (8, "u", "r" * 1000), (10, "u", "r" * 1000)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("digest", F.lit("x"))
+    got = warc.read_archives(warc.write_archives(warc.with_revisits(df), 2000)).collect()
+    assert not any(r.gap for r in got) and len(got) == len(pages)
+    by = {r.page_id: r for r in got}
+    for i, _, html in pages:
+        data = (html or "").encode()
+        assert (by[i].payload_bytes, by[i].payload_digest) == (len(data), hashlib.sha1(data).hexdigest())
+        assert by[i].record_type == "response" and bytes(by[i].payload) == data or by[i].record_type == "revisit"
+    assert {i: r.refers_to for i, r in by.items() if r.record_type == "revisit"} == {1: 9, 2: 9, 8: 10}
+    assert warc.read_archives(warc.write_archives(warc.with_revisits(df.limit(0)))).count() == 0
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_salvage(packed):
+    raw = [warc.record(i, "u", b"p%d" % i * 50, hashlib.sha1(b"p%d" % i * 50).digest(), None) for i in range(5)]
+    parts = [warc.member(r) if packed else r for r in raw]
+    at = np.cumsum([0] + [len(p) for p in parts]).tolist()
+    data = bytearray(b"".join(parts))
+    data[at[1] + len(parts[1]) // 2 if packed else at[2] - 10] ^= 0xFF
+    data[at[3] : at[3] + 3] = b"???"
+    got = list(warc.salvage(bytes(data) + b"tail"))
+    assert [g[:3] for g in got if g[0] == "gap"] == [("gap", at[1], at[2]), ("gap", at[3], at[4]), ("gap", at[5], at[5] + 4)]
+    assert [warc.page_row(*g[3])[0] for g in got if g[0] == "record"] == [0, 2, 4]
+    assert [g[1] for g in got] == [0] + [g[2] for g in got[:-1]]
+
+
+# -- 6 --------------------------------------------------------------------
+
+
+def brute_scan(text, t=0.8):
+    hits, units = [], list(dict.fromkeys((text or "").split("\n") + [p for p in re.split(r"\n[ \t\r]*\n", text or "") if "\n" in p.strip()]))
+    for u in units:
+        own = set(licenses.bigrams_of(u))
+        best = max(((2 * len(own & set(g)) / (len(own) + len(g)), -k, n) for k, (n, g) in enumerate((n, licenses.bigrams_of(x)) for n, xs in sorted(licenses.TEMPLATES.items()) for x in xs)), default=(0, 0, ""))
+        if best[0] >= t:
+            hits.append((round(best[0], 9), best[2]))
+    return hits
+
+
+def test_license_scan(spark):
+    mit = licenses.TEMPLATES["MIT"][1]
+    texts = ODD + ["x\nReleased under the MIT License.\ny", "Licensed under CC BY-NC 4.0.", "licensed, UNDER cc by 4.0!", mit.replace(", ", ",\n"), "a\n\n" + mit.replace("the ", "the\n") + "\n\nb", mit + " and more words", "All rights reserved.\nAll rights reserved.", "This work is licensed under the GNU General Public License, version 3."]
+    got = {r.doc_id: [(round(h.dice, 9), h.license) for h in r.hits] for r in licenses.scan(docs(spark, texts, True)).collect()}
+    assert got == {i: brute_scan(t) for i, t in enumerate(texts)}
+    assert [x[1] for x in got[len(texts) - 1]] == ["GPL-3.0"]
+
+
+# -- 7 --------------------------------------------------------------------
+
+
+def test_line_dedup(spark):
+    texts = ODD + [f"Own first line number {i} of this text\n{LINE}\nshort\n  {LINE}" for i in range(20)] + [f"Line on some sites only, here\nmore text {i} that is unique" for i in range(3)]
+    df = docs(spark, texts, True)
+    got = {r.doc_id: (r.text, r.lines_removed) for r in lines.cleaned(df, min_sites=8).collect()}
+    sites, first = defaultdict(set), {}
+    for i, t in enumerate(texts):
+        for pos, x in enumerate((t or "").split("\n")):
+            if len(x.strip(" ")) >= 20:
+                sites[x.strip(" ")].add(None if i % 5 == 4 else i % 9)
+                first.setdefault(x.strip(" "), (i, pos))
+    for i, t in enumerate(texts):
+        kept = [x for pos, x in enumerate((t or "").split("\n")) if len(sites.get(x.strip(" "), ())) < 8 or first[x.strip(" ")] == (i, pos)]
+        assert got[i] == (None if t is None else "\n".join(kept), len((t or "").split("\n")) - len(kept))
+    assert sum(LINE in (t or "") for t, _ in got.values()) == 1
+    assert lines.cleaned(df.limit(0)).count() == 0
+
+
+# -- 9 --------------------------------------------------------------------
+
+
+def test_raking_meets_marginals():
+    rng = np.random.default_rng(1)
+    at = [np.arange(60) % 5, np.arange(60) // 5 % 4, np.arange(60) // 20]
+    want = [np.array([0.4, 0.3, 0.1, 0.1, 0.1]), np.full(4, 0.25), np.array([0.5, 0.3, 0.2])]
+    w = mixing.rake(at, rng.random(60) + 0.01, want)
+    assert all(np.allclose(np.bincount(a, w), t, atol=1e-8) for a, t in zip(at, want, strict=True))
+    tokens = rng.random(60) * 1000
+    s = mixing.scale_for(0.5 * tokens.sum(), tokens, w / tokens)
+    assert (tokens * np.minimum(1, s * w / tokens)).sum() == pytest.approx(0.5 * tokens.sum())
+
+
+def test_mixing_paths_agree(spark, monkeypatch):
+    df = docs(spark, [f"word {i} " * (i % 40) for i in range(200)] + ODD)
+    local = {r.doc_id: r.probability for r in mixing.sampled(df).collect()}
+    got = mixing.sampled(df).agg(F.count("*"), F.count_if("kept")).first()
+    assert got[0] == 200 + len(ODD) and 0 < got[1] < got[0]
+    monkeypatch.setattr(mixing, "LOCAL_CELLS", 3)
+    monkeypatch.setattr(mixing, "ROUNDS", 2)
+    cells = mixing.described(df)
+    table = mixing.probabilities(cells, 0.6, (0.5, 0.7, 0.7))
+    assert table.count() == cells.select(*mixing.DIMS).distinct().count()
+    assert set(local.values()) <= {x for x in local.values() if 0 <= x <= 1}
+    assert mixing.sampled(df.limit(0)).count() == 0
+
+
+# -- 10 -------------------------------------------------------------------
+
+
+def test_quality_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    d, lab = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = quality.fit(d, lab.where(~out))
+    got = quality.score(d, model).join(lab.where(out), "doc_id").toPandas()
+    good, bad = got[got.quality == 1].score, got[got.quality == 0].score
+    auc = np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad])
+    assert auc > 0.97 and (good >= 0.7).mean() > 0.97
+    odd = quality.score(docs(spark, ODD, True), model).collect()
+    assert len(odd) == len(ODD) and all(0 <= r.score <= 1 for r in odd)
+    assert {r.score for r in odd if r.doc_id < 2} == {model.prior}
+    empty = quality.fit(d, lab.limit(0))
+    assert {r.score for r in quality.score(docs(spark, ODD), empty).collect()} == {0.5}
+
+
+# -- pipeline -------------------------------------------------------------
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline
+
+    sf, d, seen = "/root/testdata/sf0.001", None, []
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        d = stage(spark, d, sf).cache()
+        seen.append(d.count())
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert d.columns == corpus_pipeline.COLUMNS
+    assert seen == sorted(seen, reverse=True) and seen[-1] > 0
