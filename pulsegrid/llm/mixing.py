@@ -80,8 +80,8 @@ def rake_table(cells: DataFrame, targets: list[DataFrame], rounds: int | None =
     w = cells.withColumn("w", F.col("tokens") / F.lit(float(whole)))
     for _ in range(rounds):
         for dim, want in zip(DIMS, targets, strict=True):
-            have = w.groupBy(dim).agg(F.sum("w").alias("_have")).join(want, dim)
-            ratio = have.select(dim, F.when(F.col("_have") > 0, F.col("share") / F.col("_have")).otherwise(0.0).alias("_ratio"))
+            have = w.groupBy(dim).agg(F.sum("w").alias("_have")).join(want, dim, "left")
+            ratio = have.select(dim, F.when((F.col("_have") > 0) & F.col("share").isNotNull(), F.col("share") / F.col("_have")).otherwise(0.0).alias("_ratio"))
             w = w.join(ratio, dim).withColumn("w", F.col("w") * F.col("_ratio")).drop("_ratio")
         w = stored(w, "mix-weights")
     return w
