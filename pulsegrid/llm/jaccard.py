@@ -25,7 +25,8 @@ and bucket centre, not one a pair, and no link between components is lost.
 Before texts are compared, pairs must pass an exact bound: a parity sketch has
 a bit for each of 1,024 parts of the universe, set if the set has an odd number
 of elements there, and two sketches differ in no more bits than the sets in
-elements.
+elements.  Pairs of larger sets must pass it again with a sketch that has at
+least as many bits as the set has elements.
 
 Defined cases: null and empty texts, and texts without words, have the empty
 set and link with nothing; fewer words than a shingle are one shingle; rows
@@ -191,13 +192,22 @@ def all_signatures(elements: np.ndarray, edges: list[int], bands: list[Band], th
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def sketch(elements: np.ndarray) -> np.ndarray:
-    """Parity of the number of elements in each of 64 * SKETCH_WORDS parts of the universe, as signed 64-bit words."""
-    part = (mixed(elements + _M1) & np.uint64(64 * SKETCH_WORDS - 1)).astype(np.int64)
-    odd = (np.bincount(part, minlength=64 * SKETCH_WORDS) & 1).astype(np.uint8)
+def sketch(elements: np.ndarray, words: int = SKETCH_WORDS) -> np.ndarray:
+    """Parity of the number of elements in each of 64 * words parts of the universe, as signed 64-bit words.
+
+    ``words`` is a power of two; the XOR of the two halves of a sketch is the sketch of half the words.
+    """
+    part = (mixed(elements + _M1) & np.uint64(64 * words - 1)).astype(np.int64)
+    odd = (np.bincount(part, minlength=64 * words) & 1).astype(np.uint8)
     return np.packbits(odd, bitorder="little").view(np.int64)
 
 
+def long_sketch(elements: np.ndarray) -> np.ndarray | None:
+    """A sketch with a bit or more for each element, where the common one has fewer."""
+    n = len(elements)
+    return sketch(elements, 1 << (n - 1).bit_length() - 6) if n > 64 * SKETCH_WORDS else None
+
+
 # -- tables -------------------------------------------------------------
 
 PARITY = [f"p{i}" for i in range(SKETCH_WORDS)]
@@ -208,16 +218,35 @@ def _may_link(threshold: Threshold, a: str, b: str):
     na, nb = F.col(f"{a}n"), F.col(f"{b}n")
     apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(a + p).bitwiseXOR(F.col(b + p))) for p in PARITY])
     sized = F.lit(threshold.num) * F.greatest(na, nb) <= F.lit(threshold.den) * F.least(na, nb)
-    return sized & (apart * F.lit(threshold.num + threshold.den) <= F.lit(threshold.den - threshold.num) * (na + nb))
+    return sized & _near(threshold, apart, na + nb)
+
+
+def _near(threshold: Threshold, apart, elements):
+    """Whether sets of so many elements together can be linked if they differ in ``apart`` elements or more."""
+    return apart * F.lit(threshold.num + threshold.den) <= F.lit(threshold.den - threshold.num) * elements
+
+
+def _refined(pairs: DataFrame, sketches: DataFrame, threshold: Threshold) -> DataFrame:
+    """The (a, b) of ``pairs`` without those of two larger sets whose long sketches exclude a link."""
+    side = lambda x: sketches.select(F.col("sid").alias(x), F.col("n").alias(f"{x}_n"), F.col("long").alias(f"{x}_long"))
+    held = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    words = F.least(F.size("a_long"), F.size("b_long"))
+
+    def folded(x):  # lengths are powers of two; pairs that differ by more than one doubling stay
+        return F.when(F.size(x) == words, F.col(x)).otherwise(F.zip_with(F.slice(x, 1, words), F.slice(x, words + 1, words), lambda p, q: p.bitwiseXOR(q)))
+
+    apart = F.aggregate(F.zip_with(folded("a_long"), folded("b_long"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, c: t + c)
+    unsure = F.col("a_long").isNull() | F.col("b_long").isNull() | (F.greatest(F.size("a_long"), F.size("b_long")) > 2 * words)
+    return held.where(unsure | _near(threshold, apart, F.col("a_n") + F.col("b_n"))).select("a", "b")
 
 
 def _sets(docs: DataFrame, shingle: int, seed: int) -> DataFrame:
-    """(doc_id, n, sid, chk, sketch words): size and two hashes of the set; sid is null where there is nothing to link."""
+    """(doc_id, n, sid, chk, sketch words, long): size and two hashes of the set; sid is null where there is nothing to link."""
 
     def run(batches):
         make = Shingler(shingle, seed)
         for b in batches:
-            n, sid, chk, marks = [], [], [], []
+            n, sid, chk, marks, longs = [], [], [], [], []
             for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = make(text)
                 n.append(len(s))
@@ -226,10 +255,11 @@ def _sets(docs: DataFrame, shingle: int, seed: int) -> DataFrame:
                 sid.append((both & (1 << 64) - 1) - (1 << 63) if some else None)
                 chk.append((both >> 64) - (1 << 63) if some else None)
                 marks.append(sketch(s))
+                longs.append(long_sketch(s) if some else None)
             words = np.array(marks, np.int64).reshape(-1, SKETCH_WORDS).T
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in (n, sid, chk, *words))], names=["doc_id", "n", "sid", "chk", *PARITY])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in (n, sid, chk, *words)), pa.array(longs, pa.list_(pa.int64()))], names=["doc_id", "n", "sid", "chk", *PARITY, "long"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, sid long, chk long, " + ", ".join(f"{p} long" for p in PARITY))
+    return docs.mapInArrow(run, "doc_id long, n long, sid long, chk long, " + ", ".join(f"{p} long" for p in PARITY) + ", long array<long>")
 
 
 def _index(docs: DataFrame, shingle: int, seed: int, threshold: Threshold, edges: list[int], bands: list[Band]) -> DataFrame:
@@ -321,8 +351,9 @@ def linked_documents(docs: DataFrame, shingle: int = 5, num: int = 80, den: int
     index = stored(index.where("lo <> hi").drop("lo", "hi").dropDuplicates(["sig", "sid"]), "buckets")
     nodes = lambda df, a, b: df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
     star = nodes(index.where("c <> sid"), "c", "sid").join(ends("b"), "b").join(ends("a"), "a").where(_may_link(threshold, "a_", "b_"))
+    sketches = stored(sets.where("long is not null").select("sid", "n", "long").dropDuplicates(["sid"]), "long-sketches")
     star = stored(star.select("a", "b"), "stars")
-    links = stored(_verified(star, docs, reps, shingle, seed, threshold), "links")
+    links = stored(_verified(stored(_refined(star, sketches, threshold), "refined"), docs, reps, shingle, seed, threshold), "links")
     comp = components(links)
 
     labelled = index.select("sig", "sid").join(comp, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
@@ -331,7 +362,7 @@ def linked_documents(docs: DataFrame, shingle: int = 5, num: int = 80, den: int
     side = lambda x: open_rows.select("sig", F.col("sid").alias(x), F.col("label").alias(f"{x}_label"), *[F.col(c).alias(f"{x}_{c}") for c in ("n", *PARITY)])
     left, right = side("a"), side("b")
     across = left.join(right, (left["sig"] == right["sig"]) & (F.col("a") < F.col("b")) & (F.col("a_label") != F.col("b_label")) & _may_link(threshold, "a_", "b_")).select("a", "b").distinct()
-    across = stored(across.join(star, ["a", "b"], "left_anti"), "across")
+    across = stored(_refined(stored(across.join(star, ["a", "b"], "left_anti"), "across"), sketches, threshold), "refined")
     more = stored(_verified(across, docs, reps, shingle, seed, threshold), "links")
     if more.limit(1).count():
         comp = components(links.unionByName(more))
