@@ -100,6 +100,20 @@ def test_signatures_miss_no_linked_pair(num):
     assert not missed
 
 
+def test_long_sketches_lose_no_link(spark):
+    rng = np.random.default_rng(5)
+    base, other = rng.integers(0, 1 << 63, 2_400, dtype=np.uint64), rng.integers(0, 1 << 63, 2_000, dtype=np.uint64)
+    sets = {1: base[:1_900], 2: base[:2_200], 3: base[:1_000], 4: base[:1_100], 5: other, 6: np.concatenate([base[:1_000], other[:1_000]])}
+    rows = [(i, len(s), x.tolist()) for i, s in sets.items() if (x := jaccard.long_sketch(s)) is not None]
+    assert [(i, len(x)) for i, _, x in rows] == [(1, 32), (2, 64), (4, 32), (5, 32), (6, 32)]
+    sketches = spark.createDataFrame(rows, "sid long, n long, long array<long>")
+    pairs = spark.createDataFrame([(1, 2), (3, 4), (1, 5), (5, 6), (2, 5)], "a long, b long")
+    threshold = jaccard.Threshold(80, 100)
+    got = {(r.a, r.b) for r in jaccard._refined(pairs, sketches, threshold).collect()}
+    assert threshold.linked(sets[1], sets[2]) and threshold.linked(sets[3], sets[4])
+    assert got == {(1, 2), (3, 4)}
+
+
 def test_components_of_a_chain(spark):
     got = {r.sid: r.label for r in jaccard.components(spark.createDataFrame([(i, i + 1) for i in range(40)] + [(90, 99)], "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {90: 90, 99: 90}
