@@ -103,7 +103,7 @@ def test_signatures_miss_no_linked_pair(num):
 def test_long_sketches_lose_no_link(spark):
     rng = np.random.default_rng(5)
     base, other = rng.integers(0, 1 << 63, 2_400, dtype=np.uint64), rng.integers(0, 1 << 63, 2_000, dtype=np.uint64)
-    sets = {1: base[:1_900], 2: base[:2_200], 3: base[:1_000], 4: base[:1_100], 5: other, 6: np.concatenate([base[:1_000], other[:1_000]])}
+    sets = {i: np.unique(s) for i, s in {1: base[:1_900], 2: base[:2_200], 3: base[:1_000], 4: base[:1_100], 5: other, 6: np.concatenate([base[:1_000], other[:1_000]])}.items()}
     rows = [(i, len(s), x.tolist()) for i, s in sets.items() if (x := jaccard.long_sketch(s)) is not None]
     assert [(i, len(x)) for i, _, x in rows] == [(1, 32), (2, 64), (4, 32), (5, 32), (6, 32)]
     sketches = spark.createDataFrame(rows, "sid long, n long, long array<long>")
