@@ -12,9 +12,16 @@ band from the number of sets of the whole corpus in it: more, smaller segments
 cost fewer index rows but collide more.
 
 Segments too small for their quota match nearly everything and are not indexed.
-A set whose remaining quotas don't reach H + 1 repeats with another partition,
+A set whose remaining quotas don't reach the sum repeats with another partition,
 and on the last one indexes its empty segments too, so no pair is missed.
 
+Each band has more segments than it needs, so linked sets share more than
+``spare`` of its keys.  Once keys that only one set has are gone, each set drops
+its ``spare`` most frequent keys of a band.  The order of keys is the same for
+all sets, so the least frequent key that linked sets share stays in both.  So
+passages that many documents share, which fill whole segments of long ones,
+propose next to no pairs, and how many don't grow with the square of the data.
+
 Equal sets are one node from the start.  Pairs are verified exactly, on the
 sets of both whole texts.  A bucket first proposes one node, chosen by a hash
 of node and bucket, to all others (a star); so a node of a large group meets
@@ -55,9 +62,13 @@ WORD_CACHE = 400_000
 SEEN_SETS = 500_000
 SKETCH_WORDS = 16
 BROADCAST_ROWS = 2_000_000
+#: Spare agreements that each linked pair has beyond the one it needs, as a share of the elements in which it may differ.
+SPARE = 0.25
+#: Low bits of an index key that hold the band.
+BAND_BITS = 6
 #: For the cost model: a check costs as much as so many index rows; two documents share a passage of so many
-#: shingles with this chance.
-CHECK_COST, PASSAGE, PASSAGE_SHARE = 50, 20, 0.01
+#: shingles with this chance, once frequent keys are dropped.
+CHECK_COST, PASSAGE, PASSAGE_SHARE = 50, 20, 0.00005
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -124,20 +135,30 @@ def band_edges(most: int) -> list[int]:
 
 @dataclass(frozen=True)
 class Band:
-    """Segments of a band: the first ``double`` have quota 2, the others quota 1."""
+    """Segments of a band: the first ``double`` have quota 2, the others quota 1; linked sets share over ``spare`` keys."""
 
     low: int
     differ: int
     single: int
     double: int
+    spare: int = 0
+
+    @property
+    def quota(self) -> int:
+        """Quotas that a set must hold: linked sets then agree in segments of at least ``spare + 1`` keys."""
+        return self.differ + 1 + self.spare * (2 if self.double else 1)
 
 
 def plan_band(low: int, high: int, threshold: Threshold, sets: int) -> Band:
     """The cheapest segments for the pairs whose larger set has low..high elements, of which the corpus has ``sets``."""
-    need, best = threshold.differ(high) + 1, None
-    if need <= 1:
+    differ, best = threshold.differ(high), None
+    if not differ:
         return Band(low, 0, 0, 0)  # linked sets are equal
-    for double in range(need // 2 + 1):
+    more = int(differ * SPARE)
+    for double in range((differ + 1) // 2 + more + 1):
+        need = Band(low, differ, 0, double, more).quota
+        if 2 * double > need:
+            break
         single = need - 2 * double
         for _ in range(3):  # spare segments for those too small for their quota
             z = low / (single + double)
@@ -148,7 +169,7 @@ def plan_band(low: int, high: int, threshold: Threshold, sets: int) -> Band:
         rows = single + double * (1 + z)
         clash = CHECK_COST * sets * PASSAGE_SHARE * PASSAGE * exp(-2 * z) * (1 if not double else 1 + z * double / (single + double))
         if best is None or rows + clash < best[0]:
-            best = (rows + clash, Band(low, need - 1, single, double))
+            best = (rows + clash, Band(low, differ, single, double, more))
     return best[1]
 
 
@@ -169,7 +190,7 @@ def signatures(elements: np.ndarray, number: int, band: Band) -> list[np.ndarray
         np.add.at(total, seg, value)
         tag = mixed(place * _GOLD + salt)
         enough = count >= quota
-        full = bool(quota[enough].sum() > band.differ)
+        full = bool(quota[enough].sum() >= band.quota)
         last = attempt == ATTEMPTS - 1 and not full
         out.append(mixed(total[(count > 0) | last] ^ tag[(count > 0) | last]))
         if band.double:
@@ -178,7 +199,8 @@ def signatures(elements: np.ndarray, number: int, band: Band) -> list[np.ndarray
             out.append(mixed((total[s] - value[cut]) ^ tag[s]))
         if full:
             break
-    return out
+    mask = np.uint64((1 << BAND_BITS) - 1)
+    return [keys & ~mask | np.uint64(number) & mask for keys in out]
 
 
 def all_signatures(elements: np.ndarray, edges: list[int], bands: list[Band], threshold: Threshold) -> np.ndarray:
@@ -288,6 +310,22 @@ def _index(docs: DataFrame, shingle: int, seed: int, threshold: Threshold, edges
     return docs.where("doc_id is not null").select("text").mapInArrow(run, "sig long, sid long")
 
 
+def _without_frequent(index: DataFrame, bands: list[Band]) -> DataFrame:
+    """(sig, sid) without the ``spare`` most frequent keys of each set in each band.
+
+    Linked sets share over ``spare`` keys of a band.  All sets order keys alike,
+    by the rows held and the key, so the least frequent shared key stays in both.
+    """
+    place = F.col("sig").bitwiseAND(F.lit((1 << BAND_BITS) - 1))
+    spare = {i % (1 << BAND_BITS): 0 for i in range(len(bands))}
+    for i, b in enumerate(bands):  # sets of bands so far apart that they share a number differ too much in size
+        spare[i % (1 << BAND_BITS)] = b.spare if len(bands) <= 1 << BAND_BITS else 0
+    table = F.array(*[F.lit(spare[i]) for i in sorted(spare)]) if spare else F.array(F.lit(0))
+    frequent = Window.partitionBy("sid", "band").orderBy(F.desc("held"), "sig")
+    ranked = index.withColumn("band", place.cast("int")).withColumn("_at", F.row_number().over(frequent))
+    return ranked.where(F.col("_at") > F.get(table, F.col("band"))).select("sig", "sid")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, shingle: int, seed: int, threshold: Threshold) -> DataFrame:
     """The (a, b) of ``pairs`` that are linked.  Only texts of sets in pairs travel."""
     nodes = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
@@ -346,9 +384,11 @@ def linked_documents(docs: DataFrame, shingle: int = 5, num: int = 80, den: int
 
     bucket = Window.partitionBy("sig")
     index = _index(docs, shingle, seed, threshold, edges, bands)
+    index = index.withColumn("lo", F.min("sid").over(bucket)).withColumn("hi", F.max("sid").over(bucket)).withColumn("held", F.count("*").over(bucket))
+    index = stored(index.where("lo <> hi").drop("lo", "hi").dropDuplicates(["sig", "sid"]), "shared-keys")
     centre = F.min(F.struct(F.xxhash64("sid", "sig").alias("_order"), F.col("sid"))).over(bucket)
-    index = index.withColumn("lo", F.min("sid").over(bucket)).withColumn("hi", F.max("sid").over(bucket)).withColumn("c", centre["sid"])
-    index = stored(index.where("lo <> hi").drop("lo", "hi").dropDuplicates(["sig", "sid"]), "buckets")
+    index = _without_frequent(index, bands).withColumn("lo", F.min("sid").over(bucket)).withColumn("hi", F.max("sid").over(bucket)).withColumn("c", centre["sid"])
+    index = stored(index.where("lo <> hi").drop("lo", "hi"), "buckets")
     nodes = lambda df, a, b: df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
     star = nodes(index.where("c <> sid"), "c", "sid").join(ends("b"), "b").join(ends("a"), "a").where(_may_link(threshold, "a_", "b_"))
     sketches = stored(sets.where("long is not null").select("sid", "n", "long").dropDuplicates(["sid"]), "long-sketches")
