@@ -100,6 +100,34 @@ def test_signatures_miss_no_linked_pair(num):
     assert not missed
 
 
+@pytest.mark.parametrize("num, sets", [(90, 100_000), (80, 100_000), (90, 10**10), (80, 10**10)])
+def test_linked_sets_share_over_spare_keys(spark, num, sets):
+    th, rng, rows, pairs = jaccard.Threshold(num, 100), np.random.default_rng(num), [], []
+    edges = jaccard.band_edges(1500)
+    bands = [jaccard.plan_band(lo, hi - 1, th, sets) for lo, hi in zip(edges, edges[1:], strict=False)]
+    assert sets < 10**10 or any(b.double for b in bands)
+    for i in range(60):
+        n = int(rng.integers(20, 1_200))
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        gone = th.differ(n) - 1
+        b = np.unique(np.r_[a[gone // 2 :], rng.integers(0, 1 << 63, gone - gone // 2).astype(np.uint64)])
+        if not th.linked(a, b):
+            continue
+        keys = [np.unique(jaccard.all_signatures(x, edges, bands, th)) for x in (a, b)]
+        place = int(np.searchsorted(edges, max(len(a), len(b)), side="right")) - 1
+        common = np.intersect1d(*keys)
+        assert (common & np.uint64(63) == place).sum() > bands[place].spare
+        pairs.append((2 * i, 2 * i + 1))
+        shared = set(common.tolist())
+        for sid, own in zip(pairs[-1], keys, strict=True):  # the worst case: what they share is most frequent
+            rows += [(k, sid, 9 if k in shared else 2) for k in own.tolist()]
+    df = spark.createDataFrame([(k - (1 << 64) if k >> 63 else k, s, h) for k, s, h in rows], "sig long, sid long, held long")
+    left = {}
+    for r in jaccard._without_frequent(df, bands).collect():
+        left.setdefault(r.sid, set()).add(r.sig)
+    assert len(pairs) > 20 and all(left[a] & left[b] for a, b in pairs)
+
+
 def test_long_sketches_lose_no_link(spark):
     rng = np.random.default_rng(5)
     base, other = rng.integers(0, 1 << 63, 2_400, dtype=np.uint64), rng.integers(0, 1 << 63, 2_000, dtype=np.uint64)
