@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet file, or a folder of them, as a stream with event time."""
     schema = spark.read.parquet(path).schema
-    folder, _, name = path.rpartition("/")
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", name if name.endswith(".parquet") else "*").option("recursiveFileLookup", True).parquet(folder)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    # a stream reads folders or patterns; a pattern that matches only the file itself leaves the files beside it out
+    one = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(at).isFile()
+    stream = spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]" if one else path)
     return stream.withColumn("at", F.col("ts").cast("timestamp"))
 
 
@@ -31,11 +33,24 @@ def distinct_events(spark: SparkSession, path: str, delay: str = "10 minutes") -
     return event_stream(spark, path).withWatermark("at", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def run_once(stream: DataFrame, name: str, folder: str | None = None) -> DataFrame:
-    """Run a stream over all that is available and read its result table; windows still open are withheld."""
+def run_once(stream: DataFrame, name: str, folder: str | None = None, mode: str = "complete") -> DataFrame:
+    """Run a stream over all that is available and read its result table.
+
+    The mode "complete" is for aggregates and has the windows still open at the
+    end; streams without an aggregate need "append".
+    """
     spark = stream.sparkSession
     base = folder or spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="pulsegrid-")
     base = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    query = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+    writer = stream.writeStream.option("checkpointLocation", f"{base}/state").outputMode(mode).trigger(availableNow=True)
+    if mode == "append":
+        writer.format("parquet").option("path", f"{base}/out").start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{base}/out")
+    written = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out/{number}")
+        written.append(number)
+
+    writer.foreachBatch(write).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/out/{max(written)}") if written else spark.createDataFrame([], stream.schema)
