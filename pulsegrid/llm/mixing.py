@@ -136,13 +136,16 @@ def _probabilities_table(cells: DataFrame, fraction: float, powers, targets) ->
         want.append(raised.select(dim, (F.col("r") / F.lit(whole)).alias("share")))
     w = rake_table(cells, want).withColumn("rate", F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(0.0))
     total, reach = w.agg(F.sum("tokens"), F.sum(F.when(F.col("rate") > 0, F.col("tokens")))).first()
-    budget, low, high = min(fraction * (total or 0), reach or 0), 0.0, 4.0 * (total or 1)
+    budget, scale = min(fraction * (total or 0), reach or 0), 0.0
     w = stored(w, "mix-weights")
-    for _ in range(24):
-        mid = (low + high) / 2
-        kept = w.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("rate") * F.lit(mid)))).first()[0] or 0.0
-        low, high = (mid, high) if kept < budget else (low, mid)
-    return w.select(*DIMS, F.least(F.lit(1.0), F.col("rate") * F.lit(high)).alias("probability"))
+    open_w = F.when(F.col("rate") * F.col("_scale") < 1, F.col("w"))
+    # kept tokens are concave and linear by pieces in the scale: tangents come from below, and each step halves the rest or the slope
+    for _ in range(200):
+        kept, slope = w.withColumn("_scale", F.lit(scale)).agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("rate") * F.col("_scale"))), F.sum(F.when(F.col("rate") > 0, open_w))).first()
+        if not slope or kept >= budget * (1 - 1e-12):
+            break
+        scale += (budget - kept) / slope
+    return w.select(*DIMS, F.least(F.lit(1.0), F.col("rate") * F.lit(scale)).alias("probability"))
 
 
 def draw(id_col: Column, seed: int = 0) -> Column:

@@ -346,6 +346,20 @@ def test_mixing_paths_agree(spark, monkeypatch):
     assert mixing.sampled(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("share, fraction", [(0.001, 0.6), (1e-7, 0.6), (0.001, 1.0), (0.9, 0.2)])
+def test_mixing_hot_source(spark, monkeypatch, share, fraction):
+    rows = [(i, "word " * 20, "en", f"s{i % 5}" if i % 2 else "hot", 0) for i in range(200)]
+    cells = mixing.described(spark.createDataFrame(rows, DOCS))
+    targets = {"source_key": {"hot": share} | {f"s{i}": (1 - share) / 5 for i in range(5)}}
+    at = lambda: {r.source_key: r.probability for r in mixing.probabilities(cells, fraction, (0.5, 0.7, 0.7), targets).collect()}
+    local = at()
+    monkeypatch.setattr(mixing, "LOCAL_CELLS", 3)
+    monkeypatch.setattr(mixing, "ROUNDS", 2)
+    table = at()
+    assert table == pytest.approx(local, rel=1e-9)
+    assert sum(table["hot" if i % 2 == 0 else f"s{i % 5}"] for i in range(200)) == pytest.approx(200 * fraction)
+
+
 # -- 10 -------------------------------------------------------------------
 
 
