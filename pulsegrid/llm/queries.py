@@ -44,6 +44,9 @@ def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = licenses.scan(table(spark, sf_dir, "documents"))
+    # windows add the licences that no line or paragraph has
+    known = F.transform("hits", lambda h: h["license"])
+    got = got.select("doc_id", F.concat("hits", F.filter("windows", lambda w: ~F.array_contains(known, w["license"]))).alias("hits"))
     names = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["license"])))
     best = F.coalesce(F.array_max(F.transform("hits", lambda h: h["dice"])), F.lit(0.0))
     return got.select("doc_id", F.size("hits").cast("long").alias("n_units"), F.array_join(names, ",").alias("licenses"), F.floor(best * 10000 + F.lit(0.5)).cast("long").alias("best_dice_e4"))

@@ -297,6 +297,23 @@ def test_license_scan(spark):
     assert [x[1] for x in got[len(texts) - 1]] == ["GPL-3.0"]
 
 
+def test_license_windows(spark):
+    read = lambda n: (licenses.TEXTS / f"{n}.txt").read_text()
+    names = sorted(f.stem for f in licenses.TEXTS.glob("*.txt"))
+    texts = [f"Some words before.\n{read(n)}\nand after" for n in names]
+    lines_of = [
+        ("Copyright (c) 2020 Jane Doe. All rights reserved.", ["Proprietary"]), ("Licensed under the MIT License.", ["MIT"]), ("    GNU GENERAL PUBLIC LICENSE\n    Version 3, 29 June 2007", ["GPL-3.0"]),
+        ("All of the words in this longer line are licensed under CC BY-NC 4.0. as far as the owner of them knows.", ["CC-BY-NC-4.0"]), ("A text without any license or copyright, all of it in the open.", []),
+        ("a line\nsays licensed under the Apache\nLicense, Version 2.0. and then some more; also, released under the MIT license by us", ["Apache-2.0", "MIT"]),
+    ]
+    df = docs(spark, texts + [t for t, _ in lines_of] + ODD)
+    got = {r.doc_id: [w.license for w in r.windows] for r in licenses.scan(df).collect()}
+    for i, n in enumerate(names):
+        assert n in got[i], n
+    assert [got[len(names) + i] for i in range(len(lines_of))] == [n for _, n in lines_of]
+    assert not any(got[len(names) + len(lines_of) + i] for i in range(len(ODD)))
+
+
 # -- 7 --------------------------------------------------------------------
 
 
