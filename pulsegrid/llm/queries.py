@@ -21,7 +21,7 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = tokenfile.write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), end_id=1)
-    return tokenfile.checksums(tokenfile.read_ids(manifest))
+    return tokenfile.read_checksums(manifest)
 
 
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,3 +41,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def fits(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most ``rows`` rows; reads no more than one row beyond the bound."""
     return df.limit(rows + 1).count() <= rows
+
+
+def planned_bytes(df: DataFrame) -> int:
+    """The planner's estimate of the size of ``df`` (of files, their size), 0 where it has none.  Costs no job; a rough guide only."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 53 else 0

@@ -5,458 +5,544 @@ a CRC-32 of its ids.  In a block the order-2 context (two ids before) and the
 order-1 context (one id before) each predict one id.  Whether the order-2
 prediction holds is coded with a probability mixed, in the logistic domain and
 with weights learned as it goes, from three adaptive predictors: confidence of
-order 2, confidence of order 1 with its agreement, and the order-0 frequency of
-the predicted id.  If it fails the order-1 prediction is tried; if that fails
-too the id itself is coded by adaptive order-0 frequencies, four bits at a
-time.  All arithmetic is in integers, so every machine decodes alike.
+order 2, confidence of order 1, and how often the predicted id has occurred
+(order 0), the first two each with their agreement.  If it fails the order-1
+prediction is tried; if that fails too the id itself is coded by adaptive
+order-0 distributions, four bits at a time.  All arithmetic is in integers, so
+every machine decodes alike.  Ids may have up to 28 bits; larger ones are an
+error.
 
 Blocks are independent, so many blocks are coded in lock step: one NumPy
 operation serves one position of all blocks of a group.
 
 A file holds groups of blocks, then an index of (doc_id, number of ids) with a
 checksum of its own.  Files are in ascending doc_id order inside and among each
-other; the manifest gives the number of the first id of each.
+other; the manifest gives the number of the first id of each.  A task starts
+another file after ``FILE_IDS`` ids, and readers hold one group at a time, so
+memory depends neither on the corpus nor on the number of partitions.
+
+The ids are the library's.  It is asked once for each run without white space
+(see ``Memo``), since runs repeat; tests compare with whole texts over all code
+points.
 
 Defined cases: null and empty texts hold the end id only; rows without an id
-are left out, since files are ordered by id; rows that repeat an id follow one
-another; an empty table gives no file; extra columns are ignored.
+come first; rows that repeat an id follow one another in the order of their
+texts; an empty table gives no file; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import io
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from math import exp, log
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import fresh_path, stored
+from .shared import fresh_path, planned_bytes, stored
 
-MAGIC = b"PGTOKEN1"
-LANES = 512
-BLOCK_IDS = 16_384
-LEAST_BLOCK = 512
-TABLE_BITS = 14
-CACHE_CHUNKS = 250_000
+MAGIC = b"PGTOKEN2"
+#: A group has at most so many blocks of so many ids; its model takes 77 KB a block.
+LANES, BLOCK_IDS, LEAST_BLOCK = 1024, 4096, 512
+GROUP_IDS = LANES * BLOCK_IDS
+#: A file ends with the documents that reach one of these.
+FILE_IDS, FILE_DOCS = 8 * GROUP_IDS, 1 << 20
+#: The memo of runs starts anew beyond so many runs or characters; texts are encoded in lots of about so many characters.
+CACHE_RUNS, CACHE_CHARS, LOT_CHARS = 250_000, 16 << 20, 2 << 20
+#: Bytes of input (as the planner estimates it) a partition.
+PARTITION_BYTES = 32 << 20
 
 # -- model --------------------------------------------------------------
 
+PAIR_BITS, LAST_BITS, OFTEN_BITS, DEEP_BITS = 12, 12, 10, 10
 #: Logistic domain: stretch(p) for 12-bit p, and its inverse for -2047..2047.
-STRETCH = np.array([max(-2047, min(2047, round(256 * log((p + 0.5) / (4095.5 - p))))) for p in range(4096)], np.int64)
-SQUASH = np.array([max(16, min(65520, round(65536 / (1 + exp(-x / 256))))) for x in range(-2047, 2048)], np.int64)
-_TOP, _LOW, _WORD = np.uint64(1 << 48), np.uint64((1 << 32) - 1), np.uint64(48)
-_SCALE = np.uint64(16)
+STRETCH = np.array([max(-2047, min(2047, round(256 * log((p + 0.5) / (4095.5 - p))))) for p in range(4096)], np.int32)
+SQUASH = np.array([max(64, min(65472, round(65536 / (1 + exp(-x / 256))))) for x in range(-2047, 2048)], np.int32)
+#: Distributions of four bits: their whole, and by depth how fast they learn and the least width of a digit.
+WHOLE, RATES, WIDTHS = 1 << 14, (5, 5, 4, 3), (4, 4, 8, 24)
+TARGETS = [np.array([[i * w if i <= d else WHOLE - (16 - i) * w for i in range(17)] for d in range(16)], np.int16) for w in WIDTHS]
+_K1, _K2, _K3 = np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917)
+_S16, _S28, _S32, _LEAST, _LOW = np.uint64(16), np.uint64(28), np.uint64(32), np.uint64(1 << 32), np.uint64((1 << 32) - 1)
 
 
 class _Lanes:
-    """Models and coder states of a group of blocks."""
-
-    def __init__(self, lanes: int):
-        self.row = np.arange(lanes)
-        self.guess2, self.guess1 = np.zeros((lanes, 1 << TABLE_BITS), np.int32), np.zeros((lanes, 1 << TABLE_BITS), np.int32)
-        self.sure2, self.sure1 = np.zeros((lanes, 1 << TABLE_BITS), np.int8), np.zeros((lanes, 1 << TABLE_BITS), np.int8)
-        self.by2, self.by1, self.by0 = (np.full((lanes, n), 1 << 15, np.int64) for n in (16, 16, 16))
-        self.weight = np.full((lanes, 3), 22_000, np.int64)
-        self.second = np.full((lanes, 128), 1 << 15, np.int64)
-        self.nibble = [np.full((lanes, 16**k, 16), 2, np.uint16) for k in range(4)]
-        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
-        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    """Models of a group of blocks, one lane each, and the width of each coder's interval."""
+
+    def __init__(self, n: int, levels: int):
+        self.n, self.levels, self.row = n, levels, np.arange(n)
+        self.pair, self.single = np.zeros(n << PAIR_BITS, np.int32), np.zeros(n << LAST_BITS, np.int32)
+        self.often, self.second = np.zeros(n << OFTEN_BITS, np.uint8), np.full(n * 64, 1 << 14, np.int32)
+        self.odds, self.weight = np.full(n * 48, 1 << 15, np.int32), np.full((3, n), 22_000, np.int32)
+        self.odds_at = self.row * 48 + np.array([[0], [16], [32]])
+        self.bits = [min(4 * k, DEEP_BITS) for k in range(levels)]
+        self.digits = [np.tile((np.arange(17) * (WHOLE // 16)).astype(np.int16), (n << b, 1)) for b in self.bits]
+        self.last, self.before = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
+        self.range = np.full(n, (1 << 48) - 1, np.uint64)
 
     def narrow(self, n: int) -> None:
-        """Keep the first n lanes only: the others have ended."""
-        for k, v in list(vars(self).items()):
-            if isinstance(v, np.ndarray):
-                setattr(self, k, v[:n])
-        self.nibble = [v[:n] for v in self.nibble]
-
-    # coder: an interval [low, low + range); 16 bits leave at a time
-
-    def shift(self):
-        """Yield masks of the lanes that have a word ready, until none has."""
-        while True:
-            ready = (self.low ^ (self.low + self.range)) < _TOP
-            small = ~ready & (self.range <= _LOW)
-            if small.any():
-                self.range = np.where(small, (~self.low + np.uint64(1)) & _LOW, self.range)
-                ready |= small
-            if not ready.any():
-                return
-            yield ready
-            self.low = np.where(ready, self.low << _SCALE, self.low)
-            self.range = np.where(ready, self.range << _SCALE, self.range)
-
-    def take(self, start, size, total, used) -> None:
-        part = self.range // total.astype(np.uint64)
-        self.low = np.where(used, self.low + part * start.astype(np.uint64), self.low)
-        self.range = np.where(used, part * size.astype(np.uint64), self.range)
-
-    # predictions
+        """Go on with the first n lanes only: the others have ended."""
+        self.n, self.row, self.weight, self.odds_at = n, self.row[:n], self.weight[:, :n], self.odds_at[:, :n]
+        self.last, self.before, self.range = self.last[:n], self.before[:n], self.range[:n]
 
     def predict(self) -> None:
-        row = self.row
-        self.at2 = (self.last * 40_503 + self.before * 30_011 >> 3) & ((1 << TABLE_BITS) - 1)
-        self.at1 = (self.last * 40_503 >> 2) & ((1 << TABLE_BITS) - 1)
-        self.g2, self.g1 = self.guess2[row, self.at2], self.guess1[row, self.at1]
-        self.s2, self.s1 = self.sure2[row, self.at2].astype(np.int64), self.sure1[row, self.at1].astype(np.int64)
-        agree = (self.g1 == self.g2).astype(np.int64)
-        often = np.minimum(self.nibble[3][row, self.g2 >> 4, self.g2 & 15].astype(np.int64) >> 4, 15)
-        self.c2, self.c1, self.c0 = self.s2 * 2 + agree, self.s1 * 2 + agree, often
-        self.inputs = STRETCH[np.stack([self.by2[row, self.c2], self.by1[row, self.c1], self.by0[row, self.c0]], 1) >> 4]
-        self.p2 = SQUASH[np.clip((self.inputs * self.weight).sum(1) >> 16, -2047, 2047) + 2047]
-        self.csec = self.s1 * 16 + self.s2 * 2
-        self.p1 = np.clip(self.second[row, self.csec], 32, 65_504)
-
-    def learn(self, ids: np.ndarray) -> None:
-        row, hit2, hit1 = self.row, self.g2 == ids, self.g1 == ids
-        error = (hit2.astype(np.int64) << 16) - self.p2
-        self.weight = np.clip(self.weight + (self.inputs * error[:, None] >> 12), -60_000, 120_000)
-        for t, c in ((self.by2, self.c2), (self.by1, self.c1), (self.by0, self.c0)):
-            old = t[row, c]
-            t[row, c] = old + ((hit2.astype(np.int64) * 65_535 - old) >> 5)
-        tried = row[~hit2 & (self.g1 != self.g2)]
-        if len(tried):
-            c = self.csec[tried]
-            old = self.second[tried, c]
-            self.second[tried, c] = old + ((hit1[tried].astype(np.int64) * 65_535 - old) >> 5)
-        for guess, sure, at, s, hit in ((self.guess2, self.sure2, self.at2, self.s2, hit2), (self.guess1, self.sure1, self.at1, self.s1, hit1)):
-            change = ~hit & (s == 0)
-            guess[row[change], at[change]] = ids[change]
-            sure[row, at] = np.where(hit, np.minimum(s + 1, 7), s >> 1)
-        for k in range(4):
-            upper, digit = ids >> (16 - 4 * k), (ids >> (12 - 4 * k)) & 15
-            new = self.nibble[k][row, upper, digit] + np.uint16(24)
-            self.nibble[k][row, upper, digit] = new
-            if (full := new > 3_000).any():
-                r, u = row[full], upper[full]
-                self.nibble[k][r, u] = (self.nibble[k][r, u] >> 1) + np.uint16(1)
-        self.before, self.last = self.last, ids.astype(np.int64)
-
-
-_BINARY = np.array(1 << 16)
-
-
-def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """Code each block of ids; blocks must be ordered by length, longest first, with ids below 65,536."""
+        """Guesses g2 and g1, and their probabilities p2 and p1 in units of 2^-16; p1 is 0 where the guesses agree."""
+        row, h = self.row, self.last * _K1
+        self.at1 = (row << LAST_BITS) + (h >> np.uint32(32 - LAST_BITS))
+        self.at2 = (row << PAIR_BITS) + ((h ^ self.before * _K2) * _K3 >> np.uint32(32 - PAIR_BITS))
+        e2, e1 = self.pair[self.at2], self.single[self.at1]
+        self.g2, self.g1, self.s2, self.s1 = e2 >> 3, e1 >> 3, e2 & 7, e1 & 7
+        self.other = self.g1 != self.g2
+        self.at0 = (row << OFTEN_BITS) + (self.g2.astype(np.uint32) * _K1 >> np.uint32(32 - OFTEN_BITS))
+        at = self.odds_at.copy()
+        at[0] += (self.s2 << 1) + self.other
+        at[1] += (self.s1 << 1) + self.other
+        at[2] += self.often[self.at0]
+        self.odd, self.p = at, self.odds[at]
+        self.inputs = STRETCH[self.p >> 4]
+        self.p2 = SQUASH.take(((self.inputs * self.weight).sum(0) >> 16) + 2047, mode="clip")
+        self.at3 = (row << 6) + (self.s1 << 3) + self.s2
+        self.q = self.second[self.at3]
+        self.p1 = ((65_536 - self.p2) * (self.q >> 8) >> 8) * self.other
+
+    def learn(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
+        target = hit2.astype(np.int32) * 65_535
+        error = target - self.p2
+        self.weight += self.inputs * error >> 14
+        self.odds[self.odd] = self.p + (target - self.p >> 5)
+        ask = np.flatnonzero(~hit2 & self.other)
+        q = self.q[ask]
+        self.second[self.at3[ask]] = q + (hit1[ask] * 59_392 + 2_048 - q >> 5)
+        new = ids << 3
+        for table, at, guess, sure in ((self.pair, self.at2, self.g2, self.s2), (self.single, self.at1, self.g1, self.s1)):
+            kept = (guess << 3) + np.where(guess == ids, np.minimum(sure + 1, 7), sure >> 1)
+            table[at] = np.where((sure == 0) & (guess != ids), new, kept)
+        own = ids.astype(np.uint32)
+        at = (self.row << OFTEN_BITS) + (own * _K1 >> np.uint32(32 - OFTEN_BITS))
+        self.often[at] = np.minimum(self.often[at] + np.uint8(1), np.uint8(15))
+        self.before, self.last = self.last, own
+
+    def place(self, level: int, lanes: np.ndarray, upper: np.ndarray) -> np.ndarray:
+        """Where the distribution of the next four bits is, after the bits ``upper``; deep ones share places by a hash."""
+        b = self.bits[level]
+        return (lanes << b) + (upper if 4 * level <= DEEP_BITS else upper.astype(np.uint32) * _K1 >> np.uint32(32 - b))
+
+    def renew(self, level: int, at: np.ndarray, rows: np.ndarray, digit: np.ndarray) -> None:
+        k = min(level, 3)
+        self.digits[level][at] = rows + (TARGETS[k][digit] - rows >> RATES[k])
+
+
+def _levels(ids: np.ndarray) -> int:
+    """How many digits of four bits the ids need: an even number, since two are coded at once."""
+    most = int(ids.max(initial=0))
+    if most >> 28 or int(ids.min(initial=0)) < 0:
+        raise ValueError("ids must be between 0 and 2^28 - 1")
+    return 4 if most < 1 << 16 else 6 if most < 1 << 24 else 8
+
+
+def encode_blocks(blocks: list[np.ndarray], levels: int = 4) -> list[bytes]:
+    """Code each block of ids; blocks must be ordered by length, longest first."""
     if not blocks:
         return []
-    sizes = [len(b) for b in blocks]
-    lanes, most = _Lanes(len(blocks)), sizes[0]
-    ids = np.zeros((most, len(blocks)), np.int64)
+    sizes, n = [len(b) for b in blocks], len(blocks)
+    lanes, most = _Lanes(n, levels), sizes[0]
+    ids = np.zeros((most, n), np.int32)
     for i, b in enumerate(blocks):
         ids[: len(b), i] = b
-    words = np.zeros((len(blocks), most * 3 + 16), np.uint16)
-    count = np.zeros(len(blocks), np.int64)
-
-    def flush():
-        for ready in lanes.shift():
-            r = lanes.row[ready]
-            words[r, count[r]] = (lanes.low[ready] >> _WORD).astype(np.uint16)
-            count[r] += 1
+    # words of 16 bits; a 17th bit is a carry into the word before, which is settled at the end
+    words, count, low = np.zeros((n, most + 512), np.uint32), np.zeros(n, np.int64), np.zeros(n, np.uint64)
+
+    def shift(at: np.ndarray) -> None:
+        at = at[lanes.range[at] < _LEAST]
+        while len(at):
+            rest, c = low[at], count[at]
+            words[at, c] = rest >> _S32
+            count[at] = c + 1
+            low[at] = (rest & _LOW) << _S16
+            wide = lanes.range[at] << _S16
+            lanes.range[at] = wide
+            at = at[wide < _LEAST]
 
-    ends, n = [], len(blocks)
     for t in range(most):
-        while n and sizes[n - 1] <= t:
+        while sizes[n - 1] <= t:
             n -= 1
-            ends.append(int(lanes.low[n]))
-        if n < len(lanes.row):
+        if n < lanes.n:
             lanes.narrow(n)
-        own, row = ids[t, :n], lanes.row
+        if not t % 32 and count.max() + 32 * (levels + 1) + 8 > words.shape[1]:
+            words = np.concatenate([words, np.zeros((len(blocks), most // 2 + 512), np.uint32)], axis=1)
+        own = ids[t, :n]
         lanes.predict()
         hit2 = lanes.g2 == own
-        every = np.ones(n, bool)
-        lanes.take(np.where(hit2, 0, lanes.p2), np.where(hit2, lanes.p2, 65_536 - lanes.p2), _BINARY, every)
-        flush()
-        ask = ~hit2 & (lanes.g1 != lanes.g2)
-        hit1 = lanes.g1 == own
-        if ask.any():
-            lanes.take(np.where(hit1, 0, lanes.p1), np.where(hit1, lanes.p1, 65_536 - lanes.p1), _BINARY, ask)
-            flush()
-        spell = ~hit2 & ~(ask & hit1)
-        if spell.any():
-            for k in range(4):
-                digit = (own >> (12 - 4 * k)) & 15
-                sums = np.cumsum(lanes.nibble[k][row, own >> (16 - 4 * k)], axis=1, dtype=np.int64)
-                end = sums[row, digit]
-                start = np.where(digit > 0, sums[row, digit - 1], 0)
-                lanes.take(start, end - start, sums[:, 15], spell)
-                flush()
-        lanes.learn(own)
-    while n:
-        n -= 1
-        ends.append(int(lanes.low[n]))
-    out = []
-    for i, low in enumerate(reversed(ends)):
-        tail = b"".join(((low >> s) & 0xFFFF).to_bytes(2, "little") for s in (48, 32, 16, 0))
-        out.append(words[i, : count[i]].astype("<u2").tobytes() + tail)
-    return out
-
-
-def decode_blocks(data: list[bytes], sizes: list[int]) -> list[np.ndarray]:
+        hit1 = (lanes.g1 == own) & lanes.other
+        rest = lanes.p2 + lanes.p1
+        part = lanes.range >> _S16
+        low[:n] += part * np.where(hit2, 0, np.where(hit1, lanes.p2, rest)).astype(np.uint64)
+        lanes.range = part * np.where(hit2, lanes.p2, np.where(hit1, lanes.p1, 65_536 - rest)).astype(np.uint64)
+        shift(lanes.row)
+        at = np.flatnonzero(~(hit2 | hit1))
+        if len(at):
+            value, each = own[at], np.arange(len(at))
+            for k in range(0, levels, 2):
+                ends = []
+                for j in (k, k + 1):
+                    digit, place = value >> 4 * (levels - 1 - j) & 15, lanes.place(j, at, value >> 4 * (levels - j))
+                    rows = lanes.digits[j][place]
+                    ends.append((rows[each, digit].astype(np.int64), rows[each, digit + 1].astype(np.int64)))
+                    lanes.renew(j, place, rows, digit)
+                (a, b), (c, d) = ends
+                part = lanes.range[at] >> _S28
+                low[at] += part * ((a << 14) + (b - a) * c).astype(np.uint64)
+                lanes.range[at] = part * ((b - a) * (d - c)).astype(np.uint64)
+                shift(at)
+        lanes.learn(own, hit2, hit1)
+    each = np.arange(len(blocks))
+    if int(count.max()) + 3 > words.shape[1]:
+        words = np.concatenate([words, np.zeros((len(blocks), 8), np.uint32)], axis=1)
+    for i, s in enumerate((_S32, _S16, np.uint64(0))):
+        words[each, count + i] = (low >> s) & (_LOW if i == 0 else np.uint64(0xFFFF))
+    for j in range(int(count.max()) + 2, 0, -1):
+        words[:, j - 1] += words[:, j] >> np.uint32(16)
+    return [(words[i, : c + 3] & np.uint32(0xFFFF)).astype("<u2").tobytes() for i, c in enumerate(count.tolist())]
+
+
+def decode_blocks(data: list[bytes], sizes: list[int], levels: int = 4) -> list[np.ndarray]:
     """The inverse of ``encode_blocks`` for the same order of blocks."""
     if not data:
         return []
-    lanes, most, n = _Lanes(len(data)), sizes[0], len(data)
-    words = np.zeros((len(data), max(map(len, data)) // 2 + 8), np.uint64)
+    n = len(data)
+    lanes, most = _Lanes(n, levels), sizes[0]
+    words = np.zeros((n, max(map(len, data)) // 2 + 16), np.uint16)
     for i, d in enumerate(data):
-        words[i, : len(d) // 2] = np.frombuffer(d, "<u2")
-    code = (words[:, 0] << np.uint64(48)) | (words[:, 1] << np.uint64(32)) | (words[:, 2] << np.uint64(16)) | words[:, 3]
-    at = np.full(len(data), 4)
-    ids = np.zeros((most, len(data)), np.int64)
-
-    def refill():
-        nonlocal code
-        for ready in lanes.shift():
-            r = lanes.row[ready]
-            new = code.copy()
-            new[r] = (code[r] << _SCALE) | words[r, at[r]]
-            at[r] += 1
-            code = new
-
-    def target(total):
-        return np.minimum(((code[: len(lanes.row)] - lanes.low) // (lanes.range // total.astype(np.uint64))).astype(np.int64), total - 1)
+        words[i, : len(d) // 2] = np.frombuffer(d, "<u2", len(d) // 2)
+    wide = lambda col: words[:, col].astype(np.uint64)
+    code, taken = (wide(0) << _S32) | (wide(1) << _S16) | wide(2), np.full(n, 3)
+    ids, end = np.zeros((most, n), np.int32), words.shape[1] - 1
+
+    def shift(at: np.ndarray) -> None:
+        at = at[lanes.range[at] < _LEAST]
+        while len(at):
+            c = taken[at]
+            code[at] = (code[at] << _S16) | words[at, np.minimum(c, end)]
+            taken[at] = c + 1
+            got = lanes.range[at] << _S16
+            lanes.range[at] = got
+            at = at[got < _LEAST]
 
     for t in range(most):
-        while n and sizes[n - 1] <= t:
+        while sizes[n - 1] <= t:
             n -= 1
-        if n < len(lanes.row):
+        if n < lanes.n:
             lanes.narrow(n)
-            code = code[:n]
-        row = lanes.row
+            code, taken = code[:n], taken[:n]
         lanes.predict()
-        hit2 = target(_BINARY) < lanes.p2
-        lanes.take(np.where(hit2, 0, lanes.p2), np.where(hit2, lanes.p2, 65_536 - lanes.p2), _BINARY, np.ones(n, bool))
-        refill()
-        own = np.where(hit2, lanes.g2, 0).astype(np.int64)
-        ask = ~hit2 & (lanes.g1 != lanes.g2)
-        hit1 = np.zeros(n, bool)
-        if ask.any():
-            hit1 = ask & (target(_BINARY) < lanes.p1)
-            lanes.take(np.where(hit1, 0, lanes.p1), np.where(hit1, lanes.p1, 65_536 - lanes.p1), _BINARY, ask)
-            refill()
-            own = np.where(hit1, lanes.g1, own)
-        spell = ~hit2 & ~hit1
-        if spell.any():
-            value = np.zeros(n, np.int64)
-            for k in range(4):
-                sums = np.cumsum(lanes.nibble[k][row, value], axis=1, dtype=np.int64)
-                goal = target(sums[:, 15])
-                digit = np.minimum((sums <= goal[:, None]).sum(1), 15)
-                end = sums[row, digit]
-                start = np.where(digit > 0, sums[row, digit - 1], 0)
-                lanes.take(start, end - start, sums[:, 15], spell)
-                refill()
-                value = np.where(spell, value << 4 | digit, 0)
-            own = np.where(spell, value, own)
+        part = lanes.range >> _S16
+        goal, rest = np.minimum(code // part, np.uint64(65_535)).astype(np.int64), lanes.p2 + lanes.p1
+        hit2 = goal < lanes.p2
+        hit1 = ~hit2 & (goal < rest)
+        code -= part * np.where(hit2, 0, np.where(hit1, lanes.p2, rest)).astype(np.uint64)
+        lanes.range = part * np.where(hit2, lanes.p2, np.where(hit1, lanes.p1, 65_536 - rest)).astype(np.uint64)
+        shift(lanes.row)
+        own = np.where(hit2, lanes.g2, lanes.g1)
+        at = np.flatnonzero(~(hit2 | hit1))
+        if len(at):
+            value, each = np.zeros(len(at), np.int32), np.arange(len(at))
+            for k in range(0, levels, 2):
+                part = lanes.range[at] >> _S28
+                goal = np.minimum(code[at] // part, np.uint64((1 << 28) - 1)).astype(np.int64)
+                start, size = np.zeros(len(at), np.int64), np.ones(len(at), np.int64)
+                for j, bits in ((k, 14), (k + 1, 0)):
+                    place = lanes.place(j, at, value)
+                    rows = lanes.digits[j][place]
+                    digit = (rows[:, 1:16] <= ((goal - start) // size >> bits)[:, None]).sum(1)
+                    a, b = rows[each, digit].astype(np.int64), rows[each, digit + 1].astype(np.int64)
+                    start, size = start + size * (a << bits), size * (b - a)
+                    lanes.renew(j, place, rows, digit)
+                    value = (value << 4 | digit).astype(np.int32)
+                code[at] -= part * start.astype(np.uint64)
+                lanes.range[at] = part * size.astype(np.uint64)
+                shift(at)
+            own[at] = value
         ids[t, :n] = own
-        lanes.learn(own)
-    return [ids[:s, i].astype(np.int32) for i, s in enumerate(sizes)]
+        lanes.learn(own, hit2, hit1)
+    return [ids[:s, i].copy() for i, s in enumerate(sizes)]
 
 
 # -- file ---------------------------------------------------------------
 
 
-def crc(ids: np.ndarray) -> int:
-    return zlib.crc32(ids.astype("<u4").tobytes())
+def crc(ids: np.ndarray, before: int = 0) -> int:
+    return zlib.crc32(ids.astype("<u4").tobytes(), before)
 
 
 def group_bytes(ids: np.ndarray, block_ids: int = BLOCK_IDS) -> bytes:
-    """One group: number of blocks, a (ids, bytes, crc) row for each, then their data."""
-    size = min(block_ids, max(LEAST_BLOCK, -(-len(ids) // LANES)))
+    """One group: numbers of blocks and of digits, a (ids, bytes, crc) row for each block, then their data."""
+    size, levels = min(block_ids, max(LEAST_BLOCK, -(-len(ids) // LANES))), _levels(ids)
     blocks = [ids[i : i + size] for i in range(0, len(ids), size)]
-    data = encode_blocks(blocks)
+    data = encode_blocks(blocks, levels)
     head = np.array([(len(b), len(d), crc(b)) for b, d in zip(blocks, data, strict=True)], "<u4")
-    return len(blocks).to_bytes(4, "little") + head.tobytes() + b"".join(data)
-
-
-def write_file(out, docs: Iterable[tuple[int, list[int]]]) -> tuple[int, int, int]:
-    """Write (doc_id, ids) rows, which must be in order; returns documents, ids, bytes."""
-    names, sizes, held, waiting, at, groups = [], [], [], 0, 8, []
-
-    def close_group():
-        nonlocal waiting, at
-        data = group_bytes(np.array(held, np.int32))
-        out.write(data)
-        groups.append(at)
-        at += len(data)
-        held.clear()
-        waiting = 0
-
-    out.write(MAGIC)
-    for doc_id, ids in docs:
-        names.append(doc_id)
-        sizes.append(len(ids))
-        for i in range(0, len(ids), LANES * BLOCK_IDS):  # a document may go on in the next group
-            room = LANES * BLOCK_IDS - len(held)
-            part = ids[i : i + LANES * BLOCK_IDS]
-            held.extend(part[:room])
-            if len(held) == LANES * BLOCK_IDS:
-                close_group()
-                held.extend(part[room:])
-    if held:
-        close_group()
-    index = np.array(names, "<i8").tobytes() + np.array(sizes, "<i8").tobytes() + np.array(groups, "<i8").tobytes()
-    out.write(index)
-    out.write(np.array([len(names), len(groups), at, zlib.crc32(index)], "<i8").tobytes() + MAGIC)
-    return len(names), sum(sizes), at + len(index) + 40
-
-
-def read_file(data: bytes) -> Iterator[tuple[int, np.ndarray]]:
-    """(doc_id, ids) rows of a file; raises ValueError where a checksum fails."""
-    if data[:8] != MAGIC or data[-8:] != MAGIC:
+    return np.array([len(blocks), levels], "<u4").tobytes() + head.tobytes() + b"".join(data)
+
+
+class Writer:
+    """One file: lots of (doc_ids, ids of each, all their ids) in order.  Holds one group of ids in a typed buffer."""
+
+    def __init__(self, out):
+        self.out, self.at, self.docs, self.ids, self.nulls, self.held = out, len(MAGIC), 0, 0, 0, 0
+        self.names, self.sizes, self.groups = [], [], []
+        self.buffer = np.empty(GROUP_IDS, np.int32)
+        out.write(MAGIC)
+
+    def add(self, names: list[int | None], sizes: np.ndarray, flat: np.ndarray) -> None:
+        self.nulls += names.count(None)
+        self.names.append(np.array([n or 0 for n in names], "<i8"))
+        self.sizes.append(sizes.astype("<i8"))
+        self.docs, self.ids = self.docs + len(names), self.ids + len(flat)
+        while len(flat):
+            part = flat[: GROUP_IDS - self.held]
+            self.buffer[self.held : self.held + len(part)] = part
+            self.held, flat = self.held + len(part), flat[len(part) :]
+            if self.held == GROUP_IDS:
+                self._close_group()
+
+    def _close_group(self) -> None:
+        data = group_bytes(self.buffer[: self.held])
+        self.out.write(data)
+        self.groups.append(self.at)
+        self.at, self.held = self.at + len(data), 0
+
+    def full(self) -> bool:
+        return self.ids >= FILE_IDS or self.docs >= FILE_DOCS
+
+    def close(self) -> int:
+        """Write the index; returns the size of the file."""
+        if self.held:
+            self._close_group()
+        index = b"".join(x.tobytes() for x in (*self.names, *self.sizes, np.array(self.groups, "<i8")))
+        self.out.write(index)
+        foot = np.array([self.docs, self.nulls, len(self.groups), self.at, zlib.crc32(index)], "<i8").tobytes() + MAGIC
+        self.out.write(foot)
+        return self.at + len(index) + len(foot)
+
+
+def read_pieces(f) -> Iterator[tuple[int | None, np.ndarray, bool]]:
+    """(doc_id, some of its ids, whether they are its last) of a seekable file, one group in memory.
+
+    Raises ValueError where a checksum fails.
+    """
+    foot = 40 + len(MAGIC)
+    size = f.seek(0, io.SEEK_END) or f.tell()
+    f.seek(0)
+    head = f.read(len(MAGIC))
+    f.seek(max(0, size - foot))
+    tail = f.read(foot)
+    if size < foot + len(MAGIC) or head != MAGIC or tail[-len(MAGIC) :] != MAGIC:
         raise ValueError("not a token file, or cut off")
-    n, n_groups, at, check = np.frombuffer(data[-40:-8], "<i8").tolist()
-    index = data[at:-40]
+    docs, nulls, n_groups, at, check = np.frombuffer(tail[: -len(MAGIC)], "<i8").tolist()
+    if not 0 <= at <= size - foot:
+        raise ValueError("index place")
+    f.seek(at)
+    index = f.read(size - foot - at)
     if zlib.crc32(index) != check:
         raise ValueError("index checksum")
-    names, sizes, groups = np.split(np.frombuffer(index, "<i8"), [n, 2 * n])
-    groups = [*groups.tolist(), at][: n_groups + 1]
-    pieces, have, k = [], 0, 0
-    for name, size in zip(names.tolist(), sizes.tolist(), strict=True):
-        while have < size:
-            pieces.append(_group(data, groups[k]))
-            have += len(pieces[-1])
-            k += 1
-        flat = pieces[0] if len(pieces) == 1 else np.concatenate(pieces) if pieces else np.zeros(0, np.int32)
-        yield name, flat[:size]
-        pieces, have = [flat[size:]], len(flat) - size
-
-
-def _group(data: bytes, at: int) -> np.ndarray:
-    n = int.from_bytes(data[at : at + 4], "little")
-    head = np.frombuffer(data, "<u4", 3 * n, at + 4).reshape(n, 3)
-    ends = at + 4 + 12 * n + np.cumsum(head[:, 1], dtype=np.int64)
+    names, sizes, groups = np.split(np.frombuffer(index, "<i8"), [docs, 2 * docs])
+    ends = [*groups.tolist()[1:n_groups], at]
+    blocks = (_group(f, a, b - a) for a, b in zip(groups.tolist(), ends, strict=True))
+    held = np.zeros(0, np.int32)
+    for i, (name, left) in enumerate(zip(names.tolist(), sizes.tolist(), strict=True)):
+        while left > len(held):
+            if len(held):
+                yield (None if i < nulls else name), held, False
+            left -= len(held)
+            held = next(blocks)
+        yield (None if i < nulls else name), held[:left], True
+        held = held[left:]
+
+
+def _group(f, at: int, size: int) -> np.ndarray:
+    f.seek(at)
+    data = f.read(size)
+    n, levels = np.frombuffer(data, "<u4", 2).tolist()
+    head = np.frombuffer(data, "<u4", 3 * n, 8).reshape(n, 3)
+    ends = 8 + 12 * n + np.cumsum(head[:, 1], dtype=np.int64)
     parts = [data[e - s : e] for e, s in zip(ends.tolist(), head[:, 1].tolist(), strict=True)]
-    blocks = decode_blocks(parts, head[:, 0].tolist())
+    blocks = decode_blocks(parts, head[:, 0].tolist(), levels)
     for b, want in zip(blocks, head[:, 2].tolist(), strict=True):
         if crc(b) != want:
             raise ValueError("block checksum")
     return np.concatenate(blocks)
 
 
+def read_file(f) -> Iterator[tuple[int | None, np.ndarray]]:
+    """(doc_id, ids) of a seekable file."""
+    pieces = []
+    for name, ids, last in read_pieces(f):
+        pieces.append(ids)
+        if last:
+            yield name, pieces[0] if len(pieces) == 1 else np.concatenate(pieces)
+            pieces = []
+
+
 # -- tokenizer and tables -----------------------------------------------
 
 
+class _Slots(dict):
+    """Numbers runs in the order in which they are first asked for."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+
+    def __missing__(self, run: str) -> int:
+        self.fresh.append(run)
+        self[run] = n = len(self)
+        return n
+
+
 class Memo:
-    """The library's ids, memoised by runs without white space, in two generations of bounded size.
+    """The library's ids, asked for once for each run without white space.
 
-    Pieces of the vocabulary's splitting rule never cross white space, so the
-    ids of a text are those of its runs; texts with special tokens, or with
-    white space that str.split() sees otherwise, go to the library whole.
+    Pieces of the vocabulary's splitting rule never cross white space, and its
+    normaliser doesn't join letters across it, so the ids of a text are those of
+    its runs; texts with special tokens, or with white space that str.split()
+    sees otherwise, go to the library whole.  The memo is bounded by runs and by
+    characters.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.new: dict[str, list[int]] = {}
-        self.old: dict[str, list[int]] = {}
         self.odd = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] + list("\x1c\x1d\x1e\x1f")
-
-    def _learn(self, missing: list[str]) -> None:
-        if len(self.new) + len(missing) > CACHE_CHUNKS:
-            self.old, self.new = self.new, {}
-        ask = []
-        for c in missing:
-            ids = self.old.get(c)
-            if ids is None:
-                ask.append(c)
-            else:
-                self.new[c] = ids
-        for c, e in zip(ask, self.tokenizer.encode_batch_fast(ask, add_special_tokens=False), strict=True):
-            self.new[c] = e.ids
-
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
-        whole = [any(o in t for o in self.odd) for t in texts]
-        runs = [[] if w else t.split() for t, w in zip(texts, whole, strict=True)]
-        missing = {c for r in runs for c in r if c not in self.new}
-        if missing:
-            self._learn(list(missing | {c for r in runs for c in r} if len(self.new) + len(missing) > CACHE_CHUNKS else missing))
-        get, out = self.new.__getitem__, []
-        for text, w, run in zip(texts, whole, runs, strict=True):
-            if w:
-                out.append(self.tokenizer.encode(text, add_special_tokens=False).ids)
-            else:
-                out.append([i for c in run for i in get(c)])
-        return out
+        self._start()
+
+    def _start(self) -> None:
+        self.slots, self.chars = _Slots(), 0
+        self.slots[None] = 0  # ends a document
+        self.ids, self.begin, self.size = np.array([self.end_id], np.int32), np.array([0]), np.array([1])
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of each text with its end id, all ids)."""
+        if len(self.slots) > CACHE_RUNS or self.chars > CACHE_CHARS:
+            self._start()
+        runs, last = [], []
+        for t in texts:
+            runs += [t] if any(o in t for o in self.odd) else t.split()
+            runs.append(None)
+            last.append(len(runs))
+        at = np.fromiter(map(self.slots.__getitem__, runs), np.int64, len(runs))
+        if self.slots.fresh:
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(self.slots.fresh, add_special_tokens=False)]
+            size = np.array([len(g) for g in got])
+            self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(size) - size])
+            self.size = np.concatenate([self.size, size])
+            self.ids = np.concatenate([self.ids, np.array([i for g in got for i in g], np.int32)])
+            self.chars += sum(map(len, self.slots.fresh))
+            self.slots.fresh = []
+        size = self.size[at]
+        ends = np.cumsum(size)
+        flat = self.ids[np.repeat(self.begin[at] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        return np.diff(ends[np.array(last, np.int64) - 1], prepend=0), flat
 
 
 @lru_cache(maxsize=2)
-def memo(path: str) -> Memo:
-    return Memo(path)
+def memo(path: str, end_id: int) -> Memo:
+    return Memo(path, end_id)
+
+
+def _lots(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
+    """(ids, texts) of rows that have about ``LOT_CHARS`` characters together."""
+    for b in batches:
+        names, texts, chars = [], [], 0
+        for name, text in zip(b.column(0), b.column(1), strict=True):
+            names.append(name.as_py())
+            texts.append(text.as_py())
+            chars += len(texts[-1])
+            if chars > LOT_CHARS:
+                yield names, texts
+                names, texts, chars = [], [], 0
+        if names:
+            yield names, texts
 
 
 def write_ids(docs: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode, append ``end_id`` to each document and write files in ascending id order.
 
-    Returns the stored manifest: file, first_id, docs, ids, bytes, start.  An
-    attempt writes a file of its own name; only manifest files are read.
+    Returns the stored manifest: file, part, number, first_id, docs, ids, bytes,
+    start.  An attempt writes files of its own names; only manifest files are read.
     """
-    folder = fresh_path(docs.sparkSession, "token-ids")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("doc_id is not null")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    spark = docs.sparkSession
+    folder = fresh_path(spark, "token-ids")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(100_000, planned_bytes(docs) // PARTITION_BYTES))
+    rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches):
-        own, first = memo(path), []
-
-        def each():
-            for b in batches:
-                for lo in range(0, b.num_rows, 256):
-                    part = b.slice(lo, 256)
-                    names = part.column(0).to_pylist()
-                    if not first:
-                        first.append(names[0])
-                    for name, ids in zip(names, own.encode_batch(part.column(1).to_pylist()), strict=True):
-                        ids.append(end_id)
-                        yield name, ids
-
-        source = each()
-        head = next(source, None)
-        if head is None:
-            return
+        own, part, done, writer = memo(path, end_id), TaskContext.get().partitionId(), [], None
         fs, base = pyarrow.fs.FileSystem.from_uri(folder)
         fs.create_dir(base, recursive=True)
-        name = f"ids-{uuid.uuid4().hex}.bin"
-        with fs.open_output_stream(f"{base}/{name}", compression=None) as out:
-            got = write_file(out, (x for s in ([head], source) for x in s))
-        values = (f"{folder}/{name}", first[0], *got)
-        yield pa.RecordBatch.from_arrays([pa.array([v]) for v in values], names=["file", "first_id", "docs", "ids", "bytes"])
 
-    manifest = stored(rows.mapInArrow(run, "file string, first_id long, docs long, ids long, bytes long"), "token-manifest")
+        def finish():
+            size = writer.close()
+            writer.out.close()
+            done[-1] += [writer.docs, writer.ids, size]
+
+        for names, texts in _lots(batches):
+            if writer is None:
+                name = f"ids-{uuid.uuid4().hex}.bin"
+                writer = Writer(fs.open_output_stream(f"{base}/{name}", compression=None))
+                done.append([f"{folder}/{name}", part, len(done), names[0]])
+            writer.add(names, *own.encode(texts))
+            if writer.full():
+                finish()
+                writer = None
+        if writer is not None:
+            finish()
+        if done:
+            types = [pa.string(), *[pa.int64()] * 6]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), types, strict=True)], names=["file", "part", "number", "first_id", "docs", "ids", "bytes"])
+
+    manifest = stored(rows.mapInArrow(run, "file string, part long, number long, first_id long, docs long, ids long, bytes long"), "token-manifest")
     # one row a file: the running sum over files is small whatever the corpus
-    before = Window.orderBy("first_id", "file").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0)))
 
 
-def read_ids(manifest: DataFrame) -> DataFrame:
-    """(doc_id, start, ids array<int>) of every document, decoded from the files."""
+def _read(manifest: DataFrame, rows: Callable[[object, int], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Run ``rows`` on each file and the number of its first id; a task holds one file open."""
 
     def run(batches):
         for b in batches:
             for file, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 fs, path = pyarrow.fs.FileSystem.from_uri(file)
-                with fs.open_input_stream(path, compression=None) as f:
-                    data = f.read()
-                held, size = [], 0
-                for name, ids in read_file(data):
-                    held.append((name, start, ids))
-                    start, size = start + len(ids), size + len(ids)
-                    if size > 500_000:
-                        yield _rows(held)
-                        held, size = [], 0
-                if held:
-                    yield _rows(held)
+                with fs.open_input_file(path) as f:
+                    yield from rows(f, start)
 
     n = max(1, min(manifest.count(), 100_000))
-    return manifest.select("file", "start").repartition(n, "file").mapInArrow(run, "doc_id long, start long, ids array<int>")
+    return manifest.select("file", "start").repartition(n).mapInArrow(run, schema)
+
+
+def read_ids(manifest: DataFrame) -> DataFrame:
+    """(doc_id, start, ids array<int>) of every document, decoded from the files."""
+
+    def rows(f, start):
+        held, size = [], 0
+        for name, ids in read_file(f):
+            held.append((name, start, ids))
+            start, size = start + len(ids), size + len(ids)
+            if size > 500_000:
+                yield _rows(held)
+                held, size = [], 0
+        if held:
+            yield _rows(held)
+
+    return _read(manifest, rows, "doc_id long, start long, ids array<int>")
 
 
 def _rows(held: list) -> pa.RecordBatch:
@@ -465,13 +551,27 @@ def _rows(held: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], pa.int64()), pa.array([x[1] for x in held], pa.int64()), ids], names=["doc_id", "start", "ids"])
 
 
-def checksums(read: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) from ``read_ids``: CRC-32 of the ids as little-endian unsigned 32-bit integers."""
+def read_checksums(manifest: DataFrame) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every document, decoded from the files.
 
-    def run(batches):
-        for b in batches:
-            ids = b.column(2)
-            parts = [ids[i].values.to_numpy() for i in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(p) for p in parts], pa.int64()), pa.array([crc(p) for p in parts], pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+    CRC-32 of all its ids as little-endian unsigned 32-bit integers; ids stay in
+    the task, and a document longer than a group is not put together.
+    """
 
-    return read.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    def rows(f, start):
+        held, n, sum_ = [], 0, 0
+        for name, ids, last in read_pieces(f):
+            n, sum_ = n + len(ids), crc(ids, sum_)
+            if last:
+                held.append((name, start, n, sum_))
+                start, n, sum_ = start + n, 0, 0
+                if len(held) == 10_000:
+                    yield digest_rows(held)
+                    held = []
+        if held:
+            yield digest_rows(held)
+
+    def digest_rows(held):
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*held, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    return _read(manifest, rows, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -150,34 +150,82 @@ def test_components_of_a_chain(spark):
 # -- 2, 8 -----------------------------------------------------------------
 
 
-def test_token_files(spark):
+def test_token_files(spark, monkeypatch):
+    monkeypatch.setattr(tokenfile, "FILE_DOCS", 7)  # in the workers nothing changes: they import the module anew
     texts = near_copies(1)
     t = Tokenizer.from_file(VOCAB)
-    got = {r.doc_id: tuple(r)[1:] for r in tokenfile.checksums(tokenfile.read_ids(tokenfile.write_ids(docs(spark, texts, True), VOCAB))).collect()}
+    manifest = tokenfile.write_ids(docs(spark, texts, True), VOCAB)
+    got = {r.doc_id: tuple(r)[1:] for r in tokenfile.read_checksums(manifest).collect()}
+    whole = {r.doc_id: (r.start, r.ids) for r in tokenfile.read_ids(manifest).collect()}
     start = 0
     for i, x in enumerate(texts):
         ids = np.array(t.encode(x or "", add_special_tokens=False).ids + [1], "<u4")
-        assert got[i] == (start, len(ids), zlib.crc32(ids.tobytes()))
+        assert got[i] == (start, len(ids), zlib.crc32(ids.tobytes())) and whole[i] == (start, ids.tolist())
         start += len(ids)
     assert tokenfile.read_ids(tokenfile.write_ids(docs(spark, texts).limit(0), VOCAB)).count() == 0
 
 
-@pytest.mark.parametrize("n, high", [(0, 5), (1, 5), (700, 3), (3000, 65_535)])
+def test_token_files_null_and_repeated_ids(spark):
+    rows = [(5, "b b"), (None, "a"), (5, "a a a"), (2, None), (None, None), (5, "a a a")]
+    got = [tuple(r) for r in tokenfile.read_checksums(tokenfile.write_ids(spark.createDataFrame(rows, "doc_id long, text string"), VOCAB)).orderBy("start").collect()]
+    t, start, want = Tokenizer.from_file(VOCAB), 0, []
+    for i, x in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+        ids = np.array(t.encode(x or "", add_special_tokens=False).ids + [1], "<u4")
+        want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert got == want
+
+
+def written(rows, lots=1):
+    f = io.BytesIO()
+    w = tokenfile.Writer(f)
+    for lo in range(0, len(rows), lots):
+        part = rows[lo : lo + lots]
+        w.add([i for i, _ in part], np.array([len(x) for _, x in part]), np.array([i for _, x in part for i in x], np.int32))
+    assert w.close() == len(f.getvalue())
+    return f.getvalue()
+
+
+@pytest.mark.parametrize("n, high", [(0, 5), (1, 5), (700, 3), (3000, 65_535), (3000, 1 << 20), (900, 1 << 28)])
 def test_range_coder_round_trip(n, high):
     rng = np.random.default_rng(n)
     rows = [(i, rng.integers(0, high, n).tolist()) for i in range(3)]
-    f = io.BytesIO()
-    tokenfile.write_file(f, rows)
-    assert [(a, b.tolist()) for a, b in tokenfile.read_file(f.getvalue())] == rows
+    assert [(a, b.tolist()) for a, b in tokenfile.read_file(io.BytesIO(written(rows)))] == rows
 
 
-def test_token_file_checksums():
-    f = io.BytesIO()
-    tokenfile.write_file(f, [(1, list(range(2000)))])
-    data = bytearray(f.getvalue())
-    data[200] ^= 1
+def test_token_documents_over_groups(monkeypatch):
+    monkeypatch.setattr(tokenfile, "GROUP_IDS", 1000)
+    rng = np.random.default_rng(3)
+    rows = [(None, []), (1, rng.integers(0, 300, 3500).tolist()), (2, [7]), (3, rng.integers(0, 9, 500).tolist()), (4, []), (5, rng.integers(0, 9, 999).tolist())]
+    data = written(rows, 2)
+    assert [(a, b.tolist()) for a, b in tokenfile.read_file(io.BytesIO(data))] == rows
+    assert max(len(p) for _, p, _ in tokenfile.read_pieces(io.BytesIO(data))) <= 1000
+    assert len(data) < sum(len(x) for _, x in rows) * 2
+
+
+def test_token_ids_too_large():
+    with pytest.raises(ValueError, match="2\\^28"):
+        written([(1, [1 << 28])])
+
+
+@pytest.mark.parametrize("at", [200, -60, -20, 3])
+def test_token_file_checksums(at):
+    data = bytearray(written([(1, list(range(2000)))]))
+    data[at] ^= 1
     with pytest.raises(ValueError):
-        list(tokenfile.read_file(bytes(data)))
+        list(tokenfile.read_file(io.BytesIO(bytes(data))))
+
+
+def test_memo_equals_whole_texts():
+    """Runs without white space give the ids of whole texts: all code points beside white space and letters."""
+    t, own = Tokenizer.from_file(VOCAB), tokenfile.Memo(VOCAB, 1)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for lo in range(0, len(points), 20_000):
+        part = points[lo : lo + 20_000]
+        texts = ["".join(f"a{c}b {c} e{c}" for c in part[i : i + 40]) for i in range(0, len(part), 40)]
+        sizes, flat = own.encode(texts)
+        want = [e.ids + [1] for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+        assert sizes.tolist() == [len(w) for w in want] and flat.tolist() == [i for w in want for i in w]
 
 
 def test_bpe_equals_library(spark):
