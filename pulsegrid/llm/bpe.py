@@ -9,6 +9,11 @@ becomes the old one, and words still in use move on to the new one.
 
 Very long words (over ``SCAN_LIMIT`` parts) would make repeated scans
 quadratic; they use a heap over the same merge order with the same result.
+Words of more than ``MEMO_CHARS`` characters are not memoised, so the memo is
+bounded in bytes too.
+
+Letters, numbers and white space are the library's: where the tables of this
+module's regular expressions may be newer, the library is asked (``rule``).
 
 Defined cases: a null or empty text has no ids and decodes to the empty text;
 rows with equal texts get equal rows; null ids columns pass through; extra
@@ -19,6 +24,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -29,6 +35,7 @@ from pyspark.sql import functions as F
 
 SCAN_LIMIT = 256
 CACHE_WORDS = 220_000
+MEMO_CHARS = 256
 NO_RANK = 1 << 60
 ID_BITS = 20
 #: White space for str.split() that the vocabulary's white space rule does not split at.
@@ -49,6 +56,43 @@ def byte_alphabet() -> list[str]:
     return out
 
 
+def _ranges(points: list[int]) -> str:
+    """A regular expression's set of code points."""
+    out, start = [], None
+    for i, c in enumerate(points):
+        start = c if start is None else start
+        if i + 1 == len(points) or points[i + 1] != c + 1:
+            out.append(f"\\U{start:08x}-\\U{c:08x}")
+            start = None
+    return "".join(out)
+
+
+@lru_cache(maxsize=2)
+def rule(path: str) -> tuple[regex.Pattern, dict[int, str]]:
+    """The vocabulary's splitting rule with the character classes that the library has, and letters that only it makes lower case.
+
+    Code points that are a letter, number or space here but not assigned in
+    ``unicodedata``, whose tables are older, are given to the library's own
+    splitter and normaliser; those that it sees otherwise leave their class.
+    """
+    from tokenizers import Tokenizer
+
+    spec = json.load(open(path, encoding="utf-8"))["pre_tokenizer"]["pretokenizers"]
+    text = next(p for p in spec if p["type"] == "Split")["pattern"]["Regex"]
+    library, lower = Tokenizer.from_file(path), {}
+    split, normal = library.pre_tokenizer.pre_tokenize_str, library.normalizer.normalize_str
+    points = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    for name, pieces in (("L", 1), ("N", 3), ("s", 1)):
+        own = "\\s" if name == "s" else f"\\p{{{name}}}"
+        doubtful = [c for c in regex.findall(own, points) if unicodedata.category(c) == "Cn"]
+        # "a" and twice the character: a letter joins it (one piece), numbers stand alone (three), others run together (two)
+        wrong = [ord(c) for c in doubtful if len(split(f"a{c}{c}")) != pieces]
+        lower.update({ord(c): low for c in doubtful if name == "L" and (low := normal(c)) != c})
+        if wrong:
+            text = text.replace(own, f"[{own}--[{_ranges(wrong)}]]")
+    return regex.compile(text, regex.V1), lower
+
+
 class BpeCodec:
     """Encoder and decoder for a vocabulary file with word ends, NFC, lower case and byte-level letters."""
 
@@ -68,8 +112,8 @@ class BpeCodec:
         letters = byte_alphabet()
         self.inner = [vocab[c] for c in letters]
         self.final = [vocab[c + self.suffix] for c in letters]
-        rule = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.pieces = regex.compile(rule["pattern"]["Regex"])
+        self.pieces, self.lower = rule(path)
+        self.newer = re.compile("[" + _ranges(sorted(self.lower)) + "]") if self.lower else None
         self.cut = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.cache_words = cache_words
         self._chunks: dict[str, tuple[int, ...]] = {}
@@ -127,6 +171,8 @@ class BpeCodec:
         if ids is None:
             words = self.pieces.findall(chunk)
             ids = self._word(words[0]) if len(words) == 1 else tuple(i for w in words for i in self._word(w))
+        if len(chunk) > MEMO_CHARS:
+            return ids
         if len(self._chunks) >= self.cache_words:
             self._old_chunks = self._chunks.copy()
             self._chunks.clear()  # in place: encode() holds its get()
@@ -137,6 +183,8 @@ class BpeCodec:
         ids = self._words.get(w)
         if ids is None:
             ids = self._old_words.get(w) or tuple(self.word(w))
+            if len(w) > MEMO_CHARS:
+                return ids
             if len(self._words) >= self.cache_words:
                 self._old_words, self._words = self._words, {}
             self._words[w] = ids
@@ -147,6 +195,8 @@ class BpeCodec:
             text = unicodedata.normalize("NFC", text)
             if "Σ" in text:  # str.lower() looks at a sigma's neighbours; the vocabulary's rule does not
                 text = "".join(c.lower() for c in text)
+            if self.newer is not None and self.newer.search(text):
+                text = text.translate(self.lower)
         get, miss = self._chunks.get, self._chunk
         text = text.lower()
         for chunk in _SPACE.split(text) if _ODD_SPACE.search(text) else text.split():
