@@ -8,17 +8,26 @@ number of tokens the budget.  The draw is a hash of the document's id, so it
 is the same on every run and every machine.
 
 The cell table, not the corpus, is fitted.  Up to ``LOCAL_CELLS`` cells are
-fitted on the driver; more are fitted by DataFrame steps with checkpoints.
+fitted on the driver; more are fitted by DataFrame steps with checkpoints, by
+the same arithmetic.
+
+Target shares are given, or powers of the corpus' own.  Tokens and topics are
+columns of the caller's; else tokens are words between white space, and topics
+are forms of text, since these documents carry none.
 
 Defined cases: null source, language or topic is a value of its own ("(none)");
 null and empty texts have no tokens and stay only if their probability, that of
 their cell, draws them; targets for absent values are left out and the others
-rescaled; a target of 0 samples nothing; an empty table gives an empty result;
-equal rows are drawn alike; columns named as the added ones are replaced.
+rescaled, and if none is present the dimension is as if none was given; a target
+of 0 samples nothing; an empty table gives an empty result; rows without an id
+are drawn alike, and so are rows that repeat one and a cell; columns named as
+the added ones are replaced.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +35,7 @@ from pyspark.sql import functions as F
 from .shared import fits, stored
 
 LOCAL_CELLS = 200_000
-ROUNDS = 60
+ROUNDS, TOLERANCE = 60, 1e-10
 NONE = "(none)"
 ADDED = ["source_key", "lang_key", "topic", "tokens"]
 DIMS = ["source_key", "lang_key", "topic"]
@@ -39,28 +48,25 @@ def topic_of(text: Column) -> Column:
     return F.when(text.isNull(), NONE).when(tabular, "tabular").when(n < 60, "brief").when(n < 600, "article").otherwise("long")
 
 
-def described(docs: DataFrame, topic: Column | None = None) -> DataFrame:
-    """``docs`` with its three keys and its number of tokens (words)."""
+def described(docs: DataFrame, topic: Column | None = None, tokens: Column | None = None) -> DataFrame:
+    """``docs`` with its three keys and its number of tokens."""
     text = F.col("text")
     return docs.withColumns({
         "source_key": F.coalesce(F.col("source").cast("string"), F.lit(NONE)),
         "lang_key": F.coalesce(F.col("lang").cast("string"), F.lit(NONE)),
         "topic": F.coalesce((topic if topic is not None else topic_of(text)).cast("string"), F.lit(NONE)),
-        "tokens": F.coalesce(F.size(F.filter(F.split(text, "\\s+"), lambda w: w != "")), F.lit(0)).cast("long"),
+        "tokens": F.coalesce(tokens if tokens is not None else F.size(F.filter(F.split(text, "\\s+"), lambda w: w != "")), F.lit(0)).cast("long"),
     })
 
 
-def tempered(totals: dict[str, float], power: float) -> dict[str, float]:
-    """Target shares in proportion to a power of the token counts: below 1 it lifts what is rare."""
-    raised = {k: v**power for k, v in totals.items() if v > 0}
-    whole = sum(raised.values())
-    return {k: v / whole for k, v in raised.items()}
-
+def rake(cells: list[np.ndarray], tokens: np.ndarray, targets: list[np.ndarray]) -> np.ndarray:
+    """Weights of the cells, which sum to 1; cells[d] is each cell's index in targets[d].
 
-def rake(cells: list[np.ndarray], tokens: np.ndarray, targets: list[np.ndarray], rounds: int = ROUNDS, tolerance: float = 1e-10) -> np.ndarray:
-    """Weights of the cells, which sum to 1; cells[d] is each cell's index in targets[d]."""
+    A round scales the weights to each dimension's targets in turn and then to
+    the sum 1, until no marginal was off by ``TOLERANCE``, or ``ROUNDS`` times.
+    """
     w = tokens / max(tokens.sum(), 1e-300)
-    for _ in range(rounds):
+    for _ in range(ROUNDS):
         off = 0.0
         for at, want in zip(cells, targets, strict=True):
             have = np.bincount(at, w, len(want))
@@ -68,83 +74,94 @@ def rake(cells: list[np.ndarray], tokens: np.ndarray, targets: list[np.ndarray],
             off = max(off, float(np.abs(have - want)[have > 0].max(initial=0.0)))
             w = w * ratio[at]
         w /= max(w.sum(), 1e-300)
-        if off < tolerance:
+        if off < TOLERANCE:
             break
     return w
 
 
-def rake_table(cells: DataFrame, targets: list[DataFrame], rounds: int | None = None) -> DataFrame:
+def rake_table(cells: DataFrame, targets: list[DataFrame]) -> DataFrame:
     """The same by DataFrame steps; targets[d] is (dim, share).  Adds w, which sums to 1."""
-    rounds = rounds or ROUNDS
     whole = cells.agg(F.sum("tokens")).first()[0] or 1
     w = cells.withColumn("w", F.col("tokens") / F.lit(float(whole)))
-    for _ in range(rounds):
+    for _ in range(ROUNDS):
+        off = 0.0
         for dim, want in zip(DIMS, targets, strict=True):
-            have = w.groupBy(dim).agg(F.sum("w").alias("_have")).join(want, dim, "left")
-            ratio = have.select(dim, F.when((F.col("_have") > 0) & F.col("share").isNotNull(), F.col("share") / F.col("_have")).otherwise(0.0).alias("_ratio"))
-            w = w.join(ratio, dim).withColumn("w", F.col("w") * F.col("_ratio")).drop("_ratio")
+            have = w.groupBy(dim).agg(F.sum("w").alias("_have")).join(want, dim, "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
+            have = stored(have.withColumn("_ratio", F.when(F.col("_have") > 0, F.col("share") / F.col("_have")).otherwise(0.0)), "mix-ratios")
+            off = max(off, have.where("_have > 0").agg(F.max(F.abs(F.col("_have") - F.col("share")))).first()[0] or 0.0)
+            w = w.join(have.select(dim, "_ratio"), dim).withColumn("w", F.col("w") * F.col("_ratio")).drop("_ratio")
         w = stored(w, "mix-weights")
+        total = max(w.agg(F.sum("w")).first()[0] or 0.0, 1e-300)
+        w = w.withColumn("w", F.col("w") / F.lit(total))
+        if off < TOLERANCE:
+            break
     return w
 
 
-def scale_for(budget: float, tokens: np.ndarray, rate: np.ndarray) -> float:
-    """The scale at which sum(tokens * min(1, scale * rate)) is the budget, or as near as it gets."""
-    low, high = 0.0, 1.0
-    kept = lambda s: float((tokens * np.minimum(1.0, s * rate)).sum())
-    reach = float(tokens[rate > 0].sum())
-    budget = min(budget, reach)
-    while kept(high) < budget * (1 - 1e-12) and high < 1e30:
-        high *= 2
+def scale_for(budget: float, measure: Callable[[float], tuple[float, float]]) -> float:
+    """The scale at which the kept tokens, sum(tokens * min(1, scale * rate)), are the budget, or as near as it gets.
+
+    ``measure`` gives the kept tokens at a scale and their slope.  They are
+    concave and linear by pieces in the scale: tangents come from below, and
+    each step halves the rest or the slope.
+    """
+    scale = 0.0
     for _ in range(200):
-        mid = (low + high) / 2
-        low, high = (mid, high) if kept(mid) < budget else (low, mid)
-    return high
+        kept, slope = measure(scale)
+        if not slope or kept >= budget * (1 - 1e-12):
+            break
+        scale += (budget - kept) / slope
+    return scale
 
 
 def probabilities(rows: DataFrame, fraction: float, powers: tuple[float, float, float], targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
-    """(source_key, lang_key, topic, probability) for each cell of ``rows``, which are ``described``."""
-    spark = rows.sparkSession
+    """(source_key, lang_key, topic, probability) for each cell of ``rows``, which are ``described``.
+
+    Up to ``LOCAL_CELLS`` cells are fitted on the driver, more by DataFrame
+    steps: the same arithmetic in another place.
+    """
     cells = stored(rows.groupBy(*DIMS).agg(F.sum("tokens").alias("tokens")), "mix-cells")
-    schema = "source_key string, lang_key string, topic string, probability double"
-    if not fits(cells, LOCAL_CELLS):
-        return _probabilities_table(cells, fraction, powers, targets)
+    return (_local if fits(cells, LOCAL_CELLS) else _distributed)(cells, fraction, powers, targets or {})
+
+
+def _local(cells: DataFrame, fraction: float, powers, targets) -> DataFrame:
     held = cells.toPandas().sort_values(DIMS, ignore_index=True)
-    if not len(held):
-        return spark.createDataFrame([], schema)
     tokens, at, want = held.tokens.to_numpy(np.float64), [], []
     for dim, power in zip(DIMS, powers, strict=True):
         totals = held.groupby(dim).tokens.sum().to_dict()
-        share = {k: v for k, v in (targets or {}).get(dim, {}).items() if totals.get(k, 0) > 0} or tempered(totals, power)
+        given = {k: v for k, v in targets.get(dim, {}).items() if totals.get(k, 0) > 0}
+        raised = given or {k: float(v) ** power for k, v in totals.items() if v > 0}
+        whole = sum(raised.values()) or 1.0
         names = sorted(totals)
-        values = np.array([share.get(n, 0.0) for n in names])
-        want.append(values / max(values.sum(), 1e-300))
-        at.append(held[dim].map({n: i for i, n in enumerate(names)}).to_numpy())
+        want.append(np.array([raised.get(n, 0.0) / whole for n in names]))
+        at.append(held[dim].map({n: i for i, n in enumerate(names)}).to_numpy(np.int64))
     w = rake(at, tokens, want)
     rate = np.divide(w, tokens, out=np.zeros(len(w)), where=tokens > 0)
-    p = np.minimum(1.0, scale_for(fraction * tokens.sum(), tokens, rate) * rate)
-    return spark.createDataFrame(held[DIMS].assign(probability=p), schema)
+    some = rate > 0
+    measure = lambda s: (float((tokens * np.minimum(1.0, s * rate)).sum()), float(w[some & (s * rate < 1)].sum()))
+    p = np.minimum(1.0, scale_for(min(fraction * tokens.sum(), tokens[some].sum()), measure) * rate)
+    return cells.sparkSession.createDataFrame(held[DIMS].assign(probability=p), "source_key string, lang_key string, topic string, probability double")
 
 
-def _probabilities_table(cells: DataFrame, fraction: float, powers, targets) -> DataFrame:
-    spark = cells.sparkSession
-    want = []
+def _distributed(cells: DataFrame, fraction: float, powers, targets) -> DataFrame:
+    spark, want = cells.sparkSession, []
     for dim, power in zip(DIMS, powers, strict=True):
-        totals = cells.groupBy(dim).agg(F.sum("tokens").alias("t")).where("t > 0")
-        given = (targets or {}).get(dim)
-        raised = totals.join(spark.createDataFrame(sorted(given.items()), f"{dim} string, r double"), dim) if given else totals.withColumn("r", F.pow("t", F.lit(power)))
+        totals = stored(cells.groupBy(dim).agg(F.sum("tokens").alias("t")).where("t > 0"), "mix-totals")
+        given = targets.get(dim, {})
+        raised = totals.join(spark.createDataFrame(sorted(given.items()), f"{dim} string, r double"), dim) if given else None
+        if raised is None or not raised.limit(1).count():
+            raised = totals.withColumn("r", F.pow(F.col("t").cast("double"), F.lit(power)))
         whole = raised.agg(F.sum("r")).first()[0] or 1.0
         want.append(raised.select(dim, (F.col("r") / F.lit(whole)).alias("share")))
     w = rake_table(cells, want).withColumn("rate", F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(0.0))
-    total, reach = w.agg(F.sum("tokens"), F.sum(F.when(F.col("rate") > 0, F.col("tokens")))).first()
-    budget, scale = min(fraction * (total or 0), reach or 0), 0.0
     w = stored(w, "mix-weights")
-    open_w = F.when(F.col("rate") * F.col("_scale") < 1, F.col("w"))
-    # kept tokens are concave and linear by pieces in the scale: tangents come from below, and each step halves the rest or the slope
-    for _ in range(200):
-        kept, slope = w.withColumn("_scale", F.lit(scale)).agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("rate") * F.col("_scale"))), F.sum(F.when(F.col("rate") > 0, open_w))).first()
-        if not slope or kept >= budget * (1 - 1e-12):
-            break
-        scale += (budget - kept) / slope
+    total, reach = w.agg(F.sum("tokens"), F.sum(F.when(F.col("rate") > 0, F.col("tokens")))).first()
+
+    def measure(scale):
+        scaled = F.col("rate") * F.lit(scale)
+        return w.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), scaled)), F.sum(F.when((F.col("rate") > 0) & (scaled < 1), F.col("w")))).first()
+
+    scale = scale_for(min(fraction * (total or 0), reach or 0), measure)
     return w.select(*DIMS, F.least(F.lit(1.0), F.col("rate") * F.lit(scale)).alias("probability"))
 
 
@@ -153,9 +170,9 @@ def draw(id_col: Column, seed: int = 0) -> Column:
     return F.shiftrightunsigned(F.xxhash64(id_col, F.lit(seed)), 11) / F.lit(float(1 << 53))
 
 
-def sampled(docs: DataFrame, fraction: float = 0.6, powers: tuple[float, float, float] = (0.5, 0.7, 0.7), targets: dict[str, dict[str, float]] | None = None, topic: Column | None = None, seed: int = 0) -> DataFrame:
+def sampled(docs: DataFrame, fraction: float = 0.6, powers: tuple[float, float, float] = (0.5, 0.7, 0.7), targets: dict[str, dict[str, float]] | None = None, topic: Column | None = None, tokens: Column | None = None, seed: int = 0) -> DataFrame:
     """``docs`` with keys, tokens, probability and ``kept``: whether the draw keeps the document.  Every row stays."""
-    rows = described(docs.drop("probability", "kept"), topic)
+    rows = described(docs.drop("probability", "kept"), topic, tokens)
     p = probabilities(rows, fraction, powers, targets)
     p = F.broadcast(p) if fits(p, LOCAL_CELLS) else p
     joined = rows.join(p, DIMS, "left").withColumn("probability", F.coalesce("probability", F.lit(0.0)))
