@@ -15,10 +15,10 @@ Segments too small for their quota match nearly everything and are not indexed.
 A set whose remaining quotas don't reach the sum repeats with another partition,
 and on the last one indexes its empty segments too, so no pair is missed.
 
-Each band has more segments than it needs, so linked sets share more than
-``spare`` of its keys.  Once keys that only one set has are gone, each set drops
-its ``spare`` most frequent keys of a band.  The order of keys is the same for
-all sets, so the least frequent key that linked sets share stays in both.  So
+Each band has more segments than it needs, so linked sets share more than one
+of its keys.  Each set drops its most frequent keys of a band, as many as it may
+without losing a link (``signatures``).  The order of keys is the same for all
+sets, so the least frequent key that linked sets share stays in both.  So
 passages that many documents share, which fill whole segments of long ones,
 propose next to no pairs, and how many don't grow with the square of the data.
 
@@ -38,8 +38,10 @@ least as many bits as the set has elements.
 Defined cases: null and empty texts, and texts without words, have the empty
 set and link with nothing; fewer words than a shingle are one shingle; rows
 that repeat a document link with it; rows without an id get no component;
-extra columns are ignored.  Set hashes of 64 bits are checked against a second
-one; on a collision the work is done again with another seed.
+extra columns are ignored.  Shingles stand as their 64-bit hashes, also in the
+exact check: two different shingles of a pair of texts with n shingles together
+share one with a chance of about n^2 / 2^65.  Set hashes of 64 bits are checked
+against a second one; on a collision the work is done again with another seed.
 """
 
 from __future__ import annotations
@@ -62,8 +64,10 @@ WORD_CACHE = 400_000
 SEEN_SETS = 500_000
 SKETCH_WORDS = 16
 BROADCAST_ROWS = 2_000_000
-#: Spare agreements that each linked pair has beyond the one it needs, as a share of the elements in which it may differ.
-SPARE = 0.25
+#: Spare agreements that each linked pair has beyond the one it needs: a share of the elements in which it may differ, and
+#: in sets that have room for more segments at least so many.  The keys of form letters, which share all but a few words,
+#: are frequent; the smaller the segments, the more of a set's keys have one of its own words and are rare.
+SPARE, SMALL_SPARE = 0.25, 16
 #: Low bits of an index key that hold the band.
 BAND_BITS = 6
 #: For the cost model: a check costs as much as so many index rows; two documents share a passage of so many
@@ -154,7 +158,7 @@ def plan_band(low: int, high: int, threshold: Threshold, sets: int) -> Band:
     differ, best = threshold.differ(high), None
     if not differ:
         return Band(low, 0, 0, 0)  # linked sets are equal
-    more = int(differ * SPARE)
+    more = max(int(differ * SPARE), min(SMALL_SPARE, low // 2 - differ))
     for double in range((differ + 1) // 2 + more + 1):
         need = Band(low, differ, 0, double, more).quota
         if 2 * double > need:
@@ -173,11 +177,16 @@ def plan_band(low: int, high: int, threshold: Threshold, sets: int) -> Band:
     return best[1]
 
 
-def signatures(elements: np.ndarray, number: int, band: Band) -> list[np.ndarray]:
-    """The index keys of a set in a band."""
+def signatures(elements: np.ndarray, number: int, band: Band) -> tuple[np.ndarray, int]:
+    """The index keys of a set in a band, and how many of them, the most frequent ones, it may drop.
+
+    Where one partition with quotas 1 serves, a linked set disagrees in at most
+    ``differ`` of the segments, so all but the ``differ + 1`` least frequent keys
+    may go; else ``spare``, which linked sets always share beyond one.
+    """
     k, out = band.single + band.double, []
     if not k:
-        return out
+        return np.zeros(0, np.uint64), 0
     quota = np.ones(k, np.int64)
     quota[: band.double] = 2
     place = np.arange(k, dtype=np.uint64)
@@ -200,18 +209,21 @@ def signatures(elements: np.ndarray, number: int, band: Band) -> list[np.ndarray
         if full:
             break
     mask = np.uint64((1 << BAND_BITS) - 1)
-    return [keys & ~mask | np.uint64(number) & mask for keys in out]
+    keys = np.unique(np.concatenate(out) & ~mask | np.uint64(number) & mask)
+    return keys, len(keys) - band.differ - 1 if len(out) == 1 else band.spare
 
 
-def all_signatures(elements: np.ndarray, edges: list[int], bands: list[Band], threshold: Threshold) -> np.ndarray:
-    """Keys in the set's own band and in those of larger partners that it can link with."""
-    n, out = len(elements), []
+def all_signatures(elements: np.ndarray, edges: list[int], bands: list[Band], threshold: Threshold) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in the set's own band and in those of larger partners that it can link with, and what each band's may drop."""
+    n, out, drops = len(elements), [], []
     own = int(np.searchsorted(edges, n, side="right")) - 1
     for b in range(own, len(bands)):
         if b > own and threshold.den * n < threshold.num * bands[b].low:
             break
-        out += signatures(elements, b, bands[b])
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        keys, drop = signatures(elements, b, bands[b])
+        out.append(keys)
+        drops.append(np.full(len(keys), drop, np.int32))
+    return np.concatenate(out) if out else np.zeros(0, np.uint64), np.concatenate(drops) if out else np.zeros(0, np.int32)
 
 
 def sketch(elements: np.ndarray, words: int = SKETCH_WORDS) -> np.ndarray:
@@ -263,13 +275,13 @@ def _refined(pairs: DataFrame, sketches: DataFrame, threshold: Threshold) -> Dat
 
 
 def _sets(docs: DataFrame, shingle: int, seed: int) -> DataFrame:
-    """(doc_id, n, sid, chk, sketch words, long): size and two hashes of the set; sid is null where there is nothing to link."""
+    """(doc_id, mark, n, sid, chk, sketch words, long): size and two hashes of the set; sid is null where there is nothing to link."""
 
     def run(batches):
         make = Shingler(shingle, seed)
         for b in batches:
             n, sid, chk, marks, longs = [], [], [], [], []
-            for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for name, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
                 s = make(text)
                 n.append(len(s))
                 both = xxhash.xxh3_128_intdigest(s.tobytes(), seed)
@@ -279,18 +291,18 @@ def _sets(docs: DataFrame, shingle: int, seed: int) -> DataFrame:
                 marks.append(sketch(s))
                 longs.append(long_sketch(s) if some else None)
             words = np.array(marks, np.int64).reshape(-1, SKETCH_WORDS).T
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in (n, sid, chk, *words)), pa.array(longs, pa.list_(pa.int64()))], names=["doc_id", "n", "sid", "chk", *PARITY, "long"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, pa.int64()) for x in (n, sid, chk, *words)), pa.array(longs, pa.list_(pa.int64()))], names=["doc_id", "mark", "n", "sid", "chk", *PARITY, "long"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, sid long, chk long, " + ", ".join(f"{p} long" for p in PARITY) + ", long array<long>")
+    return docs.select("doc_id", "mark", "text").mapInArrow(run, "doc_id long, mark long, n long, sid long, chk long, " + ", ".join(f"{p} long" for p in PARITY) + ", long array<long>")
 
 
 def _index(docs: DataFrame, shingle: int, seed: int, threshold: Threshold, edges: list[int], bands: list[Band]) -> DataFrame:
-    """(sig, sid) rows; a set that a task has seen already is not indexed again."""
+    """(sig, sid, drop) rows; a set that a task has seen already is not indexed again."""
 
     def run(batches):
         make, seen = Shingler(shingle, seed), set()
         for b in batches:
-            keys, sids = [], []
+            keys, drops, sids = [], [], []
             for text in b.column(0).to_pylist():
                 s = make(text)
                 if not len(s):
@@ -300,30 +312,29 @@ def _index(docs: DataFrame, shingle: int, seed: int, threshold: Threshold, edges
                     continue
                 if len(seen) < SEEN_SETS:
                     seen.add(sid)
-                k = np.unique(all_signatures(s, edges, bands, threshold))
+                k, drop = all_signatures(s, edges, bands, threshold)
                 if len(k):
                     keys.append(k)
+                    drops.append(drop)
                     sids.append(np.full(len(k), sid, np.int64))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(sids))], names=["sig", "sid"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(sids)), pa.array(np.concatenate(drops))], names=["sig", "sid", "drop"])
 
-    return docs.where("doc_id is not null").select("text").mapInArrow(run, "sig long, sid long")
+    return docs.where("doc_id is not null").select("text").mapInArrow(run, "sig long, sid long, drop int")
 
 
-def _without_frequent(index: DataFrame, bands: list[Band]) -> DataFrame:
-    """(sig, sid) without the ``spare`` most frequent keys of each set in each band.
+def _without_frequent(index: DataFrame) -> DataFrame:
+    """(sig, sid) without the ``drop`` most frequent keys of each set in each band; keys that only one set has are gone already.
 
-    Linked sets share over ``spare`` keys of a band.  All sets order keys alike,
-    by the rows held and the key, so the least frequent shared key stays in both.
+    All sets order keys alike, by the rows held and the key, and linked sets
+    share more keys of a band than either may drop, so the least frequent shared
+    key stays in both.
     """
-    place = F.col("sig").bitwiseAND(F.lit((1 << BAND_BITS) - 1))
-    spare = {i % (1 << BAND_BITS): 0 for i in range(len(bands))}
-    for i, b in enumerate(bands):  # sets of bands so far apart that they share a number differ too much in size
-        spare[i % (1 << BAND_BITS)] = b.spare if len(bands) <= 1 << BAND_BITS else 0
-    table = F.array(*[F.lit(spare[i]) for i in sorted(spare)]) if spare else F.array(F.lit(0))
+    # bands whose numbers have the same low bits differ too much in size to hold one set
+    band = F.col("sig").bitwiseAND(F.lit((1 << BAND_BITS) - 1))
     frequent = Window.partitionBy("sid", "band").orderBy(F.desc("held"), "sig")
-    ranked = index.withColumn("band", place.cast("int")).withColumn("_at", F.row_number().over(frequent))
-    return ranked.where(F.col("_at") > F.get(table, F.col("band"))).select("sig", "sid")
+    ranked = index.withColumn("band", band.cast("int")).withColumn("_at", F.row_number().over(frequent))
+    return ranked.where(F.col("_at") > F.col("drop")).select("sig", "sid")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, shingle: int, seed: int, threshold: Threshold) -> DataFrame:
@@ -365,9 +376,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def linked_documents(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row: component_id is the smallest doc_id reachable by links."""
+    """(doc_id, n_shingles, component_id, mark, component) for every row.
+
+    component_id is the smallest doc_id reachable by links; ``component`` tells
+    components apart even where ids repeat, and is null for rows that link with
+    nothing by definition; ``mark``, a hash of the text, tells rows apart that
+    repeat an id.
+    """
     threshold = Threshold(num, den)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
     for seed in range(0, 100, 10):
         sets = stored(_sets(docs, shingle, seed), "sets")
         grouped = sets.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.min("chk").alias("c1"), F.max("chk").alias("c2"), *[F.max(p).alias(p) for p in PARITY])
@@ -387,7 +405,7 @@ def linked_documents(docs: DataFrame, shingle: int = 5, num: int = 80, den: int
     index = index.withColumn("lo", F.min("sid").over(bucket)).withColumn("hi", F.max("sid").over(bucket)).withColumn("held", F.count("*").over(bucket))
     index = stored(index.where("lo <> hi").drop("lo", "hi").dropDuplicates(["sig", "sid"]), "shared-keys")
     centre = F.min(F.struct(F.xxhash64("sid", "sig").alias("_order"), F.col("sid"))).over(bucket)
-    index = _without_frequent(index, bands).withColumn("lo", F.min("sid").over(bucket)).withColumn("hi", F.max("sid").over(bucket)).withColumn("c", centre["sid"])
+    index = _without_frequent(index).withColumn("lo", F.min("sid").over(bucket)).withColumn("hi", F.max("sid").over(bucket)).withColumn("c", centre["sid"])
     index = stored(index.where("lo <> hi").drop("lo", "hi"), "buckets")
     nodes = lambda df, a, b: df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
     star = nodes(index.where("c <> sid"), "c", "sid").join(ends("b"), "b").join(ends("a"), "a").where(_may_link(threshold, "a_", "b_"))
@@ -408,5 +426,5 @@ def linked_documents(docs: DataFrame, shingle: int = 5, num: int = 80, den: int
         comp = components(links.unionByName(more))
 
     named = reps.join(comp, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    roots = named.join(named.groupBy("label").agg(F.min("rep").alias("component_id")), "label").select("sid", "component_id")
-    return sets.join(roots, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    roots = named.join(named.groupBy("label").agg(F.min("rep").alias("component_id")), "label").select("sid", "component_id", F.col("label").alias("component"))
+    return sets.join(roots, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "mark", "component")
