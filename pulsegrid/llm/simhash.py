@@ -11,9 +11,12 @@ permuted block tables: the bits are cut into ``blocks`` blocks; with radius r,
 at least ``blocks - r`` of them are equal, so each choice of that many blocks
 is a table whose key is their bits.  Equal fingerprints are one node.
 
-Defined cases: null and empty texts have no terms and the fingerprint 0; rows
-without an id are left out where an order of ids is needed; an id that repeats
-stands for the largest of its texts; extra columns are ignored.
+Defined cases: null and empty texts have no terms and the fingerprint 0; where
+an order of documents is needed, rows without an id come first and rows that
+repeat an id follow one another in the order of a hash of their texts, so that
+of equal rows each but the last has its equal as the next; a single document is
+its own next one; an empty table gives an empty result; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import stored
+
 BITS = 64
 SHINGLE = 3
 _PAIR = (1 << 32) | 1
@@ -35,19 +40,24 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
 
 
+def votes(words_col: str = "w", shingle: int = SHINGLE) -> tuple[Column, Column]:
+    """An array of the places of a text's terms, and the hash of the term at the place ``i`` (columns for an exploded row)."""
+    last = F.greatest(F.size(words_col) - shingle, F.lit(0))
+    # beyond the end get() is null and the hash skips it, so that a short text is one term of all its words
+    return F.sequence(F.lit(0), last), F.xxhash64(*[F.get(words_col, F.col("i") + k) for k in range(shingle)])
+
+
 def fingerprints(df: DataFrame, keys: list[str], text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(keys, fingerprint long) for each text; ``keys`` must identify the rows."""
+    places, term = votes(shingle=shingle)
     w = df.select(*keys, words(F.col(text_col)).alias("w"))
-    last = F.greatest(F.size("w") - shingle, F.lit(0))
-    each = w.select(*keys, "w", F.explode(F.sequence(F.lit(0), last)).alias("i"))
-    # beyond the end get() is null and the hash skips it, so that a short text is one term of all its words
-    term = F.xxhash64(*[F.get("w", F.col("i") + k) for k in range(shingle)])
+    each = w.select(*keys, "w", F.explode(places).alias("i"))
     each = each.select(*keys, (F.size("w") > 0).cast("long").alias("one"), term.alias("h"))
-    votes = [F.sum(F.shiftright("h", k).bitwiseAND(F.lit(_PAIR)) * F.col("one")).alias(f"v{k}") for k in range(32)]
-    summed = each.groupBy(*keys).agg(F.sum("one").alias("n"), *votes)
-    bits = [F.when((F.col(f"v{k}").bitwiseAND(F.lit(0xFFFFFFFF)) * 2) > F.col("n"), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k in range(32)]
+    sums = [F.sum(F.shiftright("h", k).bitwiseAND(F.lit(_PAIR)) * F.col("one")).alias(f"v{k}") for k in range(32)]
+    summed = each.groupBy(*keys).agg(F.sum("one").alias("n"), *sums)
+    low = [F.when((F.col(f"v{k}").bitwiseAND(F.lit(0xFFFFFFFF)) * 2) > F.col("n"), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k in range(32)]
     high = [F.when((F.shiftright(f"v{k}", 32) * 2) > F.col("n"), F.shiftleft(F.lit(1).cast("long"), k + 32)).otherwise(F.lit(0).cast("long")) for k in range(32)]
-    return summed.select(*keys, reduce(lambda a, b: a.bitwiseOR(b), bits + high).alias("fingerprint"))
+    return summed.select(*keys, reduce(lambda a, b: a.bitwiseOR(b), low + high).alias("fingerprint"))
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -81,44 +91,61 @@ def neighbours(fps: DataFrame, radius: int = 3, blocks: int = 6, col: str = "fin
     return pairs.distinct().withColumn("distance", distance(F.col("a"), F.col("b")))
 
 
-def with_next(ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Adds next_id, the next larger id (of the largest: the smallest).
+def with_neighbours(nodes: DataFrame, order: list[str], facts: list[str]) -> DataFrame:
+    """Adds next_<c> and last_<c> of the next and the previous row in ``order``, in a circle, for each fact and order column.
 
-    Ids are dealt into ranges; the window works inside a range, and the first
-    id of each range, one row of every ``RANGE_ROWS``, serves the range before.
+    ``nodes`` is a thin table whose order columns tell its rows apart.  Rows go
+    to ranges with about equally many rows, by a sample of the order; a window
+    works inside a range, and the ends of the ranges, a row of each, are joined.
     """
-    low, high, n = ids.agg(F.min(id_col), F.max(id_col), F.count(id_col)).first()
-    if not n:
-        return ids.withColumn("next_id", F.lit(None).cast("long"))
-    width = max(1.0, (float(high) - float(low) + 1) / max(1, n // RANGE_ROWS))
-    ranged = ids.withColumn("_range", F.floor((F.col(id_col).cast("double") - F.lit(float(low))) / F.lit(width)))
-    firsts = ranged.groupBy("_range").agg(F.min(id_col).alias("_first"))
-    firsts = firsts.select("_range", F.lead("_first").over(Window.orderBy("_range")).alias("_after"))
-    inner = F.lead(id_col).over(Window.partitionBy("_range").orderBy(id_col))
-    out = ranged.withColumn("next_id", inner).join(firsts, "_range")
-    return out.withColumn("next_id", F.coalesce("next_id", "_after", F.lit(low))).drop("_range", "_after")
+    spark, cols = nodes.sparkSession, [*order, *facts]
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-nodes.count() // RANGE_ROWS))
+    held = stored(nodes.repartitionByRange(min(n, 10_000), *order).withColumn("_range", F.spark_partition_id()), "id-ranges")
+    row = F.struct(*cols)
+    ends = held.groupBy("_range").agg(F.min(row).alias("_first"), F.max(row).alias("_last"))
+    every = Window.orderBy("_range")  # one row a range
+    around = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ends = ends.select("_range", F.coalesce(F.lead("_first").over(every), F.first("_first").over(around)).alias("_after"), F.coalesce(F.lag("_last").over(every), F.last("_last").over(around)).alias("_before"))
+    inside = Window.partitionBy("_range").orderBy(*order)
+    out = held.select("*", F.lead(row).over(inside).alias("_next"), F.lag(row).over(inside).alias("_prev")).join(ends, "_range")
+    out = out.withColumns({"_next": F.coalesce("_next", "_after"), "_prev": F.coalesce("_prev", "_before")})
+    return out.select(*cols, *[F.col("_next")[c].alias(f"next_{c}") for c in cols], *[F.col("_prev")[c].alias(f"last_{c}") for c in cols])
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, next_fingerprint as longs).
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, next_fingerprint as longs) for every row.
 
     The edited text has its last floor(n_chars / 4) characters replaced by the
-    first as many of the next document.  Texts are shuffled once by id; of the
-    next document only the head that is needed travels.
+    first as many of the next document.  Equal rows are one node with a number.
+    A thin table of (id, hash of the text, size) gives each node its neighbours;
+    texts then are shuffled once, by node; of the next document only the head
+    that is needed travels, and all further sums of a node stay where its text is.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("doc_id is not null")
-    if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        docs = docs.groupBy("doc_id").agg(F.max("text").alias("text"))
-    thin = with_next(docs.select("doc_id", F.length("text").alias("n_chars")))
-    thin = thin.select("doc_id", "next_id", F.floor(F.col("n_chars") / 4).cast("int").alias("cut"), F.col("n_chars").cast("long").alias("n_chars"))
-    wanted = thin.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("before"), F.col("cut").alias("head_chars"))
-    heads = docs.join(wanted, "doc_id").select(F.col("before").alias("doc_id"), F.expr("substring(text, 1, head_chars)").alias("head"))
-    both = docs.join(thin, "doc_id").join(heads, "doc_id")
-    edited = F.expr("concat(substring(text, 1, int(n_chars) - cut), head)")
-    texts = both.select("doc_id", "n_chars", "next_id", "text", edited.alias("edited"))
-    digests = texts.select("doc_id", "n_chars", "next_id", F.sha2("edited", 256).alias("edited_sha256"))
-    each = texts.select("doc_id", F.posexplode(F.array("text", "edited")).alias("which", "text"))
-    fps = fingerprints(each, ["doc_id", "which"])
-    pair = fps.groupBy("doc_id").agg(F.max(F.when(F.col("which") == 0, F.col("fingerprint"))).alias("fingerprint"), F.max(F.when(F.col("which") == 1, F.col("fingerprint"))).alias("edited_fingerprint"))
-    following = digests.select(F.col("next_id").alias("nid"), F.col("doc_id").alias("did")).join(pair.select(F.col("doc_id").alias("nid"), F.col("fingerprint").alias("next_fingerprint")), "nid").select(F.col("did").alias("doc_id"), "next_fingerprint")
-    return digests.join(pair, "doc_id").join(following, "doc_id").drop("next_id")
+    key = ["named", "doc_id", "mark"]
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    docs = docs.select(F.col("doc_id").isNotNull().alias("named"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    nodes = docs.select(*key, F.length("text").cast("long").alias("n_chars")).groupBy(*key).agg(F.max("n_chars").alias("n_chars"), F.count("*").alias("copies"))
+    nodes = stored(nodes, "documents-by-id")
+    nodes = stored(with_neighbours(nodes, key, ["n_chars"]).join(nodes.select(*key, "copies"), key), "document-order")
+    if nodes.where("copies > 1").limit(1).count():
+        docs = docs.dropDuplicates(key)
+    both = docs.join(nodes, key)
+    cut = lambda n: F.floor(F.col(n) / 4).cast("int")
+    heads = both.select(*[F.col(f"last_{c}").alias(c) for c in key], F.substring("text", F.lit(1), cut("last_n_chars")).alias("head"))
+    rest = F.substring("text", F.lit(1), F.col("n_chars").cast("int") - cut("n_chars"))
+    # a copy's next document is the copy after it
+    own = F.when(F.col("copies") > 1, F.concat(rest, F.substring("text", F.lit(1), cut("n_chars"))))
+    texts = both.join(heads, key).select(*key, "text", F.concat(rest, "head").alias("edited"), own.alias("again"))
+    digests = texts.select(*key, F.sha2("edited", 256).alias("edited_sha256"), F.sha2("again", 256).alias("again_sha256"))
+    each = texts.select(*key, F.posexplode(F.array("text", "edited", "again")).alias("which", "text")).where("text is not null")
+    fps = fingerprints(each, [*key, "which"])
+    of = lambda k: F.max(F.when(F.col("which") == k, F.col("fingerprint")))
+    fps = fps.groupBy(*key).agg(of(0).alias("fingerprint"), of(1).alias("edited_fingerprint"), of(2).alias("again_fingerprint"))
+    got = stored(digests.join(fps, key).join(nodes, key), "fingerprints")
+    after = [f"next_{c}" for c in key]
+    following = got.select(*[F.col(c).alias(a) for c, a in zip(key, after, strict=True)], F.col("fingerprint").alias("next_fingerprint"))
+    name = F.when(F.col("named"), F.col("doc_id")).alias("doc_id")
+    last = got.join(following, after).select(name, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "next_fingerprint")
+    copies = got.where("copies > 1").withColumn("_copy", F.explode(F.sequence(F.lit(2), F.col("copies").cast("int"))))
+    copies = copies.select(name, "n_chars", F.col("again_sha256").alias("edited_sha256"), "fingerprint", F.col("again_fingerprint").alias("edited_fingerprint"), F.col("fingerprint").alias("next_fingerprint"))
+    return last.unionByName(copies)
