@@ -186,7 +186,7 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, templates: dict[str, lis
     normal = lambda u: F.trim(F.regexp_replace(F.lower(u), "[^a-z0-9]+", " "))
     lines = F.split(F.col(text_col), "\n")
     paragraphs = F.filter(F.split(F.col(text_col), "\n[ \t\r]*\n"), lambda p: F.contains(F.trim(p), F.lit("\n")))
-    units = F.array_union(F.coalesce(lines, F.array().cast("array<string>")), F.coalesce(paragraphs, F.array().cast("array<string>")))
+    units = F.concat(F.coalesce(lines, F.array().cast("array<string>")), F.coalesce(paragraphs, F.array().cast("array<string>")))
     short = F.filter(F.transform(units, lambda u: F.struct(u.alias("unit"), F.split(normal(u), " ").alias("words"))), lambda s: F.size(s["words"]) >= fewest)
     # own templates are compared with windows too
     flat_windows = window_templates(threshold) if templates is None else [{"license": n, "need": bounds(len(g), threshold)[0], "high": bounds(len(g), threshold)[1], "grams": g} for n, g in flat]

@@ -43,7 +43,7 @@ def spread(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> Da
     """(h, g, doc_id, pos): the lines on ``min_sites`` sites or more, with their first occurrence."""
     site = F.coalesce(F.concat(F.lit("="), F.col("site")), F.lit("?"))
     first = F.min(F.struct("doc_id", "pos")).alias("first")
-    # rows of a line that occurs in one place only can't reach two sites; they leave before sketches are made
+    # a line in fewer places than sites needed leaves after the aggregation; its sketch is a short list
     many = lines.groupBy("h", "g").agg(F.count("*").alias("n"), F.hll_sketch_agg(site, lg_k).alias("sketch"), first).where(F.col("n") >= min_sites)
     est = many.select("h", "g", F.hll_sketch_estimate("sketch").alias("sites"), "first")
     est = stored(est.where(F.col("sites") >= min_sites * (1 - NEAR)), "line-spread")

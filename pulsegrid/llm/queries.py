@@ -16,7 +16,7 @@ VOCABULARY = "word_bpe_49k.json"
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.linked_documents(table(spark, sf_dir, "documents"), shingle=3, num=90, den=100)
+    return jaccard.linked_documents(table(spark, sf_dir, "documents"), shingle=3, num=90, den=100).select("doc_id", "n_shingles", "component_id")
 
 
 def op2_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +74,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality.fit(docs, labels.where(~held_out(F.col("doc_id"))))
     got = quality.score(docs, model)
-    return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.LEAST_GOOD).cast("int").alias("predicted"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

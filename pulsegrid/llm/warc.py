@@ -117,21 +117,52 @@ def _one(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     return parse(data, at)
 
 
+def _stated_end(data: bytes, at: int) -> int | None:
+    """Where the record at ``at`` ends by its own header, if this is whole and an end of record is there."""
+    end = data.find(b"\r\n\r\n", at)
+    if not data.startswith(b"WARC/1.", at) or end < 0:
+        return None
+    size = re.search(rb"(?i)\r\ncontent-length: *(\d+)\s", data[at : end + 2])
+    stop = end + 8 + int(size[1]) if size and len(size[1]) < 19 else None
+    return stop if stop is not None and data[stop - 4 : stop] == b"\r\n\r\n" else None
+
+
+def _next_record(data: bytes, at: int) -> int | None:
+    """The next place where a record passes all checks.
+
+    Version lines count after an empty line only, as records end in one.  A
+    block may quote a record; so one that is followed by another record or the
+    end of the data goes first, and others count only if there is no such one.
+    """
+    other = None
+    for m in _MARK.finditer(data, at):
+        place = m.start()
+        if m[0] == b"WARC/1." and data[place - 4 : place] != b"\r\n\r\n":
+            continue
+        try:
+            end = _one(data, place)[2]
+        except Broken:
+            continue
+        if end == len(data) or _MARK.match(data, end):
+            return place
+        other = place if other is None else other
+    return other
+
+
 def salvage(data: bytes) -> Iterator[tuple[str, int, int, object]]:
-    """("record", start, end, (headers, block)) and ("gap", start, end, reason) items that cover ``data``."""
+    """("record", start, end, (headers, block)) and ("gap", start, end, reason) items that cover ``data``.
+
+    A record whose header is whole but whose block fails its check ends where
+    the header says, so that nothing inside of its block is taken for a record.
+    """
     at, size = 0, len(data)
     while at < size:
         try:
             head, block, end = _one(data, at)
         except Broken as e:
-            start, reason, found = at, str(e), None
-            for m in _MARK.finditer(data, at + 1):
-                try:
-                    _one(data, m.start())
-                except Broken:
-                    continue
-                found = m.start()
-                break
+            start, reason = at, str(e)
+            found = _stated_end(data, at)
+            found = _next_record(data, at + 1) if found is None else found
             at = size if found is None else found
             yield "gap", start, at, reason
             continue
