@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import math
 import random
 import re
 import zlib
@@ -76,7 +77,7 @@ def test_jaccard_components(spark, k, num, den):
 
 def test_jaccard_repeats_and_nulls(spark):
     df = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (2, "A b\tc d")], "doc_id long, text string")
-    got = Counter(map(tuple, jaccard.linked_documents(df, 3, 90, 100).collect()))
+    got = Counter(tuple(r)[:3] for r in jaccard.linked_documents(df, 3, 90, 100).collect())
     assert got == Counter([(1, 2, 1), (1, 2, 1), (None, 2, None), (2, 2, 1)])
     assert jaccard.linked_documents(df.limit(0)).count() == 0
 
@@ -93,7 +94,7 @@ def test_signatures_miss_no_linked_pair(num):
         keep = rng.random(len(a)).argsort()[min(gone // 2, len(a) - 1) :]
         b = np.unique(np.r_[a[keep], rng.integers(0, 1 << 63, gone - gone // 2).astype(np.uint64)])
         if th.linked(a, b) and not np.array_equal(a, b):
-            keys = [jaccard.all_signatures(s, edges, bands, th) for s in (a, b)]
+            keys = [jaccard.all_signatures(s, edges, bands, th)[0] for s in (a, b)]
             missed += not len(np.intersect1d(*keys))
             diff = int(np.bitwise_count((jaccard.sketch(a) ^ jaccard.sketch(b)).view(np.uint64)).sum())
             assert diff * (num + 100) <= (100 - num) * (len(a) + len(b))
@@ -113,21 +114,37 @@ def test_linked_sets_share_over_spare_keys(spark, num, sets):
         b = np.unique(np.r_[a[gone // 2 :], rng.integers(0, 1 << 63, gone - gone // 2).astype(np.uint64)])
         if not th.linked(a, b):
             continue
-        keys = [np.unique(jaccard.all_signatures(x, edges, bands, th)) for x in (a, b)]
+        keys, drops = zip(*[jaccard.all_signatures(x, edges, bands, th) for x in (a, b)], strict=True)
         place = int(np.searchsorted(edges, max(len(a), len(b)), side="right")) - 1
         common = np.intersect1d(*keys)
-        assert (common & np.uint64(63) == place).sum() > bands[place].spare
+        shared = (common & np.uint64(63) == place).sum()
+        assert shared > bands[place].spare and all(shared > d[k & np.uint64(63) == place].max() for k, d in zip(keys, drops, strict=True))
         pairs.append((2 * i, 2 * i + 1))
-        shared = set(common.tolist())
-        for sid, own in zip(pairs[-1], keys, strict=True):  # the worst case: what they share is most frequent
-            rows += [(k, sid, 9 if k in shared else 2) for k in own.tolist()]
-    df = spark.createDataFrame([(k - (1 << 64) if k >> 63 else k, s, h) for k, s, h in rows], "sig long, sid long, held long")
+        own = set(common.tolist())
+        for sid, k, d in zip(pairs[-1], keys, drops, strict=True):  # the worst case: what they share is most frequent
+            rows += [(x, sid, y, 9 if x in own else 2) for x, y in zip(k.tolist(), d.tolist(), strict=True)]
+    df = spark.createDataFrame([(k - (1 << 64) if k >> 63 else k, s, d, h) for k, s, d, h in rows], "sig long, sid long, drop int, held long")
     left = {}
-    for r in jaccard._without_frequent(df, bands).collect():
+    for r in jaccard._without_frequent(df).collect():
         left.setdefault(r.sid, set()).add(r.sig)
     assert len(pairs) > 20 and all(left[a] & left[b] for a, b in pairs)
 
 
+@pytest.mark.parametrize("k, num", [(3, 90), (5, 80)])
+def test_jaccard_form_letters(spark, k, num):
+    """Letters that share all but two words don't link, those that share all but one may; few candidates are made of them."""
+    rng = random.Random(k)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(160):
+        w = list(base)
+        w[9] = f"n{rng.randrange(8 if i % 2 else 10**6)}"
+        w[40] = f"a{rng.randrange(40 if i % 2 else 10**6)}"
+        texts.append(" ".join(w))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.linked_documents(docs(spark, texts), k, num, 100).collect()}
+    assert got == brute_components(dict(enumerate(texts)), k, num, 100)
+
+
 def test_long_sketches_lose_no_link(spark):
     rng = np.random.default_rng(5)
     base, other = rng.integers(0, 1 << 63, 2_400, dtype=np.uint64), rng.integers(0, 1 << 63, 2_000, dtype=np.uint64)
@@ -239,20 +256,62 @@ def test_bpe_equals_library(spark):
     assert {r.doc_id: r.decoded for r in back.collect()} == {i: r.decoded for i, r in got.items()}
 
 
+def test_bpe_of_all_code_points():
+    t, own = Tokenizer.from_file(VOCAB), bpe.BpeCodec(VOCAB)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for lo in range(0, len(points), 20_000):
+        part = points[lo : lo + 20_000]
+        texts = ["".join(f"a{c}b {c}{c}1 e{c}" for c in part[i : i + 40]) for i in range(0, len(part), 40)]
+        assert [own.encode(x) for x in texts] == [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def test_bpe_long_words_and_empty_table(spark):
+    t, own = Tokenizer.from_file(VOCAB), bpe.BpeCodec(VOCAB, cache_words=3)
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("abcdeé日", k=n)) for n in (250, 257, 300, 5000, 20_000)] + ["ab" * 4000, "z" * 10_001] + [f"w{i} w{i % 3}" for i in range(50)]
+    for x in texts:
+        ids = t.encode(x, add_special_tokens=False).ids
+        assert own.encode(x) == ids and own.decode(ids) == t.decode(ids, skip_special_tokens=False)
+    assert bpe.digests(docs(spark, texts[:3]).limit(0), VOCAB).count() == 0
+
+
 # -- 3 --------------------------------------------------------------------
 
 
-def test_fingerprints(spark):
+def brute_edited(rows, mark):
+    """(doc_id, n_chars, edited_sha256, plain text, edited text, next text) of (doc_id, text) rows in order."""
+    rows = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, mark[r[1]]))
+    out = []
+    for n, (i, t) in enumerate(rows):
+        following = rows[(n + 1) % len(rows)][1]
+        edited = t[: len(t) - len(t) // 4] + following[: len(t) // 4]
+        out.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), t, edited, following))
+    return out
+
+
+def check_edited(spark, rows, df):
+    texts = sorted({t or "" for _, t in rows})
+    mark = {r.t: r.m for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.xxhash64("t").alias("m")).collect()}
+    want = brute_edited(rows, mark)
+    every = sorted({x for w in want for x in w[3:]})
+    fp = {every[r.k]: r.fingerprint for r in simhash.fingerprints(spark.createDataFrame(list(enumerate(every)), "k long, text string"), ["k"]).collect()}
+    got = Counter(tuple(r) for r in simhash.edited_fingerprints(df).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "next_fingerprint").collect())
+    assert got == Counter((*w[:3], fp[w[3]], fp[w[4]], fp[w[5]]) for w in want)
+
+
+def test_fingerprints(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "RANGE_ROWS", 5)
     texts = near_copies(3) + ["same text here once more", "same text here once more"]
-    got = {r.doc_id: r for r in simhash.edited_fingerprints(docs(spark, texts, True)).collect()}
-    plain = [t or "" for t in texts]
-    for i, t in enumerate(plain):
-        cut = len(t) // 4
-        edited = t[: len(t) - cut] + plain[(i + 1) % len(plain)][:cut]
-        assert (got[i].n_chars, got[i].edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
-        assert got[i].next_fingerprint == got[(i + 1) % len(plain)].fingerprint
-    assert got[len(plain) - 1].fingerprint == got[len(plain) - 2].fingerprint
-    assert got[0].fingerprint == 0
+    check_edited(spark, list(enumerate(texts)), docs(spark, texts, True))
+
+
+def test_fingerprints_null_and_repeated_ids(spark):
+    rows = [(7, "b c d e f g h i"), (7, "b c d e f g h i"), (7, "b c d e f g h i"), (7, "other text of the id"), (None, "no name"), (None, None), (None, ""), (1 << 62, "far away id"), (-5, "x" * 9)]
+    schema = "doc_id long, text string"
+    check_edited(spark, rows, spark.createDataFrame(rows, schema))
+    check_edited(spark, rows[:1], spark.createDataFrame(rows[:1], schema))
+    assert simhash.edited_fingerprints(spark.createDataFrame([], schema)).count() == 0
+    assert {r.fingerprint for r in simhash.fingerprints(spark.createDataFrame([(1, None), (2, ""), (3, " \t\n")], "k long, text string"), ["k"]).collect()} == {0}
 
 
 def test_fingerprint_votes(spark):
@@ -277,19 +336,37 @@ def test_neighbours_are_complete(spark):
 # -- 4 --------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("segment, dropped", [(64, 3), (8192, 2), (50, 0)])
-def test_top_k(spark, segment, dropped):
+def brute_top(vecs, k=5):
+    """(query_id, rank, vec_id, score) with rows told apart by their place, in integers of any length."""
+    good = [(n, i, [floor(256 * x) if abs(x) < 1e300 else int(x) * 256 for x in v]) for n, (i, v) in enumerate(vecs) if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    want = []
+    for n, q, a in good:
+        if q % 50 == 0:
+            best = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for m, i, b in good if m != n and len(a) == len(b))[:k]
+            want += [(q, r + 1, i, min(max(-s, -(1 << 63)), (1 << 63) - 1)) for r, (s, i) in enumerate(best)]
+    return sorted(want)
+
+
+def top_rows(df, **kw):
+    return sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 50 == 0, 5, 256, **kw).collect()))
+
+
+@pytest.mark.parametrize("segment, dropped, values", [(64, 3, 1 << 20), (8192, 2, 60), (50, 0, 1 << 20)])
+def test_top_k(spark, segment, dropped, values):
     rng = np.random.default_rng(segment)
     vecs = [(i, rng.normal(0, 0.3, 12).round(2).tolist()) for i in range(300)]
-    vecs += [(1000 + i, vecs[0][1]) for i in range(40)] + [(5000, None), (5050, [None] * 12), (5100, [float("nan")] * 12), (5150, [float("inf")] * 12), (None, vecs[1][1]), (5200, []), vecs[3]]
-    df = spark.createDataFrame(vecs, "vec_id long, embedding array<double>").withColumn("label", F.lit(1))
-    got = [tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, 5, 256, segment_rows=segment, query_rows=4, dropped_bits=dropped).orderBy("query_id", "rank").collect()]
-    good = {i: [floor(256 * x) for x in v] for i, v in vecs if i is not None and v and all(x is not None and np.isfinite(x) for x in v)}
-    want = []
-    for q in sorted(i for i in good if i % 50 == 0):
-        best = sorted((-sum(a * b for a, b in zip(good[q], v, strict=True)), i) for i, v in good.items() if i != q)[:5]
-        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
-    assert got == want
+    vecs += [(1000 + i, vecs[0][1]) for i in range(40)] + [(5000, None), (5050, [None] * 12), (5100, [float("nan")] * 12), (5150, [float("inf")] * 12), (None, vecs[1][1]), (5200, []), vecs[3], vecs[50], vecs[50], (5250, [0.0] * 12), (5300, [1.0, -2.0]), (5301, [0.5, 0.5]), (50, [0.25] * 12)]
+    df = spark.createDataFrame(vecs, "vec_id long, embedding array<double>").withColumns({"label": F.lit(1), "row": F.lit("x"), "x": F.lit(None).cast("int")})
+    assert top_rows(df, segment_rows=segment, query_rows=4, dropped_bits=dropped, query_values=values) == brute_top(vecs)
+    assert top_rows(df.limit(0)) == []
+
+
+def test_top_k_large_components(spark):
+    rng = np.random.default_rng(9)
+    size = [1.0, 1e5, 2e7, 1e10, 2e12, 1e13, 1e100, 1e300, 1.7e308]
+    vecs = [(i, (rng.normal(0, 0.4, 4) * size[int(rng.integers(len(size)))]).clip(-1.79e308, 1.79e308).tolist()) for i in range(400)]
+    got = top_rows(spark.createDataFrame(vecs, "vec_id long, embedding array<double>").repartition(3), segment_rows=32)
+    assert got == brute_top(vecs) and len({s for _, _, _, s in got} & {(1 << 63) - 1}) == 1
 
 
 # -- 5 --------------------------------------------------------------------
@@ -324,11 +401,31 @@ def test_salvage(packed):
     assert [g[1] for g in got] == [0] + [g[2] for g in got[:-1]]
 
 
+def test_salvage_of_quoted_records():
+    """A record in the block of a damaged one is no record, be the damage in the block or in the header."""
+    rec = lambda i, body: warc.record(i, "u", body, hashlib.sha1(body).digest(), None)
+    quoted = b"see:\r\n\r\n" + rec(99, b"inner page") + b"and so on"
+    parts = [rec(1, b"first"), rec(2, quoted), rec(3, b"third")]
+    at = np.cumsum([0] + [len(p) for p in parts]).tolist()
+    for damage in (at[2] - 8, at[1]):
+        data = bytearray(b"".join(parts))
+        data[damage] ^= 0xFF
+        got = list(warc.salvage(bytes(data)))
+        assert [g[:3] for g in got] == [("record", 0, at[1]), ("gap", at[1], at[2]), ("record", at[2], at[3])]
+    assert list(warc.salvage(b"")) == []
+
+
+def test_warc_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "u", "x" * 1000)] * 3 + [(2, "u", "x" * 1000)], "page_id long, url string, html string")
+    got = Counter((r.page_id, r.record_type, r.refers_to) for r in warc.read_archives(warc.write_archives(warc.with_revisits(df))).collect())
+    assert got == {(1, "revisit", 2): 3, (2, "response", None): 1}
+
+
 # -- 6 --------------------------------------------------------------------
 
 
 def brute_scan(text, t=0.8):
-    hits, units = [], list(dict.fromkeys((text or "").split("\n") + [p for p in re.split(r"\n[ \t\r]*\n", text or "") if "\n" in p.strip()]))
+    hits, units = [], (text or "").split("\n") + [p for p in re.split(r"\n[ \t\r]*\n", text or "") if "\n" in p.strip()]
     for u in units:
         own = set(licenses.bigrams_of(u))
         best = max(((2 * len(own & set(g)) / (len(own) + len(g)), -k, n) for k, (n, g) in enumerate((n, licenses.bigrams_of(x)) for n, xs in sorted(licenses.TEMPLATES.items()) for x in xs)), default=(0, 0, ""))
@@ -343,6 +440,8 @@ def test_license_scan(spark):
     got = {r.doc_id: [(round(h.dice, 9), h.license) for h in r.hits] for r in licenses.scan(docs(spark, texts, True)).collect()}
     assert got == {i: brute_scan(t) for i, t in enumerate(texts)}
     assert [x[1] for x in got[len(texts) - 1]] == ["GPL-3.0"]
+    assert len(got[len(texts) - 2]) == 2 + 1  # a line that occurs twice, and the paragraph of both
+    assert licenses.scan(docs(spark, texts).limit(0)).count() == 0
 
 
 def test_license_windows(spark):
@@ -382,47 +481,102 @@ def test_line_dedup(spark):
     assert lines.cleaned(df.limit(0)).count() == 0
 
 
+def test_line_dedup_by_sketch(spark):
+    """A line on 40 sites is decided by its sketch alone, one on 9 and one on 7 by exact counts; null and repeated ids."""
+    rows = [(i, f"A line that forty sites have in common.\nown text {i} of this very site" + ("\nA line that nine of the sites have." if i < 9 else "\nA line that seven sites have, or so." if i < 16 else ""), f"site{i}") for i in range(40)]
+    rows += [(None, "A line that forty sites have in common.", "x"), (3, "A line that forty sites have in common.", "site3"), (50, None, None), (51, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"first": F.lit(1), "_id": F.lit(2)})
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.text or "", r.lines_removed) for r in lines.cleaned(df, min_sites=8).collect())
+    want = []
+    for i, t, _ in rows:
+        drop = lambda x: i is not None and i > 0 and ("forty" in x or "nine" in x)  # noqa: B023, E731
+        kept = [x for x in (t or "").split("\n") if not drop(x)]
+        want.append((i if i is not None else -1, "\n".join(kept), len((t or "").split("\n")) - len(kept)))
+    assert got == sorted(want)
+
+
 # -- 9 --------------------------------------------------------------------
 
 
+def brute_probabilities(cells, fraction, powers, targets):
+    """{(source, lang, topic): probability} from {cell: tokens}, in plain Python: raking, then bisection of the scale."""
+    total = sum(cells.values())
+    share = []
+    for d, (dim, power) in enumerate(zip(mixing.DIMS, powers, strict=True)):
+        have = Counter()
+        for c, t in cells.items():
+            have[c[d]] += t
+        raised = {k: v for k, v in targets.get(dim, {}).items() if have[k]} or {k: v**power for k, v in have.items() if v}
+        share.append({k: v / sum(raised.values()) for k, v in raised.items()})
+    w = {c: t / total for c, t in cells.items()}
+    for _ in range(mixing.ROUNDS):
+        for d in range(3):
+            have = Counter()
+            for c, x in w.items():
+                have[c[d]] += x
+            w = {c: x * share[d].get(c[d], 0) / have[c[d]] if have[c[d]] else 0 for c, x in w.items()}
+        whole = sum(w.values())
+        w = {c: x / whole for c, x in w.items()}
+    kept = lambda s: sum(min(cells[c], s * x) for c, x in w.items())
+    budget = min(fraction * total, sum(t for c, t in cells.items() if w[c]))
+    low, high = 0.0, 1.0
+    while kept(high) < budget * (1 - 1e-13) and high < 1e30:
+        high *= 2
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if kept(mid) < budget * (1 - 1e-13) else (low, mid)
+    return {c: min(1.0, high * x / cells[c]) if cells[c] else 0.0 for c, x in w.items()}
+
+
+SKEWED = {("hot", "en", "a"): 10**9, ("hot", "de", "b"): 10**9, ("rare", "en", "b"): 10, ("mid", "fr", "a"): 5000, ("mid", "en", "a"): 70, ("none", "en", "a"): 0}
+
+
+@pytest.mark.parametrize("fraction, targets", [
+    (0.6, {}), (0.6, {"source_key": {"rare": 0.999, "hot": 0.001}}), (0.3, {"source_key": {"absent": 1.0}, "topic": {"a": 3.0, "b": 1.0, "c": 9.0}}),
+    (1.0, {"lang_key": {"en": 1.0}}), (0.5, {"source_key": {"hot": 0.0, "mid": 0.0, "rare": 0.0}}),
+])
+def test_mixing_cells(spark, monkeypatch, fraction, targets):
+    """Both places of the arithmetic give each cell the probability of a plain loop."""
+    monkeypatch.setattr(mixing, "ROUNDS", 3)
+    rows = spark.createDataFrame([(*c, t) for c, t in SKEWED.items()], "source_key string, lang_key string, topic string, tokens long")
+    if targets.get("source_key", {}).get("hot") == 0.0:
+        want = dict.fromkeys(SKEWED, 0.0)
+    else:
+        want = brute_probabilities(SKEWED, fraction, (0.5, 0.7, 0.7), targets)
+    for cells in (100, 2):
+        monkeypatch.setattr(mixing, "LOCAL_CELLS", cells)
+        got = {tuple(r)[:3]: r.probability for r in mixing.probabilities(rows, fraction, (0.5, 0.7, 0.7), targets).collect()}
+        assert got == pytest.approx(want, rel=1e-9, abs=1e-18)
+
+
 def test_raking_meets_marginals():
     rng = np.random.default_rng(1)
     at = [np.arange(60) % 5, np.arange(60) // 5 % 4, np.arange(60) // 20]
     want = [np.array([0.4, 0.3, 0.1, 0.1, 0.1]), np.full(4, 0.25), np.array([0.5, 0.3, 0.2])]
     w = mixing.rake(at, rng.random(60) + 0.01, want)
     assert all(np.allclose(np.bincount(a, w), t, atol=1e-8) for a, t in zip(at, want, strict=True))
-    tokens = rng.random(60) * 1000
-    s = mixing.scale_for(0.5 * tokens.sum(), tokens, w / tokens)
-    assert (tokens * np.minimum(1, s * w / tokens)).sum() == pytest.approx(0.5 * tokens.sum())
-
-
-def test_mixing_paths_agree(spark, monkeypatch):
-    df = docs(spark, [f"word {i} " * (i % 40) for i in range(200)] + ODD)
-    assert all(0 <= r.probability <= 1 for r in mixing.sampled(df).collect())
-    got = mixing.sampled(df).agg(F.count("*"), F.count_if("kept")).first()
-    assert got[0] == 200 + len(ODD) and 0 < got[1] < got[0]
-    monkeypatch.setattr(mixing, "LOCAL_CELLS", 3)
-    monkeypatch.setattr(mixing, "ROUNDS", 2)
-    cells = mixing.described(df)
-    table = mixing.probabilities(cells, 0.6, (0.5, 0.7, 0.7))
-    assert table.count() == cells.select(*mixing.DIMS).distinct().count()
-    kept, whole = cells.join(table, mixing.DIMS).agg(F.sum(F.col("tokens") * F.col("probability")), F.sum("tokens")).first()
-    assert kept == pytest.approx(0.6 * whole, rel=0.01)
-    assert mixing.sampled(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("share, fraction", [(0.001, 0.6), (1e-7, 0.6), (0.001, 1.0), (0.9, 0.2)])
-def test_mixing_hot_source(spark, monkeypatch, share, fraction):
-    rows = [(i, "word " * 20, "en", f"s{i % 5}" if i % 2 else "hot", 0) for i in range(200)]
-    cells = mixing.described(spark.createDataFrame(rows, DOCS))
-    targets = {"source_key": {"hot": share} | {f"s{i}": (1 - share) / 5 for i in range(5)}}
-    at = lambda: {r.source_key: r.probability for r in mixing.probabilities(cells, fraction, (0.5, 0.7, 0.7), targets).collect()}
-    local = at()
-    monkeypatch.setattr(mixing, "LOCAL_CELLS", 3)
-    monkeypatch.setattr(mixing, "ROUNDS", 2)
-    table = at()
-    assert table == pytest.approx(local, rel=1e-9)
-    assert sum(table["hot" if i % 2 == 0 else f"s{i % 5}"] for i in range(200)) == pytest.approx(200 * fraction)
+def test_mixing_rows(spark):
+    """Each document is kept if the hash of its id is below its cell's probability; nulls, empties, clashing columns."""
+    texts = [f"word {i} " * (i % 40) for i in range(200)] + ODD + ["a | b | c | d | e | f", "word " * 700]
+    df = docs(spark, texts, True).unionByName(docs(spark, ["no id", None], True).withColumn("doc_id", F.lit(None).cast("long")))
+    got = mixing.sampled(df).collect()
+    assert len(got) == len(texts) + 2 and got[0].asDict().keys() >= set(df.columns)
+    cells = Counter()
+    for r in got:
+        n = len((r.text or "").split())
+        key = (r.source or "(none)", r.lang or "(none)", r.topic)
+        assert (r.source_key, r.lang_key) == key[:2] and r.tokens == n or "\x1c" in r.text
+        cells[key] += r.tokens
+    want = brute_probabilities(cells, 0.6, (0.5, 0.7, 0.7), {})
+    draws = {r.doc_id: r.d for r in df.select("doc_id", mixing.draw(F.col("doc_id")).alias("d")).collect()}
+    for r in got:
+        assert r.probability == pytest.approx(want[r.source_key, r.lang_key, r.topic], rel=1e-6) and r.kept == (draws[r.doc_id] < r.probability)
+    assert 0 < sum(r.kept for r in got) < len(got)
+    given = mixing.sampled(df, topic=F.lit("t"), tokens=F.lit(7)).select("topic", "tokens").distinct().collect()
+    assert [tuple(r) for r in given] == [("t", 7)]
+    assert mixing.sampled(df.limit(0)).count() == 0
 
 
 # -- 10 -------------------------------------------------------------------
@@ -444,17 +598,39 @@ def test_quality_held_out(spark):
     assert {r.score for r in quality.score(docs(spark, ODD), empty).collect()} == {0.5}
 
 
-# -- pipeline -------------------------------------------------------------
-
-
-def test_pipeline_stages(spark):
-    import corpus_pipeline
-
-    sf, d, seen = "/root/testdata/sf0.001", None, []
-    d = spark.read.parquet(f"{sf}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES:
-        d = stage(spark, d, sf).cache()
-        seen.append(d.count())
-        if name != corpus_pipeline.STAGES[-1][0]:
-            assert d.columns == corpus_pipeline.COLUMNS
-    assert seen == sorted(seen, reverse=True) and seen[-1] > 0
+def test_quality_equals_brute_force():
+    """The vote of each document by a plain loop over all labelled vectors, in Python integers."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices(["alpha", "beta", "gamma", "delta", "&&&", "x!"], k=rng.randrange(1, 60))) for _ in range(150)] + ["word word word"] * 5 + [""]
+    labels = np.array([i % 3 > 0 for i in range(60)] + [1, 0, 1], float)
+    learned = texts[:60] + texts[150:153]  # equal texts among the labelled: ties
+    model = quality.fit_arrays(quality.matrix(learned).astype(np.float32), labels, rank=8, k=5)
+    got = model.score(quality.matrix(texts))
+    vectors = model.embed(quality.matrix(texts)).astype(int).tolist()
+    held = model.vectors.astype(int).tolist()
+    for t, v, s in zip(texts, vectors, got, strict=True):
+        best = sorted((-sum(a * b for a, b in zip(v, h, strict=True)), i) for i, h in enumerate(held))[:5]
+        sims = [-b / quality.VECTOR_UNIT**2 for b, _ in best]
+        weight = [math.exp(quality.SHARPNESS * (x - sims[0])) for x in sims]
+        want = sum(w * labels[i] for w, (_, i) in zip(weight, best, strict=True)) / sum(weight) if t else model.prior
+        assert s == pytest.approx(want, abs=1e-12)
+
+
+def test_quality_equal_texts_and_odd_labels(spark):
+    rng = random.Random(5)
+    base = [" ".join(rng.choices([f"w{i}" for i in range(40)], k=rng.randrange(1, 300))) for _ in range(40)]
+    texts = base * 30 + [None, ""] * 3
+    d = docs(spark, texts, True)
+    rows = [(i, i % 2) for i in range(30)] + [(30, 0), (30, 1), (31, 1), (31, 1), (None, 1), (32, None), (33, 7)]
+    labels = spark.createDataFrame(rows, "doc_id long, quality int")
+    model = quality.fit(d, labels)
+    assert len(model.labels) == 31 and model.prior == pytest.approx(16 / 31)
+    got = {}
+    for r in quality.score(d.repartition(7), model).collect():
+        got.setdefault(texts[r.doc_id], set()).add(r.score)
+    assert all(len(x) == 1 for x in got.values()) and got[None] == got[""] == {model.prior}
+    again = spark.createDataFrame([(1, "b"), (1, "a"), (None, "c")], "doc_id long, text string")
+    assert len(quality.fit(again, labels).labels) == 1
+    both = quality.with_score(d, model, "score")
+    assert both.columns.count("score") == 1 and dict(both.dtypes)["score"] == "double" and both.count() == len(texts)
+    assert quality.score(d.limit(0), model).count() == 0 and len(quality.fit(d.limit(0), labels).labels) == 0
