@@ -15,13 +15,18 @@ from pulsegrid.llm import bpe, jaccard, lines, mixing, quality
 from pulsegrid.llm.shared import stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A document goes if its quality score is below this.
-LEAST_QUALITY = 0.5
+#: A document goes if its quality score is below this: it is the threshold of the classifier's own prediction.
+LEAST_QUALITY = quality.LEAST_GOOD
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; empty texts, which it can't judge, stay or go by the prior."""
+    """Documents that the classifier rejects go; empty texts, which it can't judge, stay or go by the prior.
+
+    Without labels every score is 0.5 and nothing is judged, so all stay.
+    """
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    if not len(model.labels):
+        return docs
     scored = quality.with_score(docs, model, "_quality_score")
     return scored.where(F.col("_quality_score") >= LEAST_QUALITY).drop("_quality_score")
 
@@ -34,11 +39,22 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by similar five-word shingles the one with the smallest id stays."""
-    groups = jaccard.linked_documents(docs, shingle=5, num=80, den=100)
-    others = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(others, "doc_id", "left_anti")
-    return kept.select(docs.columns)
+    """Of each group of documents linked by similar five-word shingles one row stays.
+
+    It is the one with the smallest id, of rows that repeat this id the one with
+    the smallest hash of its text; texts without words and rows without an id
+    link with nothing and stay.
+    """
+    groups = stored(jaccard.linked_documents(docs, shingle=5, num=80, den=100).where("component is not null"), "near-duplicates")
+    best = groups.groupBy("component").agg(F.min(F.struct("doc_id", "mark")).alias("best"))
+    others = groups.join(best, "component").where(F.struct("doc_id", "mark") != F.col("best")).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()
+    again = groups.groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    own = (F.col("doc_id") == F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_mark"))
+    kept = docs.join(others, own, "left_anti")
+    if not again.limit(1).count():
+        return kept.select(docs.columns)
+    once = kept.join(again, own, "left_semi").withColumn("_mark", F.xxhash64(F.col("text").cast("string"))).dropDuplicates(["doc_id", "_mark"])
+    return kept.join(again, own, "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +75,7 @@ STAGES = [
     ("bpe_round_trip", token_stage),
 ]
 
-#: Classifier, tokenizer and connected components can't be written in SQL; tests use brute force instead.
+#: Classifier, tokenizer and connected components can't be written in SQL; tests hold each stage's rows against brute force.
 ORACLE_SQL = None
 
 
