@@ -6,17 +6,6 @@ import re
 
 import numpy as np
 
-#: Vowel letters of the syllable count.
-_SYLLABLE = re.compile(r"[aeiouyàáâäæèéêëìíîïòóôöœùúûü]+")
-
-
-def syllables(word: str) -> int:
-    """Groups of vowels, less a silent final e; at least one for a word with letters."""
-    w = "".join(c for c in word.lower() if c.isalpha())
-    n = len(_SYLLABLE.findall(w)) - (w.endswith("e") and not w.endswith("le") and len(_SYLLABLE.findall(w)) > 1)
-    return max(n, 1) if w else 0
-
-
 def align(ref: list[str], hyp: list[str]) -> tuple[int, list[tuple[int, int]]]:
     """Word edit distance and the aligned index pairs (-1 for none); on ties insertion, then deletion, then the diagonal."""
     n, m = len(ref), len(hyp)
@@ -25,8 +14,8 @@ def align(ref: list[str], hyp: list[str]) -> tuple[int, list[tuple[int, int]]]:
     for i in range(1, n + 1):
         diag = cost[i - 1, :-1] + np.array([ref[i - 1] != h for h in hyp], np.int32)
         best = np.minimum(diag, cost[i - 1, 1:] + 1)
-        for j in range(1, m + 1):
-            cost[i, j] = min(best[j - 1], cost[i, j - 1] + 1)
+        # the least of best[k] + (j - k) over k <= j: insertions after any way in
+        cost[i, 1:] = np.minimum.accumulate(np.concatenate([cost[i, :1], best - np.arange(1, m + 1)]))[1:] + np.arange(1, m + 1)
     pairs, i, j = [], n, m
     while i or j:
         if j and cost[i, j] == cost[i, j - 1] + 1:

@@ -14,11 +14,18 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
-def rotation_angle(pitch: Column, yaw: Column, roll: Column) -> Column:
-    """Degrees of the whole rotation, order XYZ, by the trace of the matrix."""
+def rotation_angle(pitch: Column, yaw: Column, roll: Column, order: str = "XYZ") -> Column:
+    """Degrees of the whole rotation, by the trace of the matrix; pitch turns about x, yaw about y, roll about z.
+
+    The traces of the six orders differ only in the sign of the product of the
+    sines: it is negative for XYZ, YZX and ZXY, positive for the others.
+    """
+    if sorted(order) != ["X", "Y", "Z"]:
+        raise ValueError("the order must name X, Y and Z once")
     p, y, r = F.radians(pitch), F.radians(yaw), F.radians(roll)
-    trace = F.cos(y) * F.cos(r) + (F.cos(p) * F.cos(r) - F.sin(p) * F.sin(y) * F.sin(r)) + F.cos(p) * F.cos(y)
-    return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (trace - 1) / 2))))
+    sines = F.sin(p) * F.sin(y) * F.sin(r) * (-1 if order in ("XYZ", "YZX", "ZXY") else 1)
+    trace = F.cos(y) * F.cos(r) + F.cos(p) * F.cos(r) + sines + F.cos(p) * F.cos(y)
+    return F.when(trace.isNotNull(), F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (trace - 1) / 2)))))
 
 
 def distance2(ax: Column, ay: Column, bx: Column, by: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -59,10 +59,13 @@ def window_stats(parts: DataFrame, by: list[str]) -> DataFrame:
 
 
 def with_empty_windows(stats: DataFrame, by: list[str], width: int) -> DataFrame:
-    """Adds a row of nulls for each window without data between a recording's first and last."""
-    ends = stats.groupBy(*by).agg(F.min("window_start").alias("lo"), F.max("window_start").alias("hi"))
-    spine = ends.select(*by, F.explode(F.sequence("lo", "hi", F.lit(width).cast("long"))).alias("window_start"))
-    return spine.join(stats, [*by, "window_start"], "left")
+    """Adds a row of nulls for each window without data between a recording's first and last; no join, each row fills the gap after it."""
+    after = F.lead("window_start").over(Window.partitionBy(*by).orderBy("window_start"))
+    rows = stats.withColumn("_last", F.coalesce(after - F.lit(width), F.col("window_start")))
+    rows = rows.withColumn("_at", F.explode(F.sequence(F.col("window_start"), F.col("_last"), F.lit(width).cast("long"))))
+    held = F.col("_at") == F.col("window_start")
+    measures = [c for c in stats.columns if c not in (*by, "window_start")]
+    return rows.select(*by, F.col("_at").alias("window_start"), *[F.when(held, F.col(c)).alias(c) for c in measures])
 
 
 def quality_gate(points: DataFrame, by: list[str], at: str, rows: int = 60, share: float = 0.05, width: int = 3_600_000_000) -> DataFrame:

@@ -96,6 +96,35 @@ def rescaled_for_skip(df: DataFrame, skip: int, exempt: str = "mouth_openness")
     return df.withColumns(by)
 
 
+def largest(x: Column, missing: float) -> Column:
+    """Greatest value, where ``missing`` stands for none (an aggregate)."""
+    return F.max(F.nullif(x, F.lit(missing)))
+
+
+def mean_of_files(summaries: DataFrame, by: list[str]) -> DataFrame:
+    """Means of all numeric columns over files."""
+    numeric = [f.name for f in summaries.schema if f.name not in by and f.dataType.typeName() in ("double", "float", "integer", "long")]
+    return summaries.groupBy(*by).agg(*[F.avg(c).alias(c) for c in numeric])
+
+
+def cepstral_moments(frames: DataFrame, by: list[str], vector: str, n: int = 14) -> DataFrame:
+    """Mean and population variance of each coefficient, and the median absolute deviation of the second."""
+    one = lambda i: F.get(vector, F.lit(i)).cast("double")
+    got = frames.groupBy(*by).agg(*[a for i in range(n) for a in (F.avg(one(i)).alias(f"mfcc{i + 1}_mean"), F.var_pop(one(i)).alias(f"mfcc{i + 1}_var"))])
+    return got.join(mad(frames.select(*by, one(1).alias("_second")), by, "_second").select(*by, F.col("mad").alias("spectral_variability")), by)
+
+
+def first_person_sentiment(turns: DataFrame, by: list[str], share: str, pos: str, neg: str) -> DataFrame:
+    """Means over turns of (100 - share) * pos, of share * neg, and of whichever belongs to the larger of pos and neg."""
+    a, b = (100 - F.col(share)) * F.col(pos), F.col(share) * F.col(neg)
+    return turns.groupBy(*by).agg(F.avg(a).alias("positive"), F.avg(b).alias("negative"), F.avg(F.when(F.col(pos) > F.col(neg), a).otherwise(b)).alias("overall"))
+
+
+def labelled_speakers(scores: DataFrame, by: list[str], speaker: str, score: str) -> DataFrame:
+    """The speaker with the highest score by a script is the clinician; of equal ones the smaller label."""
+    return scores.groupBy(*by).agg(F.min_by(speaker, F.struct(-F.col(score), F.col(speaker))).alias("clinician"))
+
+
 def slope(df: DataFrame, by: list[str], order: list[str], value: str, name: str = "slope") -> DataFrame:
     """Least-squares slope over the places 0, 1, ... of the values that are not null."""
     from .series import in_order

@@ -8,7 +8,6 @@ speaker, t the time in microseconds.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,12 +35,14 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import models
+    from . import measures, models  # noqa: F401  (measures registers its queries)
 
     return _QUERIES | models.queries()
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import measures  # noqa: F401
+
     return dict(_SQL)
 
 
@@ -371,7 +372,8 @@ _TOK = f"list_filter(string_split_regex(lower(translate(text, '{_PUNCT}', '')),
 
 
 def _mattr_sql(w, k):
-    return f"list_sum(list_transform(range(1, len({w}) - least({k}, len({w})) + 2), lambda i: len(list_distinct({w}[i:i + least({k}, len({w})) - 1])) / CAST(least({k}, len({w})) AS DOUBLE))) / (len({w}) - least({k}, len({w})) + 1)"
+    m = f"least({k}, len({w}))"
+    return f"CAST(list_sum(list_transform(range(1, len({w}) - {m} + 2), lambda i: len(list_distinct({w}[i:i + {m} - 1])))) AS DOUBLE) / CAST({m} * (len({w}) - {m} + 1) AS DOUBLE)"
 
 
 def _documents(spark, sf_dir):
@@ -393,29 +395,32 @@ def honore(spark, sf_dir):
 @query(f"WITH d AS (SELECT conv_id, turn, {_TOK} w FROM conversations) SELECT conv_id, turn, {', '.join(f'{R(_mattr_sql("w", k), 6)} mattr_{k}' for k in (5, 10, 25, 50, 100))} FROM d")
 def mattr(spark, sf_dir):
     d = table(spark, sf_dir, "conversations").select("conv_id", "turn", T.tokens(F.col("text")).alias("w"))
-    return d.select("conv_id", "turn", *[r(T.mattr(F.col("w"), k), 6).alias(f"mattr_{k}") for k in (5, 10, 25, 50, 100)])
+    d = d.select("conv_id", "turn", T.occurrences(F.col("w")).alias("o"))
+    return d.select("conv_id", "turn", *[r(T.mattr_of(F.col("o"), k), 6).alias(f"mattr_{k}") for k in (5, 10, 25, 50, 100)])
 
 
 _PHR = f"list_filter(list_transform(string_split_regex(text, '[.!?]+'), lambda p: trim(lower(translate(p, '{_PUNCT}', '')))), lambda p: p <> '')"
 
 
-def _rep_sql(w, k):
-    m = f"least({k}, len({w}))"
-    return f"CASE WHEN len({w}) = 0 THEN 0e0 ELSE list_sum(list_transform(range(1, len({w}) - {m} + 2), lambda i: 100 * ({m} - len(list_distinct({w}[i:i + {m} - 1]))) / CAST({m} AS DOUBLE))) / (len({w}) - {m} + 1) END"
+def _rep_sql(w, k, none="0e0"):
+    return f"CASE WHEN len({w}) = 0 THEN {none} ELSE 100 * (1 - {_mattr_sql(w, k)}) END"
 
 
-@query(f"WITH d AS (SELECT conv_id, turn, {_TOK} w, {_PHR} p FROM conversations) SELECT conv_id, turn, {R(_rep_sql('w', 10), 4)} word_repeat_e4, {R(_rep_sql('p', 3), 4)} phrase_repeat_e4 FROM d")
+@query(f"WITH d AS (SELECT conv_id, turn, {_TOK} w, {_PHR} p FROM conversations) SELECT conv_id, turn, {R(_rep_sql('w', 10), 4)} word_repeat_e4, {R(_rep_sql('p', 3, 'NULL'), 4)} phrase_repeat_e4 FROM d")
 def repetition(spark, sf_dir):
     d = table(spark, sf_dir, "conversations").select("conv_id", "turn", T.tokens(F.col("text")).alias("w"), T.phrases(F.col("text")).alias("p"))
-    return d.select("conv_id", "turn", r(T.repetition(F.col("w"), 10), 4).alias("word_repeat_e4"), r(T.repetition(F.col("p"), 3), 4).alias("phrase_repeat_e4"))
+    return d.select("conv_id", "turn", r(F.coalesce(T.repetition(F.col("w"), 10), F.lit(0.0)), 4).alias("word_repeat_e4"), r(T.repetition(F.col("p"), 3), 4).alias("phrase_repeat_e4"))
 
 
 _IN = lambda lex: f"len(list_filter(w, lambda x: x IN ({', '.join(map(repr, lex))})))"
 
 
-@query(f"WITH d AS (SELECT doc_id, {_TOK} w FROM documents) SELECT doc_id, {R(f'100 * {_IN(T.FIRST_PERSON)} / CAST(nullif({_IN(T.PRONOUNS)}, 0) AS DOUBLE)', 4)} first_person_e4 FROM d")
+_WRITTEN = _TOK.replace("lower(translate", "(translate")
+
+
+@query(f"WITH d AS (SELECT doc_id, {_WRITTEN} w FROM documents) SELECT doc_id, {R(f'100 * {_IN(T.FIRST_PERSON)} / CAST(nullif({_IN(T.PRONOUNS).replace("x IN", "lower(x) IN")}, 0) AS DOUBLE)', 4)} first_person_e4 FROM d")
 def first_person_pct(spark, sf_dir):
-    return _documents(spark, sf_dir).select("doc_id", r(T.first_person_share(F.col("w")), 4).alias("first_person_e4"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.plain_words(F.col("text")).alias("w")).select("doc_id", r(T.first_person_share(F.col("w")), 4).alias("first_person_e4"))
 
 
 @query("""WITH w AS (SELECT conv_id, turn, role, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') ws FROM conversations)
@@ -459,19 +464,12 @@ def _lag_sims(df: DataFrame, lags: range, by="label", order="vec_id") -> DataFra
     return ahead.withColumns({f"s{k}": V.cosine(F.col("v"), F.col(f"_v{k}")) for k in lags}).drop(*[f"_v{k}" for k in lags])
 
 
-def _bands(df: DataFrame) -> DataFrame:
-    s, w = _lag_sims(df, range(1, 11)), S.in_order(["label"], ["vec_id"])
-    near = lambda m: [F.lit(1.0)] + [x for k in range(1, m + 1) for x in (F.col(f"s{k}"), F.lag(f"s{k}", k).over(w))]
-    mean = lambda xs: reduce(lambda a, b: a + b, [F.coalesce(x, F.lit(0.0)) for x in xs]) / reduce(lambda a, b: a + b, [F.when(x.isNotNull(), 1).otherwise(0) for x in xs])
-    return s.withColumns({"lag1": F.lag("s1").over(w), "c5": mean(near(2)), "c10": mean(near(5))})
-
-
-@query(f"""WITH {_E}, p AS (SELECT a.vec_id, a.label, a.n, b.n - a.n k, {_COS('a.v', 'b.v')} s FROM e a JOIN e b ON a.label = b.label AND b.n - a.n BETWEEN -10 AND 10)
- SELECT label, vec_id, {R('max(s) FILTER (k = -1)', 6)} coherence, {R('avg(s) FILTER (abs(k) <= 2)', 6)} coherence_5, {R('avg(s) FILTER (abs(k) <= 5)', 6)} coherence_10,
- {', '.join(f'{R(f"max(s) FILTER (k = {k})", 6)} variability_{k}' for k in range(2, 11))} FROM p GROUP BY 1, 2""")
+@query(f"""WITH {_E}, p AS (SELECT a.vec_id, a.label, a.n, a.c, b.n - a.n k, {_COS('a.v', 'b.v')} s FROM e a JOIN e b ON a.label = b.label AND b.n - a.n BETWEEN -10 AND 10)
+ SELECT label, vec_id, {R('max(s) FILTER (k = -1)', 6)} coherence, {R('CASE WHEN any_value(c) > 5 AND count(*) FILTER (abs(k) <= 2) = 5 THEN avg(s) FILTER (abs(k) <= 2) END', 6)} coherence_5,
+ {R('CASE WHEN any_value(c) > 10 AND count(*) FILTER (abs(k) <= 5) = 11 THEN avg(s) FILTER (abs(k) <= 5) END', 6)} coherence_10, {', '.join(f'{R(f"max(s) FILTER (k = {k})", 6)} variability_{k}' for k in range(2, 11))} FROM p GROUP BY 1, 2""")
 def word_coherence(spark, sf_dir):
-    b = _bands(_vectors(spark, sf_dir))
-    return b.select("label", "vec_id", r(F.col("lag1"), 6).alias("coherence"), r(F.col("c5"), 6).alias("coherence_5"), r(F.col("c10"), 6).alias("coherence_10"), *[r(F.col(f"s{k}"), 6).alias(f"variability_{k}") for k in range(2, 11)])
+    b = S.with_coherence(_vectors(spark, sf_dir), ["label"], ["vec_id"], "v")
+    return b.select("label", "vec_id", *[r(F.col(c), 6).alias(c) for c in ("coherence", "coherence_5", "coherence_10", *[f"variability_{k}" for k in range(2, 11)])])
 
 
 @query(f"""WITH {_E}, p AS (SELECT a.label, a.n, {_COS('a.v', 'b.v')} s FROM e a JOIN e b ON a.label = b.label AND b.n - a.n = -1)

@@ -25,15 +25,6 @@ def edit_alignment(spark, sf_dir):
     return c.withColumn("d", distance("w", "nw")).select("conv_id", "turn", "d.cost", "d.aligned")
 
 
-def syllable_rate(spark, sf_dir):
-    @F.pandas_udf("long")
-    def count(words: pd.Series) -> pd.Series:
-        return pd.Series([sum(map(N.syllables, w)) for w in words])
-
-    d = C.table(spark, sf_dir, "conversations").select("conv_id", "turn", T.tokens(F.col("text")).alias("w"))
-    return d.select("conv_id", "turn", F.size("w").alias("n_words"), count("w").alias("n_syllables"))
-
-
 def _per_recording(spark, sf_dir, run, schema):
     return C.words(spark, sf_dir).select("user_id", "event_id", "t", "value").groupBy("user_id").applyInPandas(lambda p: run(p.sort_values(["t", "event_id"])), schema)
 
@@ -71,17 +62,6 @@ def kmeans_faces(spark, sf_dir):
     return C._vectors(spark, sf_dir).groupBy("label").applyInPandas(run, "vec_id long, label int, cluster int")
 
 
-def transcript_words(spark, sf_dir):
-    """Conversations as documents of the nested dialect, read back as words."""
-    from ..sources.transcripts import read_words
-
-    c = C.table(spark, sf_dir, "conversations")
-    word = lambda w, i: F.struct(w.alias("word"), (F.col("turn") * 100 + i * 0.5).alias("start"), (F.col("turn") * 100 + i * 0.5 + 0.4).alias("end"), F.lit(0.9).alias("score"), F.col("role").alias("speaker"))
-    seg = c.select("conv_id", "turn", F.struct((F.col("turn") * 100.0).alias("start"), (F.col("turn") * 100.0 + 99).alias("end"), "text", F.col("role").alias("speaker"), F.transform(T.tokens(F.col("text")), word).alias("words")).alias("s"))
-    docs = seg.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "s"))).alias("x")).select(F.col("conv_id").cast("string").alias("recording_id"), F.to_json(F.struct(F.transform("x", lambda y: y["s"]).alias("segments"))).alias("json"))
-    return read_words(docs)
-
-
 def hourly_stream(spark, sf_dir):
     """The hourly windows as a stream, run to the end of what is there."""
     from ..streaming.windows import hourly_counts, run_once
@@ -90,5 +70,5 @@ def hourly_stream(spark, sf_dir):
 
 
 def queries() -> dict:
-    own = [edit_alignment, syllable_rate, blink_detection, gmm_speaking, kalman_smoothing, coordination, kmeans_faces, transcript_words, hourly_stream]
+    own = [edit_alignment, blink_detection, gmm_speaking, kalman_smoothing, coordination, kmeans_faces, hourly_stream]
     return {f.__name__: f for f in own}

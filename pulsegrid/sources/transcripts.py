@@ -62,6 +62,50 @@ def replaced_labels(words: DataFrame, names: dict[str, str], column: str = "spea
     return words.withColumn(column, expr)
 
 
-def speaker_ms(words: DataFrame) -> DataFrame:
-    """Millisecond ranges to cut from a recording, numbered by turn."""
-    return words.withColumn("start_ms", (F.col("start") * 1000).cast("long")).withColumn("end_ms", (F.col("end") * 1000).cast("long"))
+def vosk_turns(docs: DataFrame) -> DataFrame:
+    """A whole word list as one turn of no named speaker: words, text, start and end of each recording."""
+    listed = docs.select("recording_id", F.from_json("json", VOSK).alias("w"))
+    texts = F.transform("w", lambda x: x["word"])
+    return listed.select("recording_id", F.lit("").alias("speaker"), texts.alias("words"), F.array_join(texts, " ").alias("text"), F.array_min(F.transform("w", lambda x: x["start"])).alias("start"), F.array_max(F.transform("w", lambda x: x["end"])).alias("end"))
+
+
+def whisper_text(docs: DataFrame) -> DataFrame:
+    """The texts of all segments put together."""
+    return docs.select("recording_id", F.array_join(F.transform(F.from_json("json", WHISPER)["segments"], lambda s: s["text"]), "").alias("text"))
+
+
+def speaker_counts(words: DataFrame, by: list[str]) -> DataFrame:
+    """How many speakers a recording has; with more than one a label must be given."""
+    return words.groupBy(*by).agg(F.count_distinct("speaker").alias("speakers"))
+
+
+def phonations(words: DataFrame, by: list[str], order: list[str], least: float = 0.7) -> DataFrame:
+    """Held sounds longer than ``least`` seconds, named speaker_sound and a number from 0 by speaker and sound."""
+    from pyspark.sql import Window
+
+    from ..functions.text import phonation
+
+    held = words.withColumn("phonation", phonation(F.col("word"))).where(F.col("phonation").isNotNull() & (F.col("end") - F.col("start") > least))
+    number = F.row_number().over(Window.partitionBy(*by, "speaker", "phonation").orderBy(*order)) - 1
+    return held.withColumn("name", F.concat("speaker", F.lit("_"), "phonation", number.cast("string")))
+
+
+def phonation_measures(summaries: DataFrame, name: str = "name") -> DataFrame:
+    """Acoustic summaries of phonations with their type, the first letter of the name's last part, and without pause measures."""
+    kind = F.substring(F.substring_index(name, "_", -1), 1, 1)
+    return summaries.drop("spir", "dur_med", "dur_mad", "silence_ratio").withColumn("phonation_type", kind)
+
+
+def diarization_rows(tracks: DataFrame) -> DataFrame:
+    """Tracks with labels like SPEAKER_07 as intervals of speaker7."""
+    number = F.element_at(F.split("label", "_"), -1).cast("int").cast("string")
+    return tracks.withColumn("speaker", F.concat(F.lit("speaker"), number)).withColumnsRenamed({"start": "start_time", "end": "end_time"}).withColumn("interval", F.col("end_time") - F.col("start_time"))
+
+
+def numbered_ranges(turns: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """Millisecond ranges to cut from a recording, named by speaker and the speaker's turn from 0."""
+    from pyspark.sql import Window
+
+    number = F.row_number().over(Window.partitionBy(*by, "speaker").orderBy(*order)) - 1
+    ms = lambda c: (F.col(c) * 1000).cast("long")
+    return turns.withColumns({"name": F.concat("speaker", F.lit("-"), number.cast("string")), "start_ms": ms("start"), "end_ms": ms("end")})

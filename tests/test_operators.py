@@ -53,7 +53,8 @@ def test_lexical(spark):
     assert one(spark, T.honore(col), w=("array<string>", w)) == pytest.approx(345.387764, abs=1e-6)
     assert one(spark, T.mattr(col, 5), w=("array<string>", w)) == pytest.approx(0.633333, abs=1e-6)
     assert one(spark, T.repetition(col, 10), w=("array<string>", w)) == pytest.approx(40)
-    assert one(spark, T.repetition(col, 10), w=("array<string>", [])) == 0
+    assert one(spark, T.repetition(col, 10), w=("array<string>", [])) is None
+    assert one(spark, T.mattr(col, 5), w=("array<string>", [])) is None
     assert one(spark, T.honore(col), w=("array<string>", list("abcdefghijk"))) is None
 
 
@@ -62,7 +63,36 @@ def test_chunks_and_diarized_text(spark):
     assert one(spark, T.chunk_starts(F.col("w"), 8), w=("array<string>", [])) == []
     text = one(spark, T.diarized(F.col("w"), F.col("s")), w=("array<string>", ["a", "b", "c"]), s=("array<string>", ["1", "1", "2"]))
     assert text == "<spk:1> a b <spk:2> c"
-    assert [tuple(r) for r in one(spark, T.parsed_diarized(F.col("t")), t=("string", text + " <spk:x> d"))] == [("a", "1"), ("b", "1"), ("c", "2"), ("d", "2")]
+    df = spark.createDataFrame([(1, "z " + text + " <spk:x> d <spk:11> e <spk:10 f")], "r int, t string")
+    assert [(x.word, x.speaker) for x in S.diarized_words(df, ["r"], "t").orderBy("at").collect()] == [("z", "1"), ("a", "1"), ("b", "1"), ("c", "2"), ("d", "2"), ("e", "2"), ("f", "10")]
+    assert one(spark, T.strict_words(F.col("t")), t=("string", "a\nb  c\\ déjà-vu, it's <spk:1> 42!")) == "a b c déjàvu it's <spk:1> 42"
+    assert one(spark, T.without_marks(F.col("t")), t=("string", "Hello, World.")) == "hello world"
+    assert one(spark, T.without_marks(F.col("t")), t=("string", "a , b")) == "a , b"
+
+
+def test_first_person_is_case_sensitive(spark):
+    assert one(spark, T.first_person_share(F.col("w")), w=("array<string>", ["I", "i", "we", "Me", "mine", "x"])) == pytest.approx(40)
+    assert one(spark, T.first_person_share(F.col("w")), w=("array<string>", ["x"])) is None
+
+
+def test_speech_frames(spark):
+    """Stretches over 0.1 s before silences, the rest after the last of them, all frames where there is none."""
+    silence = spark.createDataFrame([("a", 0.5, 1.0), ("a", 1.05, 1.5), ("b", 0.05, 2.0)], "r string, s double, e double")
+    rec = spark.createDataFrame([("a", 300), ("b", 200), ("c", 20)], "r string, n_frames int")
+    got = {}
+    for x in S.speech_runs(silence, rec, ["r"], "s", "e").collect():
+        got.setdefault(x.r, []).append(x.frame_idx)
+    assert sorted(got["a"]) == [*range(50), *range(100, 300)]
+    assert sorted(got["b"]) == [*range(200)] and sorted(got["c"]) == [*range(20)]
+
+
+def test_coherence_is_null_at_edges_and_in_short_turns(spark):
+    df = spark.createDataFrame([(t, i, [1.0, float(i % 2)]) for t, n in ((0, 5), (1, 6), (2, 12)) for i in range(n)], "t int, i int, v array<double>")
+    got = S.with_coherence(df, ["t"], ["i"], "v").orderBy("t", "i").collect()
+    known = lambda c, t: [r.i for r in got if r.t == t and r[c] is not None]
+    assert known("coherence_5", 0) == [] and known("coherence_5", 1) == [2, 3] and known("coherence_5", 2) == list(range(2, 10))
+    assert known("coherence_10", 1) == [] and known("coherence_10", 2) == [5, 6] and known("variability_4", 0) == [0]
+    assert all(r.coherence is None for r in S.with_coherence(df, ["t"], ["i"], "v", 6).where("t = 0").collect())
 
 
 @pytest.mark.parametrize("angles, want", [((0, 0, 0), 0), ((90, 0, 0), 90), ((0, 0, 45), 45)])
@@ -71,6 +101,48 @@ def test_rotation(spark, angles, want):
     assert got == pytest.approx(want, abs=1e-6)
 
 
+@pytest.mark.parametrize("word, want", [("hello", 2), ("justification", 5), ("table", 2), ("ach", 1), ("a", 1), ("xyz", 1), ("syllables", 3)])
+def test_syllables(spark, word, want):
+    assert one(spark, T.syllables(F.col("w")), w=("string", word)) == want
+
+
+def test_head_movement(spark):
+    from pulsegrid.plans import motion
+
+    rows = [("r", 0, 0.0, 0.0, 2.0, 2.0, 0.0, 0.0, 0.0), ("r", 1, None, None, None, None, None, None, None), ("r", 2, 3.0, 4.0, 5.0, 6.0, 90.0, 0.0, 0.0), ("one", 0, 0.0, 0.0, 1.0, 1.0, 0.0, 0.0, 45.0)]
+    df = spark.createDataFrame(rows, "r string, f int, bb_x1 double, bb_y1 double, bb_x2 double, bb_y2 double, pitch double, yaw double, roll double")
+    got = {(x.r, x.f): x for x in motion.head_movement(df, ["r"], "f").collect()}
+    assert [got["r", i].xy_disp for i in range(3)] == [0, None, 5] and got["one", 0].xy_disp is None
+    assert got["r", 2].euclidean_angle_disp == pytest.approx(90) and got["r", 1].euclidean_angle is None and got["one", 0].euclidean_angle == pytest.approx(45)
+    wide = {(x.r, x.f): x.xy_disp for x in motion.head_movement(df, ["r"], "f", True).collect()}
+    assert wide["r", 2] == pytest.approx(2.5)
+    blinks = spark.createDataFrame([("r", 3)], "r string, f int")
+    rec = spark.createDataFrame([("r", 600, 30.0), ("none", 300, 30.0)], "r string, n_frames int, fps double")
+    assert {tuple(x) for x in motion.blink_summary(rec, blinks, ["r"]).collect()} == {("r", 1, 3.0), ("none", 0, 0.0)}
+
+
+def test_speech_of_one_speaker(spark, words):
+    """F1a to F1d: pauses, turns and the file of speaker A."""
+    from pulsegrid.plans import speech
+
+    word, turn, file = speech.speech_characteristics(words.withColumn("confidence", F.lit(0.9)), speaker_label="A")
+    assert [x.pre_word_pause for x in word.orderBy("old_idx").collect()] == pytest.approx([None, 0.1, None, 0, 0.5])
+    a, b = turn.orderBy("turn_id").collect()
+    assert (a.pre_turn_pause, b.pre_turn_pause, a.turn_length_words, b.turn_length_words) == (None, pytest.approx(0.3), 2, 3)
+    assert (a.turn_length_minutes, b.turn_length_minutes) == pytest.approx((1 / 60, 1.3 / 60)) and (a.mean_pause_length, b.mean_pause_length) == pytest.approx((0.1, 0.25))
+    assert (a.pause_variability, b.pause_variability) == pytest.approx((0, 0.0625), abs=1e-9) and (a.speech_percentage, b.speech_percentage) == pytest.approx((90, 61.538462))
+    assert (a.words_per_min, b.words_per_min) == pytest.approx((120, 138.461538))
+    f = file.first()
+    assert (f.file_length, f.speaker_percentage, f.mean_pre_word_pause, f.mean_pause_variability) == pytest.approx((2.8 / 60, 82.142857, 0.2, 0.07))
+    b = speech.turn_table(speech.timed_words(words), "B").first()
+    assert b.pre_turn_pause == 0 and b.interrupt_flag
+
+
+def test_windows_without_data(spark):
+    df = spark.createDataFrame([("a", 0, 1.0), ("a", 30, 2.0), ("b", 10, 3.0)], "u string, window_start long, x double")
+    assert sorted(map(tuple, I.with_empty_windows(df, ["u"], 10).collect()), key=str) == sorted([("a", 0, 1.0), ("a", 10, None), ("a", 20, None), ("a", 30, 2.0), ("b", 10, 3.0)], key=str)
+
+
 def test_eye_aspect_ratio(spark):
     pts = [(0, 0), (1, 1), (2, 1), (3, 0), (2, -1), (1, -1)]
     p = [(F.col("a") + x, F.col("a") + y) for x, y in pts]
@@ -179,7 +251,6 @@ def test_numeric_routines():
     s = N.kalman(np.full(30, 5.0))
     assert s[0] == 0 and s[5:] == pytest.approx(np.full(25, 5.0), abs=0.2)
     assert N.tree_scores("(S (NP (D the) (N cat)) (VP (V sat)))") == (3, 2)
-    assert [N.syllables(w) for w in ("hello", "table", "make", "!")] == [2, 2, 1, 0]
     assert len(N.cepstral_peak(np.sin(np.arange(8000) / 10), 8000)) > 0 and len(N.low_high_ratio(np.sin(np.arange(16000) / 3), 16000)) > 0
 
 
