@@ -317,14 +317,14 @@ def normalised_face(spark, sf_dir):
 def _heads(spark, sf_dir):
     e = C.words(spark, sf_dir)
     known = F.when(F.col("event_type") != "error", F.col("value"))
-    return e.select("user_id", "event_id", known.alias("bb_x1"), (known + F.col("k")).alias("bb_x2"), (known / 2).alias("bb_y1"), (known / 2 + 7).alias("bb_y2"), (F.col("k") - 50).alias("pitch"), (F.col("value") / 10).alias("yaw"), F.when(F.col("event_type") != "error", F.col("k") / 3).alias("roll"))
+    return e.select("user_id", "event_id", known.alias("bb_x1"), (known + F.col("k")).alias("bb_x2"), (known / 2).alias("bb_y1"), (known / 2 + 7).alias("bb_y2"), (F.col("k") - 50).alias("pitch"), (F.col("value") / 7).alias("yaw"), F.when(F.col("event_type") != "error", F.col("k") / 3).alias("roll"))
 
 
 _HP = "OVER (PARTITION BY user_id ORDER BY event_id)"
 _ANG = "degrees(acos(greatest(-1e0, least(1e0, (cos(radians(yaw)) * cos(radians(roll)) + cos(radians(pitch)) * cos(radians(roll)) - sin(radians(pitch)) * sin(radians(yaw)) * sin(radians(roll)) + cos(radians(pitch)) * cos(radians(yaw)) - 1) / 2))))"
 
 
-@query(f"""WITH {C.W}, h AS (SELECT user_id, event_id, value + k / 2 x, value / 2 + 3.5 y, event_type <> 'error' seen, k - 50 pitch, value / 10 yaw, CASE WHEN event_type <> 'error' THEN k / 3 END roll FROM w),
+@query(f"""WITH {C.W}, h AS (SELECT user_id, event_id, value + k / 2 x, value / 2 + 3.5 y, event_type <> 'error' seen, k - 50 pitch, value / 7 yaw, CASE WHEN event_type <> 'error' THEN k / 3 END roll FROM w),
  s AS (SELECT *, {_ANG} ang FROM h), f AS (SELECT user_id, event_id, coalesce(sqrt(pow(x - lag(x) {_HP}, 2) + pow(y - lag(y) {_HP}, 2)), 0) d, count(*) OVER (PARTITION BY user_id) n, abs(ang - lag(ang) {_HP}) a FROM s WHERE seen)
  SELECT s.user_id, {', '.join(f'{R(f"avg({x})", 3)} {c}_mean, {R(f"stddev_samp({x})", 3)} {c}_std' for c, x in (('xy_disp', 'CASE WHEN n > 1 THEN d END'), ('pitch', 'pitch'), ('yaw', 'yaw'), ('roll', 'roll'), ('euclidean_angle_disp', 'a')))}
  FROM s LEFT JOIN f ON s.user_id = f.user_id AND s.event_id = f.event_id GROUP BY 1""")
@@ -470,3 +470,94 @@ def clinician_label(spark, sf_dir):
     v = C._vectors(spark, sf_dir).select("label", (F.col("vec_id") % 2).alias("speaker"), F.get("v", F.lit(0)).alias("s"))
     scores = v.groupBy("label", "speaker").agg(F.avg("s").alias("score"))
     return A.labelled_speakers(scores, ["label"], "speaker", "score").select("label", F.col("clinician").cast("long").alias("clinician"))
+
+
+# -- models and their results -----------------------------------------------------
+
+_LEX = {"the": 0.5, "of": -1.0, "and": 2.0, "in": -0.5}
+
+
+@query(f"""WITH d AS (SELECT conv_id, turn, list_transform({_TOK}, lambda w: CASE w {' '.join(f"WHEN '{w}' THEN {v}e0" for w, v in _LEX.items())} ELSE 0e0 END) v FROM conversations),
+ s AS (SELECT *, coalesce(list_sum(list_transform(v, lambda x: CASE WHEN x > 0 THEN x + 1 ELSE 0e0 END)), 0) p, coalesce(list_sum(list_transform(v, lambda x: CASE WHEN x < 0 THEN 1 - x ELSE 0e0 END)), 0) g, CAST(len(list_filter(v, lambda x: x = 0)) AS DOUBLE) z, coalesce(list_sum(v), 0e0) t FROM d)
+ SELECT conv_id, turn, {R('g / nullif(p + g + z, 0)', 5)} neg, {R('z / nullif(p + g + z, 0)', 5)} neu, {R('p / nullif(p + g + z, 0)', 5)} pos, {R('t / sqrt(t * t + 15)', 5)} compound FROM s""")
+def sentiment(spark, sf_dir):
+    """Sentiment by a lexicon of four words; a real one is a parameter."""
+    from ..models import adapters
+
+    lexicon = F.create_map(*[F.lit(x) for kv in _LEX.items() for x in kv])
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", adapters.sentiment(T.tokens(F.col("text")), lexicon).alias("s"))
+    return c.select("conv_id", "turn", *[r(F.col(f"s.{k}"), 5).alias(k) for k in ("neg", "neu", "pos", "compound")])
+
+
+@query(f"WITH {C.W}, p AS (SELECT user_id, count(*) n, avg(ln((k + 1) / 101)) a FROM w GROUP BY 1) SELECT user_id, {R('CASE WHEN n >= 2 THEN exp(-a) END', 4)} semantic_perplexity FROM p")
+def perplexity(spark, sf_dir):
+    from ..models import adapters
+
+    p = C.words(spark, sf_dir).groupBy("user_id").agg(F.collect_list(F.ln((F.col("k") + 1) / 101)).alias("lp"))
+    return p.select("user_id", r(adapters.perplexity(F.col("lp")), 4).alias("semantic_perplexity"))
+
+
+@query(f"""WITH {C.W}, n AS (SELECT user_id, row_number() {C.P} - 1 f, value < 250 q FROM w), i AS (SELECT *, f - row_number() OVER (PARTITION BY user_id, q ORDER BY f) g FROM n)
+ SELECT user_id, CAST(min(f) AS BIGINT) first_frame, count(*) n_frames FROM i WHERE q GROUP BY user_id, g HAVING count(*) >= 2""")
+def silences(spark, sf_dir):
+    """Stretches of quiet frames, two frames (a second) or longer."""
+    from ..models import adapters
+
+    n = C.words(spark, sf_dir).withColumn("f", F.row_number().over(S.in_order(C.BY, C.ORDER)) - 1)
+    s = adapters.silences(n, ["user_id"], "f", "value", 250.0, 2, 1.0)
+    return s.select("user_id", F.round(F.col("pause_start") * 2).cast("long").alias("first_frame"), F.round(F.col("pause_duration") * 2).cast("long").alias("n_frames"))
+
+
+@query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) v FROM embeddings) SELECT vec_id, CAST(floor(v[1] * 1e6 + 0.5) AS BIGINT) lmk001_x, CAST(floor(v[63] * 1e6 + 0.5) AS BIGINT) lmk021_z, 21 AS points FROM e""")
+def wide_landmarks(spark, sf_dir):
+    """Landmarks as columns and back."""
+    from ..models import adapters
+
+    wide = adapters.wide_landmarks(_frames(spark, sf_dir), 21)
+    back = adapters.landmark_arrays(wide.withColumnsRenamed({}), 21).select("vec_id", F.size("landmarks").alias("points"))
+    return wide.select("vec_id", r(F.col("lmk001_x"), 6).alias("lmk001_x"), r(F.col("lmk021_z"), 6).alias("lmk021_z")).join(back, "vec_id")
+
+
+@query("SELECT conv_id, turn, CAST(generate_subscripts(ws, 1) - 1 AS INT) AS place, unnest(ws) AS word FROM (SELECT conv_id, turn, list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '') ws FROM conversations)")
+def table_function(spark, sf_dir):
+    """Words by a registered table function in SQL."""
+    from ..models import adapters
+
+    adapters.register(spark)
+    table(spark, sf_dir, "conversations").select("conv_id", "turn", "text").createOrReplaceTempView("pulsegrid_turns")
+    return spark.sql("SELECT conv_id, turn, w.at AS place, w.word FROM pulsegrid_turns, LATERAL words_of(text) w")
+
+
+@query("SELECT DISTINCT user_id, CAST(NULL AS DOUBLE) AS turn_to_turn_tangeniality_slope, 73 AS n_columns FROM events")
+def rows_of_nulls(spark, sf_dir):
+    """Recordings without a result have a row of nulls with every column of the table."""
+    from .. import schemas
+
+    recs = table(spark, sf_dir, "events").select("user_id").distinct()
+    full = schemas.complete(schemas.empty(spark, "speech.summary", "user_id long"), recs, ["user_id"], "speech.summary")
+    return full.select("user_id", "turn_to_turn_tangeniality_slope", F.lit(len(full.columns) - 1).alias("n_columns"))
+
+
+# -- files and streams --------------------------------------------------------------
+
+
+@query("SELECT user_id, epoch_us(date_trunc('hour', ts)) hour_us, count(*) n, CAST(floor(sum(value) * 10 + 0.5) AS BIGINT) total_e1 FROM events GROUP BY 1, 2")
+def hourly_stream(spark, sf_dir):
+    """The hourly windows as a stream, run to the end of what is there."""
+    from ..streaming.windows import hourly_counts, run_once
+
+    got = run_once(hourly_counts(spark, f"{sf_dir}/events.parquet"), "hourly")
+    return got.select("user_id", F.unix_micros("hour").alias("hour_us"), "n", r(F.col("total"), 1).alias("total_e1"))
+
+
+@query("SELECT event_id * 1000 AS timestamp, CAST(floor(value * 100 + 0.5) AS BIGINT) latitude_e2, CAST(json_extract_string(props, '$.k') AS BIGINT) longitude FROM events")
+def gps_csv(spark, sf_dir):
+    """Location files with exactly the header that is asked for, written and read back."""
+    import uuid
+
+    from ..storage import shared_folder
+
+    folder = f"{shared_folder(spark)}/gps-{uuid.uuid4().hex}"
+    e = C.words(spark, sf_dir).select((F.col("event_id") * 1000).alias("timestamp"), F.col("value").alias("latitude"), F.col("k").alias("longitude"), F.lit(1.0).alias("accuracy"))
+    e.write.option("header", True).csv(folder)
+    return transcripts.read_gps(spark, folder).select("timestamp", r(F.col("latitude"), 2).alias("latitude_e2"), F.col("longitude").cast("long").alias("longitude"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import numeric as N
 from ..functions import text as T
@@ -55,20 +56,38 @@ def coordination(spark, sf_dir):
 
 
 def kmeans_faces(spark, sf_dir):
+    """Two clusters of the vectors of each recording; rows without enough confidence are in none (-1)."""
+    v = C._vectors(spark, sf_dir).withColumn("confidence", F.when(F.col("vec_id") % 9 == 0, 0.5).otherwise(0.9))
+    return clustered_faces(v, ["label"], "vec_id", "v", "confidence").select("vec_id", "label", "cluster")
+
+
+def clustered_faces(faces, by: list[str], order: str, vector: str, confidence: str, least: float = 0.7, k: int = 2):
+    """Adds ``cluster``, from 0, of the faces with a confidence above ``least``; -1 for the others.  A task holds one recording."""
+    schema = StructType([*faces.schema.fields, StructField("cluster", IntegerType())])
+
     def run(p):
-        p = p.sort_values("vec_id")
-        return p[["vec_id", "label"]].assign(cluster=N.kmeans(np.stack(p.v), 2))
+        p = p.sort_values(order)
+        sure = (p[confidence] > least).to_numpy()
+        cluster = np.full(len(p), -1)
+        if sure.any():
+            cluster[sure] = N.kmeans(np.stack(p[vector][sure]), k)
+        return p.assign(cluster=cluster)
+
+    return faces.groupBy(*by).applyInPandas(run, schema)
 
-    return C._vectors(spark, sf_dir).groupBy("label").applyInPandas(run, "vec_id long, label int, cluster int")
 
+def speaker_transfer(spark, sf_dir):
+    """Labels of the conversations' words corrected by a stand-in for the model, which swaps the names and keeps the turns."""
+    from . import diarization
+    from .measures import conversation_words
 
-def hourly_stream(spark, sf_dir):
-    """The hourly windows as a stream, run to the end of what is there."""
-    from ..streaming.windows import hourly_counts, run_once
+    def factory():
+        return lambda asked: [{"answer": a.replace("<spk:1>", "<spk:x>").replace("<spk:2>", "<spk:1>").replace("<spk:x>", "<spk:2>")} for a in asked]
 
-    return run_once(hourly_counts(spark, f"{sf_dir}/events.parquet"), "hourly")
+    w = conversation_words(spark, sf_dir).where("speaker <> 'system'")
+    return diarization.diarization_correction(w, factory, limit=400).select("recording_id", "old_idx", "word", "speaker")
 
 
 def queries() -> dict:
-    own = [edit_alignment, blink_detection, gmm_speaking, kalman_smoothing, coordination, kmeans_faces, hourly_stream]
+    own = [edit_alignment, blink_detection, gmm_speaking, kalman_smoothing, coordination, kmeans_faces, speaker_transfer]
     return {f.__name__: f for f in own}

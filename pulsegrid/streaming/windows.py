@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_folder
+
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet file, or a folder of them, as a stream with event time."""
@@ -40,7 +41,7 @@ def run_once(stream: DataFrame, name: str, folder: str | None = None, mode: str
     end; streams without an aggregate need "append".
     """
     spark = stream.sparkSession
-    base = folder or spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="pulsegrid-")
+    base = folder or shared_folder(spark)
     base = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     writer = stream.writeStream.option("checkpointLocation", f"{base}/state").outputMode(mode).trigger(availableNow=True)
     if mode == "append":
