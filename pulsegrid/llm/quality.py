@@ -149,22 +149,24 @@ class Model:
 
 
 def fit_arrays(raw: np.ndarray, labels: np.ndarray, rank: int = RANK, k: int = NEIGHBOURS) -> Model:
-    """Idf weights, SVD basis by subspace iteration, and the labelled vectors."""
+    """Idf weights, SVD basis by subspace iteration, and the labelled vectors.  ``raw``, in single precision, is overwritten by its weights."""
     n = len(raw)
     if not n:
         return Model(np.ones(TERMS), np.zeros((WIDTH, 1)), np.zeros((0, 1)), np.zeros(0), 0.5, k)
-    idf = np.log((1 + n) / (1 + np.count_nonzero(raw[:, :TERMS], axis=0))) + 1
-    x = np.empty((n, WIDTH), np.float32)  # the basis needs no more digits, and it is rounded once for all
+    seen = np.zeros(TERMS, np.int64)
     for lo in range(0, n, BLOCK):
-        x[lo : lo + BLOCK] = _weighted(raw[lo : lo + BLOCK], idf) / COUNT_UNIT
+        seen += np.count_nonzero(raw[lo : lo + BLOCK, :TERMS], axis=0)
+    idf = np.log((1 + n) / (1 + seen)) + 1
+    for lo in range(0, n, BLOCK):  # whole numbers of less than 24 bits: exact in single precision
+        raw[lo : lo + BLOCK] = _weighted(raw[lo : lo + BLOCK], idf)
     rank = min(rank, n)
     q = np.random.default_rng(7).standard_normal((WIDTH, rank + 8)).astype(np.float32)
-    for _ in range(6):
-        q, _ = np.linalg.qr(x.T @ (x @ q))
-    basis = np.rint((q @ np.linalg.svd(x @ q, full_matrices=False)[2].T)[:, :rank].astype(np.float64) * BASIS_UNIT)
-    model = Model(idf, basis, np.zeros((0, rank)), labels.astype(np.float64), float(labels.mean()), k)
-    model.vectors = np.concatenate([model.embed(raw[lo : lo + BLOCK]) for lo in range(0, n, BLOCK)])
-    return model
+    for _ in range(6):  # the basis needs no more digits, and it is rounded once for all
+        q, _ = np.linalg.qr(raw.T @ (raw @ q / COUNT_UNIT) / COUNT_UNIT)
+    turn = np.linalg.svd(raw @ q / COUNT_UNIT, full_matrices=False)[2].T
+    basis = np.rint((q @ turn)[:, :rank].astype(np.float64) * BASIS_UNIT)
+    vectors = [_units(raw[lo : lo + BLOCK].astype(np.float64) @ basis) for lo in range(0, n, BLOCK)]
+    return Model(idf, basis, np.concatenate(vectors), labels.astype(np.float64), float(labels.mean()), k)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, rank: int = RANK, k: int = NEIGHBOURS) -> Model:
@@ -188,14 +190,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ra
                 part = b.slice(lo, BLOCK)
                 rows = matrix(part.column(2).to_pylist())
                 cells = [np.flatnonzero(r) for r in rows]
-                cols = [part.column(0), part.column(1), pa.array([c.astype(np.int32).tolist() for c in cells], pa.list_(pa.int32())), pa.array([r[c].tolist() for r, c in zip(rows, cells, strict=True)], pa.list_(pa.float64()))]
+                cols = [part.column(0), part.column(1), pa.array([c.astype(np.int16) for c in cells], pa.list_(pa.int16())), pa.array([r[c].astype(np.float32) for r, c in zip(rows, cells, strict=True)], pa.list_(pa.float32()))]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "quality", "cell", "n"])
 
-    got = texts.mapInArrow(sparse, "doc_id long, quality int, cell array<int>, n array<double>").toArrow().sort_by("doc_id")
-    raw = np.zeros((got.num_rows, WIDTH), np.float32)
-    for i, (cell, n) in enumerate(zip(got["cell"], got["n"], strict=True)):
-        raw[i, cell.values.to_numpy()] = n.values.to_numpy()
-    return fit_arrays(raw, np.array(got["quality"].to_pylist(), np.float64), rank, k)
+    got = texts.mapInArrow(sparse, "doc_id long, quality int, cell array<short>, n array<float>").toArrow().combine_chunks()
+    order = np.argsort(got["doc_id"].to_numpy())
+    raw, (cells, values) = np.zeros((got.num_rows, WIDTH), np.float32), (got["cell"], got["n"])
+    for i, at in enumerate(order.tolist()):
+        raw[i, cells[at].values.to_numpy()] = values[at].values.to_numpy()
+    labels = got["quality"].to_numpy()[order].astype(np.float64)
+    del got, cells, values
+    return fit_arrays(raw, labels, rank, k)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
