@@ -259,6 +259,8 @@ def _gps_sql(width):
 
 _GPS = [("ob", "observed_time", 5), ("mo", "move_time", 5), ("pa", "pause_time", 5), ("di", "dist_travelled", 2), ("ho", "home_time", 5), ("hx", "home_max_dist", 4), ("hm", "home_mean_dist", 4)]
 _GPS_DAY = [_GPS[0], ("od", "observed_time_day", 5), ("og", "observed_time_night", 5), *_GPS[1:]]
+#: Digits of the means over days: distances are sums of whole metres, which fall on ties with fewer.
+_SUMMARY = {b: 4 if b == "dist_travelled" else 2 for _, b, _ in _GPS}
 _cols = lambda cols: ", ".join(f"{R(a, d)} {b}" for a, b, d in cols)
 
 
@@ -272,10 +274,10 @@ def gps_daily_table(spark, sf_dir):
     return location.gps_analysis(_trajectory(spark, sf_dir), C.BY, _ZONE)[1].select("user_id", "datetime", *[r(F.col(b), d).alias(b) for _, b, d in _GPS_DAY])
 
 
-@query(f"WITH {_gps_sql(C.DAY)} SELECT user_id, count(*) no_days, {R('CASE WHEN count(ob) = count(*) THEN sum(ob) END', 4)} total_observed_time, {', '.join(f'{R(f"avg({a})", 2)} mean_{b}, {R(f"stddev_pop({a})", 2)} sd_{b}' for a, b, _ in _GPS[1:])} FROM st GROUP BY 1")
+@query(f"WITH {_gps_sql(C.DAY)} SELECT user_id, count(*) no_days, {R('CASE WHEN count(ob) = count(*) THEN sum(ob) END', 4)} total_observed_time, {', '.join(f'{R(f"avg({a})", _SUMMARY[b])} mean_{b}, {R(f"stddev_pop({a})", 2)} sd_{b}' for a, b, _ in _GPS[1:])} FROM st GROUP BY 1")
 def gps_summary_table(spark, sf_dir):
     got = location.gps_analysis(_trajectory(spark, sf_dir), C.BY, _ZONE)[2]
-    return got.select("user_id", "no_days", r(F.col("total_observed_time"), 4).alias("total_observed_time"), *[r(F.col(f"{m}_{b}"), 2).alias(f"{m}_{b}") for _, b, _ in _GPS[1:] for m in ("mean", "sd")])
+    return got.select("user_id", "no_days", r(F.col("total_observed_time"), 4).alias("total_observed_time"), *[r(F.col(f"{m}_{b}"), _SUMMARY[b] if m == "mean" else 2).alias(f"{m}_{b}") for _, b, _ in _GPS[1:] for m in ("mean", "sd")])
 
 
 @query(f"WITH {C.W}, l AS (SELECT *, lead(t) {C.P} t1, lead(value / 1000) {C.P} a1, lead(k / 1000) {C.P} o1 FROM w) SELECT user_id, event_id, CASE WHEN {C.GC('value / 1000', 'k / 1000', 'a1', 'o1')} > 5000 THEN 1 ELSE 2 END AS status FROM l WHERE t1 > t")
@@ -472,6 +474,64 @@ def clinician_label(spark, sf_dir):
     return A.labelled_speakers(scores, ["label"], "speaker", "score").select("label", F.col("clinician").cast("long").alias("clinician"))
 
 
+def _voice(spark, sf_dir):
+    """Events as frames, and two silences of each recording: the stretch between them is too short to be speech."""
+    f = C.words(spark, sf_dir).select("user_id", (F.row_number().over(S.in_order(C.BY, C.ORDER)) - 1).cast("long").alias("frame_idx"), F.when(F.col("event_type") != "error", F.col("value")).otherwise(0.0).alias("f0"), F.col("k").alias("loudness"))
+    pause = F.explode(F.array(*[F.struct(F.lit(a).alias("pause_start"), F.lit(b).alias("pause_end"), F.lit(d).alias("pause_duration")) for a, b, d in ((0.2, 0.45, 0.25), (0.5, 0.52, 0.02))]))
+    return f, f.select("user_id").distinct().select("user_id", pause.alias("p")).select("user_id", "p.*")
+
+
+@query(f"""WITH {C.W}, f AS (SELECT user_id, row_number() {C.P} - 1 f, count(*) OVER (PARTITION BY user_id) n, CASE WHEN event_type <> 'error' THEN value ELSE 0 END f0, k FROM w),
+ v AS (SELECT * FROM f WHERE f < 20 OR (n / 100e0 - 0.45e0 > 0.1e0 AND f >= 45)), m AS (SELECT user_id, avg(f0) a, stddev_pop(f0) s FROM v GROUP BY 1),
+ x AS (SELECT user_id, {R('avg(nullif(f0, 0))', 3)} f0_mean, {R('stddev_samp(nullif(f0, 0))', 3)} f0_stddev, {R('max(nullif(f0, 0)) - min(nullif(f0, 0))', 2)} f0_range, {R('any_value(s) / nullif(any_value(a), 0)', 5)} rel_f0_sd, {R('stddev_pop(k) / nullif(avg(k), 0)', 5)} rel_se0_sd, {R('kurtosis_pop(f0)', 4)} f0_kurtosis, {R('avg(pow((f0 - a) / s, 3))', 4)} f0_skewness FROM v JOIN m USING (user_id) GROUP BY 1),
+ u AS (SELECT user_id, {R('100 * (1 - count(*) FILTER (f0 > 0) / CAST(count(*) AS DOUBLE))', 4)} silence_ratio, {R('1 / (any_value(n) / 100e0 - 0.27e0)', 4)} spir FROM f GROUP BY 1) SELECT u.*, x.* EXCLUDE (user_id) FROM u LEFT JOIN x USING (user_id)""")
+def voice_summary(spark, sf_dir):
+    from . import voice
+
+    got = voice.vocal_summary(*_voice(spark, sf_dir), ["user_id"])
+    digits = {"silence_ratio": 4, "spir": 4, "f0_mean": 3, "f0_stddev": 3, "f0_range": 2, "rel_f0_sd": 5, "rel_se0_sd": 5, "f0_kurtosis": 4, "f0_skewness": 4}
+    return got.select("user_id", *[r(F.col(c), d).alias(c) for c, d in digits.items()])
+
+
+@query(f"SELECT substr(event_type, 1, 1) AS phonation_type, {R('avg(value)', 4)} f0_mean FROM events GROUP BY 1")
+def phonation_summary(spark, sf_dir):
+    from . import voice
+
+    per = C.words(spark, sf_dir).select(F.lit(1).alias("recording_id"), F.concat(F.lit("S1_"), "event_type", F.lit("0.wav")).alias("name"), F.col("value").alias("f0_mean"), F.lit(1.0).alias("spir"))
+    return voice.phonation_summary(per, ["recording_id"]).select("phonation_type", r(F.col("f0_mean"), 4).alias("f0_mean"))
+
+
+@query(f"""WITH {C._E}, d AS (SELECT a.label, a.n, {_DIST} d, a.v[64] mo FROM e a LEFT JOIN e b ON a.label = b.label AND b.n = a.n - 1), o AS (SELECT label, CASE WHEN d[1] IS NOT NULL THEN list_sum(d) / 21 END o, mo, n % 3 = 0 sp FROM d), b AS (SELECT label, avg(o) b FROM o GROUP BY 1),
+ x AS (SELECT label, (o + 1) / (b + 1) - 1 r, mo, sp FROM o JOIN b USING (label)) SELECT label, {R('avg(r) FILTER (sp)', 5)} overall_speaking, {R('avg(r) FILTER (NOT sp)', 5)} overall_not_speaking, {R('stddev_samp(mo) FILTER (sp)', 5)} mouth_std_speaking FROM x GROUP BY 1""")
+def facial_expressivity(spark, sf_dir):
+    """Displacements as ratios to a baseline, here the recording itself, split by speaking."""
+    n = F.row_number().over(S.in_order(["label"], ["vec_id"]))
+    mouth = C._vectors(spark, sf_dir).select("label", "vec_id", F.get("v", F.lit(63)).alias("mouth_openness"), F.when(n % 3 == 0, 0.9).otherwise(0.1).alias("p"))
+    frames = _frames(spark, sf_dir).join(mouth, ["label", "vec_id"])
+    got = motion.facial_expressivity(frames, ["label"], "vec_id", {"lower_face": _LOWER}, 21, base=frames, probability="p")[1]
+    return got.select("label", r(F.col("overall_mean_speaking"), 5).alias("overall_speaking"), r(F.col("overall_mean_not_speaking"), 5).alias("overall_not_speaking"), r(F.col("mouth_openness_std_speaking"), 5).alias("mouth_std_speaking"))
+
+
+@query(f"WITH b AS (SELECT l_returnflag, avg(l_tax) t, avg(l_discount) d FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1) SELECT l_returnflag, {R('avg((l_tax + 1) / (t + 1) - 1)', 7)} tax_mean, {R('stddev_samp((l_discount + 1) / (d + 1) - 1)', 6)} discount_std FROM lineitem JOIN b USING (l_returnflag) GROUP BY 1")
+def emotional_expressivity(spark, sf_dir):
+    i = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_tax", "l_discount")
+    got = motion.emotional_expressivity(i, ["l_returnflag"], ["l_tax", "l_discount"], i.where("l_linestatus = 'F'"))
+    return got.select("l_returnflag", r(F.col("l_tax_mean"), 7).alias("tax_mean"), r(F.col("l_discount_std"), 6).alias("discount_std"))
+
+
+@query(f"WITH {C.W}, b AS (SELECT user_id, count(*) FILTER (event_type = 'click') n, count(*) f FROM w GROUP BY 1) SELECT user_id, n AS blinks, {R('n / (f / 30e0) * 60', 3)} blink_rate FROM b")
+def blink_summary(spark, sf_dir):
+    e = C.words(spark, sf_dir)
+    rec = e.groupBy("user_id").agg(F.count("*").alias("n_frames")).withColumn("fps", F.lit(30.0))
+    return motion.blink_summary(rec, e.where("event_type = 'click'"), ["user_id"]).select("user_id", "blinks", r(F.col("blink_rate"), 3).alias("blink_rate"))
+
+
+@query("SELECT event_id, CAST(floor(event_id / 30e0 * 1000 + 0.5) AS BIGINT) peak_ms, CAST(floor((event_id + 3) / 30e0 * 1000 + 0.5) AS BIGINT) end_ms FROM events")
+def blink_times(spark, sf_dir):
+    b = table(spark, sf_dir, "events").select("event_id", F.col("event_id").alias("blink_peak_frame"), (F.col("event_id") - 2).alias("blink_starting_frame"), (F.col("event_id") + 3).alias("blink_ending_frame"))
+    return motion.blink_times(b, F.lit(30.0)).select("event_id", r(F.col("blink_peak_time"), 3).alias("peak_ms"), r(F.col("blink_ending_time"), 3).alias("end_ms"))
+
+
 # -- models and their results -----------------------------------------------------
 
 _LEX = {"the": 0.5, "of": -1.0, "and": 2.0, "in": -0.5}

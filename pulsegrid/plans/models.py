@@ -88,6 +88,23 @@ def speaker_transfer(spark, sf_dir):
     return diarization.diarization_correction(w, factory, limit=400).select("recording_id", "old_idx", "word", "speaker")
 
 
+def spectral_summary(spark, sf_dir):
+    """Cepstral and spectral measures of the embeddings of each recording, read as a signal of 8 kHz."""
+    from . import voice
+
+    v = C._vectors(spark, sf_dir).groupBy("label").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "v"))), lambda x: x["v"])).alias("samples")).withColumn("rate", F.lit(8000))
+    return voice.spectral_measures(v).drop("samples", "rate")
+
+
+def articulation(spark, sf_dir):
+    """Coordination of two smoothed channels of each recording."""
+    from . import voice
+
+    one = lambda i: F.transform(F.array_sort(F.collect_list(F.struct("vec_id", F.get("v", F.lit(i)).alias("x")))), lambda p: p["x"])
+    rows = C._vectors(spark, sf_dir).withColumn("g", F.col("label") % 2).groupBy("g").agg(F.array(one(0), one(1)).alias("channels"))
+    return rows.withColumn("a", voice.articulation(F.col("channels"))).select("g", "a.*")
+
+
 def queries() -> dict:
-    own = [edit_alignment, blink_detection, gmm_speaking, kalman_smoothing, coordination, kmeans_faces, speaker_transfer]
+    own = [edit_alignment, blink_detection, gmm_speaking, kalman_smoothing, coordination, kmeans_faces, speaker_transfer, spectral_summary, articulation]
     return {f.__name__: f for f in own}

@@ -76,3 +76,27 @@ def summary_against_baseline(frames: DataFrame, base: DataFrame, by: list[str],
     means = base.groupBy(*by).agg(*[F.avg(c).alias(f"_{c}") for c in columns])
     ratio = frames.join(means, by).withColumns({c: (F.col(c) + 1) / F.nullif(F.col(f"_{c}") + 1, F.lit(0.0)) - 1 for c in columns})
     return A.summary(ratio, by, columns)
+
+
+def facial_expressivity(frames: DataFrame, by: list[str], frame: str, regions: dict[str, list[int]], size: int = 468, base: DataFrame | None = None, normalise: dict | None = None, skip: int = 0, probability: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(displacement, summary) of landmark frames that have ``mouth_openness``.
+
+    With a baseline, of the same recordings, displacements are ratios to its
+    means; with a speaking probability the summary is split by it.
+    """
+    moved = facial_displacement(frames, by, frame, regions, size, normalise)
+    columns = ["overall", *regions, *([] if "upper_face" in regions else ["upper_face"])]
+    if base is not None:
+        means = facial_displacement(base, by, frame, regions, size, normalise).groupBy(*by).agg(*[F.avg(c).alias(f"_{c}") for c in columns])
+        moved = moved.join(means, by, "left").withColumns({c: (F.col(c) + 1) / F.nullif(F.col(f"_{c}") + 1, F.lit(0.0)) - 1 for c in columns}).drop(*[f"_{c}" for c in columns])
+    measured = [*columns, "mouth_openness"]
+    if probability is not None:
+        return moved, A.rescaled_for_skip(A.speaking_split(moved, by, probability, measured), skip)
+    return moved, facial_summary(moved, by, measured, skip)
+
+
+def emotional_expressivity(frames: DataFrame, by: list[str], columns: list[str], base: DataFrame | None = None, probability: str | None = None) -> DataFrame:
+    """Summary of emotion scores and action units, as ratios to a baseline's means where there is one, split by speaking where asked for."""
+    if base is not None:
+        return summary_against_baseline(frames, base, by, columns)
+    return A.summary(frames, by, columns) if probability is None else A.speaking_split(frames, by, probability, columns)
