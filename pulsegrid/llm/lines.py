@@ -33,16 +33,16 @@ BROADCAST_ROWS = 500_000
 
 
 def line_rows(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
-    """(doc_id, site, pos, h, g): the lines that count, with two hashes of each."""
-    each = docs.select(F.col(id_col).alias("doc_id"), F.col(site_col).cast("string").alias("site"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
+    """(doc_id, mark, site, pos, h, g): the lines that count, with two hashes of each; ``mark`` is a hash of the whole text."""
+    each = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.col(site_col).cast("string").alias("site"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
     line = F.trim("line")
-    return each.where(F.col("doc_id").isNotNull() & (F.length(line) >= min_chars)).select("doc_id", "site", "pos", F.xxhash64(line).alias("h"), F.hash(line).alias("g"))
+    return each.where(F.col("doc_id").isNotNull() & (F.length(line) >= min_chars)).select("doc_id", "mark", "site", "pos", F.xxhash64(line).alias("h"), F.hash(line).alias("g"))
 
 
 def spread(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
-    """(h, g, doc_id, pos): the lines on ``min_sites`` sites or more, with their first occurrence."""
+    """(h, g, first): the lines on ``min_sites`` sites or more, with their first occurrence."""
     site = F.coalesce(F.concat(F.lit("="), F.col("site")), F.lit("?"))
-    first = F.min(F.struct("doc_id", "pos")).alias("first")
+    first = F.min(F.struct("doc_id", "mark", "pos")).alias("first")
     # a line in fewer places than sites needed leaves after the aggregation; its sketch is a short list
     many = lines.groupBy("h", "g").agg(F.count("*").alias("n"), F.hll_sketch_agg(site, lg_k).alias("sketch"), first).where(F.col("n") >= min_sites)
     est = many.select("h", "g", F.hll_sketch_estimate("sketch").alias("sites"), "first")
@@ -56,18 +56,18 @@ def spread(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> Da
 
 
 def dropped_positions(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
-    """(doc_id, dropped array<int>): positions of the lines to remove, for documents that lose any."""
+    """(doc_id, mark, dropped array<int>): positions of the lines to remove, for texts that lose any."""
     lines = stored(line_rows(docs, min_chars, id_col, text_col, site_col), "lines")
     bad = stored(spread(lines, min_sites), "boilerplate")
     hit = lines.join(F.broadcast(bad) if fits(bad, BROADCAST_ROWS) else bad, ["h", "g"])
-    again = (lines["doc_id"] != F.col("first.doc_id")) | (lines["pos"] != F.col("first.pos"))
-    return hit.where(again).groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
+    again = F.struct(lines["doc_id"], lines["mark"], lines["pos"]) != F.col("first")
+    return hit.where(again).groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
 
 
 def cleaned(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
     """``docs`` with ``text_col`` cleaned and a new column ``lines_removed``; every row stays."""
-    bad = dropped_positions(docs, min_sites, min_chars, id_col, text_col, site_col).select(F.col("doc_id").alias("_id"), F.col("dropped").alias("_dropped"))
-    both = docs.join(bad, docs[id_col] == bad["_id"], "left")
-    kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda line, i: ~F.array_contains("_dropped", i)), "\n")
-    text = F.when(F.col("_dropped").isNull(), F.col(text_col)).otherwise(kept)
-    return both.withColumn("lines_removed", F.coalesce(F.size("_dropped"), F.lit(0))).withColumn(text_col, text).drop("_id", "_dropped")
+    bad = dropped_positions(docs, min_sites, min_chars, id_col, text_col, site_col).select(F.col("doc_id").alias("_line_doc"), F.col("mark").alias("_line_mark"), F.col("dropped").alias("_line_dropped"))
+    both = docs.join(bad, (docs[id_col] == bad["_line_doc"]) & (F.xxhash64(docs[text_col]) == bad["_line_mark"]), "left")
+    kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda line, i: ~F.array_contains("_line_dropped", i)), "\n")
+    text = F.when(F.col("_line_dropped").isNull(), F.col(text_col)).otherwise(kept)
+    return both.withColumn("lines_removed", F.coalesce(F.size("_line_dropped"), F.lit(0))).withColumn(text_col, text).drop("_line_doc", "_line_mark", "_line_dropped")

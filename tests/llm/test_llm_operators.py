@@ -484,8 +484,8 @@ def test_line_dedup(spark):
 def test_line_dedup_by_sketch(spark):
     """A line on 40 sites is decided by its sketch alone, one on 9 and one on 7 by exact counts; null and repeated ids."""
     rows = [(i, f"A line that forty sites have in common.\nown text {i} of this very site" + ("\nA line that nine of the sites have." if i < 9 else "\nA line that seven sites have, or so." if i < 16 else ""), f"site{i}") for i in range(40)]
-    rows += [(None, "A line that forty sites have in common.", "x"), (3, "A line that forty sites have in common.", "site3"), (50, None, None), (51, "", None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"first": F.lit(1), "_id": F.lit(2)})
+    rows += [(None, "A line that forty sites have in common.", "x"), (3, "own line of the repeated id\nA line that forty sites have in common.", "site3"), (50, None, None), (51, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"first": F.lit(1), "mark": F.lit(2), "_id": F.lit(3), "dropped": F.lit(4)})
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.text or "", r.lines_removed) for r in lines.cleaned(df, min_sites=8).collect())
     want = []
     for i, t, _ in rows:
