@@ -432,7 +432,11 @@ def diarized_text(spark, sf_dir):
     return one.select("conv_id", T.diarized(F.col("words"), F.col("spk")).alias("diarized"))
 
 
-@query()
+@query("""WITH d AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '') ws FROM documents),
+ c AS (SELECT doc_id, ws, list_reduce(list_transform(ws, lambda w: {'used': length(w) + 1, 'seen': 1, 'starts': CAST([0] AS INT[])}),
+  lambda a, x: CASE WHEN a.used + x.used > 2250 THEN {'used': x.used, 'seen': a.seen + 1, 'starts': list_append(a.starts, a.seen)} ELSE {'used': a.used + x.used, 'seen': a.seen + 1, 'starts': a.starts} END).starts s FROM d WHERE len(ws) > 0),
+ e AS (SELECT doc_id, ws, unnest(s) a, unnest(list_append(s[2:], len(ws))) b, unnest(range(0, len(s))) chunk FROM c)
+ SELECT doc_id, CAST(chunk AS INT) chunk, CAST(b - a AS INT) n_words, CAST(length(array_to_string(ws[a + 1:b], ' ')) AS INT) n_chars FROM e""")
 def prompt_chunks(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.filter(F.split("text", "\\s+"), lambda w: w != "").alias("w"))
     c = d.select("doc_id", "w", T.chunk_starts(F.col("w")).alias("at"))

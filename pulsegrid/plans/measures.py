@@ -532,6 +532,20 @@ def blink_times(spark, sf_dir):
     return motion.blink_times(b, F.lit(30.0)).select("event_id", r(F.col("blink_peak_time"), 3).alias("peak_ms"), r(F.col("blink_ending_time"), 3).alias("end_ms"))
 
 
+@query(f"""WITH {C.W}, z AS (SELECT user_id, row_number() {C.P} - 1 i, -(value - avg(value) OVER (PARTITION BY user_id)) / stddev_samp(value) OVER (PARTITION BY user_id) y, count(*) OVER (PARTITION BY user_id) n FROM w),
+ p AS (SELECT * FROM (SELECT *, lag(y) OVER o ly, lead(y) OVER o ry FROM z WINDOW o AS (PARTITION BY user_id ORDER BY i)) WHERE y > ly AND y > ry),
+ b AS (SELECT p.user_id, p.i, any_value(p.y) y, any_value(p.n) n, coalesce(max(q.i) FILTER (q.i < p.i AND q.y > p.y), 0) lo, coalesce(min(q.i) FILTER (q.i > p.i AND q.y > p.y), any_value(p.n) - 1) hi FROM p JOIN z q USING (user_id) GROUP BY 1, 2),
+ m AS (SELECT b.user_id, b.i, any_value(b.y) y, any_value(n) n, any_value(b.y) - greatest(min(q.y) FILTER (q.i BETWEEN lo AND b.i), min(q.y) FILTER (q.i BETWEEN b.i AND hi)) prom FROM b JOIN (SELECT user_id, i, y FROM z) q USING (user_id) GROUP BY 1, 2),
+ l AS (SELECT m.*, m.y - prom / 2 lev FROM m WHERE prom >= 2),
+ e AS (SELECT l.user_id, l.i, any_value(lev) lev, coalesce(max(q.i) FILTER (q.i <= l.i AND q.y <= lev), 0) a, coalesce(min(q.i) FILTER (q.i >= l.i AND q.y <= lev), any_value(l.n) - 1) b FROM l JOIN (SELECT user_id, i, y FROM z) q USING (user_id) GROUP BY 1, 2),
+ f AS (SELECT e.user_id, e.i, CASE WHEN ya.y < lev THEN a + (lev - ya.y) / (yb.y - ya.y) ELSE a END s, CASE WHEN yc.y < lev THEN b - (lev - yc.y) / (yd.y - yc.y) ELSE b END t FROM e JOIN z ya ON ya.user_id = e.user_id AND ya.i = a JOIN z yb ON yb.user_id = e.user_id AND yb.i = a + 1 JOIN z yc ON yc.user_id = e.user_id AND yc.i = b JOIN z yd ON yd.user_id = e.user_id AND yd.i = b - 1)
+ SELECT user_id, CAST(i AS INT) peak, {R('s', 4)} start_e4, {R('t', 4)} end_e4 FROM f WHERE t - s >= 0.01""")
+def blink_detection(spark, sf_dir):
+    from . import models
+
+    return models.blinks(spark, sf_dir).select("user_id", "peak", r(F.col("start"), 4).alias("start_e4"), r(F.col("end"), 4).alias("end_e4"))
+
+
 # -- models and their results -----------------------------------------------------
 
 _LEX = {"the": 0.5, "of": -1.0, "and": 2.0, "in": -0.5}

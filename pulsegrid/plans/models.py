@@ -30,7 +30,9 @@ def _per_recording(spark, sf_dir, run, schema):
     return C.words(spark, sf_dir).select("user_id", "event_id", "t", "value").groupBy("user_id").applyInPandas(lambda p: run(p.sort_values(["t", "event_id"])), schema)
 
 
-def blink_detection(spark, sf_dir):
+def blinks(spark, sf_dir):
+    """Peaks of the negated z-score of each recording with their bounds at half prominence."""
+
     def run(p):
         z = -(p.value - p.value.mean()) / p.value.std() if len(p) > 1 else p.value * 0
         return pd.DataFrame([(p.user_id.iloc[0], i, a, b) for i, a, b in N.peaks(z.fillna(0).to_numpy())], columns=["user_id", "peak", "start", "end"])
@@ -106,5 +108,5 @@ def articulation(spark, sf_dir):
 
 
 def queries() -> dict:
-    own = [edit_alignment, blink_detection, gmm_speaking, kalman_smoothing, coordination, kmeans_faces, speaker_transfer, spectral_summary, articulation]
+    own = [edit_alignment, gmm_speaking, kalman_smoothing, coordination, kmeans_faces, speaker_transfer, spectral_summary, articulation]
     return {f.__name__: f for f in own}
