@@ -56,7 +56,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import fits, stored
+from .shared import discard, fits, stored
 
 BAND_RATIO = 1.35
 ATTEMPTS = 3
@@ -364,13 +364,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, shingle: int,
 def components(edges: DataFrame) -> DataFrame:
     """(sid, label): the smallest node reachable from each node of the (a, b) edges, by smallest labels and pointer jumps."""
     both = stored(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), "edges")
-    labels = stored(both.groupBy("u").agg(F.least("u", F.min("v")).alias("l")), "labels")
+    held = labels = stored(both.groupBy("u").agg(F.least("u", F.min("v")).alias("l")), "labels")
     while True:
         around = both.join(labels.select(F.col("u").alias("v"), "l"), "v").groupBy("u").agg(F.min("l").alias("m"))
         lower = labels.join(around, "u").select("u", "l", F.least("l", "m").alias("m"))
         jump = labels.select(F.col("u").alias("m"), F.col("l").alias("to"))
         new = stored(lower.join(jump, "m").select("u", F.least("m", "to").alias("l"), (F.least("m", "to") != F.col("l")).alias("moved")), "labels")
-        labels = new.select("u", "l")
+        discard(held)
+        held, labels = new, new.select("u", "l")
         if not new.where("moved").limit(1).count():
             return labels.select(F.col("u").alias("sid"), F.col("l").alias("label"))
 
@@ -403,10 +404,11 @@ def linked_documents(docs: DataFrame, shingle: int = 5, num: int = 80, den: int
     bucket = Window.partitionBy("sig")
     index = _index(docs, shingle, seed, threshold, edges, bands)
     index = index.withColumn("lo", F.min("sid").over(bucket)).withColumn("hi", F.max("sid").over(bucket)).withColumn("held", F.count("*").over(bucket))
-    index = stored(index.where("lo <> hi").drop("lo", "hi").dropDuplicates(["sig", "sid"]), "shared-keys")
+    index = held_keys = stored(index.where("lo <> hi").drop("lo", "hi").dropDuplicates(["sig", "sid"]), "shared-keys")
     centre = F.min(F.struct(F.xxhash64("sid", "sig").alias("_order"), F.col("sid"))).over(bucket)
     index = _without_frequent(index).withColumn("lo", F.min("sid").over(bucket)).withColumn("hi", F.max("sid").over(bucket)).withColumn("c", centre["sid"])
     index = stored(index.where("lo <> hi").drop("lo", "hi"), "buckets")
+    discard(held_keys)
     nodes = lambda df, a, b: df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
     star = nodes(index.where("c <> sid"), "c", "sid").join(ends("b"), "b").join(ends("a"), "a").where(_may_link(threshold, "a_", "b_"))
     sketches = stored(sets.where("long is not null").select("sid", "n", "long").dropDuplicates(["sid"]), "long-sketches")

@@ -31,7 +31,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    held = spark.read.schema(df.schema).parquet(path)
+    held.stored_at = path
+    return held
+
+
+def discard(held: DataFrame) -> None:
+    """Delete a ``stored`` table from which nothing is read any more."""
+    spark = held.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(held.stored_at)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
