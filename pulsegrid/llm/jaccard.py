@@ -62,6 +62,7 @@ BAND_RATIO = 1.35
 ATTEMPTS = 3
 WORD_CACHE = 400_000
 SEEN_SETS = 500_000
+INDEX_ROWS = 100_000
 SKETCH_WORDS = 16
 BROADCAST_ROWS = 2_000_000
 #: Spare agreements that each linked pair has beyond the one it needs: a share of the elements in which it may differ, and
@@ -297,14 +298,16 @@ def _sets(docs: DataFrame, shingle: int, seed: int) -> DataFrame:
 
 
 def _index(docs: DataFrame, shingle: int, seed: int, threshold: Threshold, edges: list[int], bands: list[Band]) -> DataFrame:
-    """(sig, sid, drop) rows; a set that a task has seen already is not indexed again."""
+    """(sig, sid, drop) rows; a set that a task has seen already is not indexed again.
+
+    They leave a task in batches of about ``INDEX_ROWS``, whatever the number and length of the texts that come in at once.
+    """
 
     def run(batches):
-        make, seen = Shingler(shingle, seed), set()
+        make, seen, held, size = Shingler(shingle, seed), set(), [], 0
         for b in batches:
-            keys, drops, sids = [], [], []
-            for text in b.column(0).to_pylist():
-                s = make(text)
+            for text in b.column(0):
+                s = make(text.as_py())
                 if not len(s):
                     continue
                 sid = (xxhash.xxh3_128_intdigest(s.tobytes(), seed) & (1 << 64) - 1) - (1 << 63)
@@ -314,11 +317,16 @@ def _index(docs: DataFrame, shingle: int, seed: int, threshold: Threshold, edges
                     seen.add(sid)
                 k, drop = all_signatures(s, edges, bands, threshold)
                 if len(k):
-                    keys.append(k)
-                    drops.append(drop)
-                    sids.append(np.full(len(k), sid, np.int64))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(sids)), pa.array(np.concatenate(drops))], names=["sig", "sid", "drop"])
+                    held.append((k.view(np.int64), np.full(len(k), sid, np.int64), drop))
+                    size += len(k)
+                if size >= INDEX_ROWS:
+                    yield rows(held)
+                    held, size = [], 0
+        if held:
+            yield rows(held)
+
+    def rows(held):
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=["sig", "sid", "drop"])
 
     return docs.where("doc_id is not null").select("text").mapInArrow(run, "sig long, sid long, drop int")
 

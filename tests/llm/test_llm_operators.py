@@ -5,17 +5,19 @@ import io
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from math import floor
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pulsegrid.llm import bpe, jaccard, licenses, lines, mixing, quality, simhash, tokenfile, topk, warc
+from pulsegrid.llm import bpe, jaccard, licenses, lines, mixing, quality, shared, simhash, tokenfile, topk, warc
 
 VOCAB = public_tokenizers.path("word_bpe_49k.json")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -164,6 +166,46 @@ def test_components_of_a_chain(spark):
     assert got == {i: 0 for i in range(41)} | {90: 90, 99: 90}
 
 
+def test_index_leaves_in_bounded_batches():
+    """However many texts come in at once, a batch of keys has one text's beyond the bound at most; no key is lost."""
+
+    class Docs:
+        where = select = lambda self, *_: self
+        mapInArrow = lambda self, run, _: run
+
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(400)) for _ in range(1_000)]
+    th, edges = jaccard.Threshold(80, 100), jaccard.band_edges(500)
+    bands = [jaccard.plan_band(lo, hi - 1, th, 1_000) for lo, hi in zip(edges, edges[1:], strict=False)]
+    make = jaccard.Shingler(5)
+    want = [jaccard.all_signatures(make(t), edges, bands, th)[0].view(np.int64) for t in texts]
+    got = list(jaccard._index(Docs(), 5, 0, th, edges, bands)([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])]))
+    assert np.array_equal(np.concatenate([b.column(0).to_numpy() for b in got]), np.concatenate(want))
+    assert len(got) > 1 and max(b.num_rows for b in got) < jaccard.INDEX_ROWS + max(map(len, want))
+
+
+def test_stored_tables_leave_no_shuffles(spark):
+    """The shuffles of a stored table are deleted at once; what made it can be read again."""
+
+    def files():
+        jvm = spark._jvm
+        every = jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f.getName(): f.length() for f in jvm.scala.jdk.javaapi.CollectionConverters.asJava(every) if re.fullmatch(r"shuffle_.*\.data", f.getName())}
+
+    before, conf = files(), spark.conf.get(shared.SHUFFLE_CLEANUP, None)
+    df = spark.range(50_000).selectExpr("id % 1000 AS k", "id AS v").groupBy("k").agg(F.sum("v").alias("v")).repartition(3, "v")
+    for _ in range(2):
+        held = shared.stored(df, "sums")
+        assert (held.count(), held.agg(F.sum("v")).first()[0]) == (1000, 50_000 * 49_999 // 2)
+        assert shared.stored(held.join(df, ["k", "v"]), "joined").count() == 1000
+    assert spark.conf.get(shared.SHUFFLE_CLEANUP, None) == conf
+    left = lambda: sum(n for name, n in files().items() if name not in before)
+    until = time.time() + 10
+    while left() > 5_000 and time.time() < until:
+        time.sleep(0.1)
+    assert left() <= 5_000  # the counts' own shuffles, of a row a partition, may stay
+
+
 # -- 2, 8 -----------------------------------------------------------------
 
 
