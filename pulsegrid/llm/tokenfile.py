@@ -33,6 +33,7 @@ texts; an empty table gives no file; extra columns are ignored.
 from __future__ import annotations
 
 import io
+import os
 import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -68,6 +69,8 @@ SQUASH = np.array([max(64, min(65472, round(65536 / (1 + exp(-x / 256))))) for x
 #: Distributions of four bits: their whole, and by depth how fast they learn and the least width of a digit.
 WHOLE, RATES, WIDTHS = 1 << 14, (5, 5, 4, 3), (4, 4, 8, 24)
 TARGETS = [np.array([[i * w if i <= d else WHOLE - (16 - i) * w for i in range(17)] for d in range(16)], np.int16) for w in WIDTHS]
+ROW = np.dtype("V34")
+TARGET_ROWS = [t.view(ROW)[:, 0] for t in TARGETS]
 _K1, _K2, _K3 = np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917)
 _S16, _S28, _S32, _LEAST, _LOW = np.uint64(16), np.uint64(28), np.uint64(32), np.uint64(1 << 32), np.uint64((1 << 32) - 1)
 
@@ -82,7 +85,8 @@ class _Lanes:
         self.odds, self.weight = np.full(n * 48, 1 << 15, np.int32), np.full((3, n), 22_000, np.int32)
         self.odds_at = self.row * 48 + np.array([[0], [16], [32]])
         self.bits = [min(4 * k, DEEP_BITS) for k in range(levels)]
-        self.digits = [np.tile((np.arange(17) * (WHOLE // 16)).astype(np.int16), (n << b, 1)) for b in self.bits]
+        # a distribution is one item of 34 bytes, which NumPy gathers and scatters faster than a row of 17 numbers
+        self.digits = [np.tile((np.arange(17) * (WHOLE // 16)).astype(np.int16), (n << b, 1)).view(ROW)[:, 0] for b in self.bits]
         self.last, self.before = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
         self.range = np.full(n, (1 << 48) - 1, np.uint64)
 
@@ -133,9 +137,16 @@ class _Lanes:
         b = self.bits[level]
         return (lanes << b) + (upper if 4 * level <= DEEP_BITS else upper.astype(np.uint32) * _K1 >> np.uint32(32 - b))
 
+    def rows(self, level: int, at: np.ndarray) -> np.ndarray:
+        return self.digits[level].take(at).view(np.int16).reshape(-1, 17)
+
     def renew(self, level: int, at: np.ndarray, rows: np.ndarray, digit: np.ndarray) -> None:
         k = min(level, 3)
-        self.digits[level][at] = rows + (TARGETS[k][digit] - rows >> RATES[k])
+        new = TARGET_ROWS[k].take(digit).view(np.int16).reshape(-1, 17)
+        new -= rows
+        new >>= RATES[k]
+        new += rows
+        self.digits[level][at] = new.view(ROW)[:, 0]
 
 
 def _levels(ids: np.ndarray) -> int:
@@ -158,8 +169,8 @@ def encode_blocks(blocks: list[np.ndarray], levels: int = 4) -> list[bytes]:
     # words of 16 bits; a 17th bit is a carry into the word before, which is settled at the end
     words, count, low = np.zeros((n, most + 512), np.uint32), np.zeros(n, np.int64), np.zeros(n, np.uint64)
 
-    def shift(at: np.ndarray) -> None:
-        at = at[lanes.range[at] < _LEAST]
+    def shift(at: np.ndarray | None = None) -> None:
+        at = np.flatnonzero(lanes.range < _LEAST) if at is None else at[lanes.range[at] < _LEAST]
         while len(at):
             rest, c = low[at], count[at]
             words[at, c] = rest >> _S32
@@ -184,16 +195,17 @@ def encode_blocks(blocks: list[np.ndarray], levels: int = 4) -> list[bytes]:
         part = lanes.range >> _S16
         low[:n] += part * np.where(hit2, 0, np.where(hit1, lanes.p2, rest)).astype(np.uint64)
         lanes.range = part * np.where(hit2, lanes.p2, np.where(hit1, lanes.p1, 65_536 - rest)).astype(np.uint64)
-        shift(lanes.row)
+        shift()
         at = np.flatnonzero(~(hit2 | hit1))
         if len(at):
-            value, each = own[at], np.arange(len(at))
+            value, each = own[at], np.arange(0, 17 * len(at), 17)
             for k in range(0, levels, 2):
                 ends = []
                 for j in (k, k + 1):
                     digit, place = value >> 4 * (levels - 1 - j) & 15, lanes.place(j, at, value >> 4 * (levels - j))
-                    rows = lanes.digits[j][place]
-                    ends.append((rows[each, digit].astype(np.int64), rows[each, digit + 1].astype(np.int64)))
+                    rows = lanes.rows(j, place)
+                    flat, edge = rows.reshape(-1), each + digit
+                    ends.append((flat.take(edge).astype(np.int64), flat.take(edge + 1).astype(np.int64)))
                     lanes.renew(j, place, rows, digit)
                 (a, b), (c, d) = ends
                 part = lanes.range[at] >> _S28
@@ -224,8 +236,8 @@ def decode_blocks(data: list[bytes], sizes: list[int], levels: int = 4) -> list[
     code, taken = (wide(0) << _S32) | (wide(1) << _S16) | wide(2), np.full(n, 3)
     ids, end = np.zeros((most, n), np.int32), words.shape[1] - 1
 
-    def shift(at: np.ndarray) -> None:
-        at = at[lanes.range[at] < _LEAST]
+    def shift(at: np.ndarray | None = None) -> None:
+        at = np.flatnonzero(lanes.range < _LEAST) if at is None else at[lanes.range[at] < _LEAST]
         while len(at):
             c = taken[at]
             code[at] = (code[at] << _S16) | words[at, np.minimum(c, end)]
@@ -247,20 +259,24 @@ def decode_blocks(data: list[bytes], sizes: list[int], levels: int = 4) -> list[
         hit1 = ~hit2 & (goal < rest)
         code -= part * np.where(hit2, 0, np.where(hit1, lanes.p2, rest)).astype(np.uint64)
         lanes.range = part * np.where(hit2, lanes.p2, np.where(hit1, lanes.p1, 65_536 - rest)).astype(np.uint64)
-        shift(lanes.row)
+        shift()
         own = np.where(hit2, lanes.g2, lanes.g1)
         at = np.flatnonzero(~(hit2 | hit1))
         if len(at):
-            value, each = np.zeros(len(at), np.int32), np.arange(len(at))
+            value, each = np.zeros(len(at), np.int32), np.arange(0, 17 * len(at), 17)
             for k in range(0, levels, 2):
                 part = lanes.range[at] >> _S28
                 goal = np.minimum(code[at] // part, np.uint64((1 << 28) - 1)).astype(np.int64)
                 start, size = np.zeros(len(at), np.int64), np.ones(len(at), np.int64)
                 for j, bits in ((k, 14), (k + 1, 0)):
                     place = lanes.place(j, at, value)
-                    rows = lanes.digits[j][place]
-                    digit = (rows[:, 1:16] <= ((goal - start) // size >> bits)[:, None]).sum(1)
-                    a, b = rows[each, digit].astype(np.int64), rows[each, digit + 1].astype(np.int64)
+                    rows = lanes.rows(j, place)
+                    # the last end of all is above any goal; of the 16 truth values in two words their set bits are counted
+                    goal16 = (goal >> bits if bits else (goal - start) // size).astype(np.int16)
+                    below = np.bitwise_count((rows[:, 1:] <= goal16[:, None]).view(np.uint64))
+                    digit = (below[:, 0] + below[:, 1]).astype(np.int64)
+                    flat, edge = rows.reshape(-1), each + digit
+                    a, b = flat.take(edge).astype(np.int64), flat.take(edge + 1).astype(np.int64)
                     start, size = start + size * (a << bits), size * (b - a)
                     lanes.renew(j, place, rows, digit)
                     value = (value << 4 | digit).astype(np.int32)
@@ -416,6 +432,8 @@ class Memo:
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
+        # a task has one core; the library's threads cost more time than they save
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()

@@ -3,8 +3,11 @@
 import hashlib
 import io
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -252,6 +255,30 @@ def test_range_coder_round_trip(n, high):
     assert [(a, b.tolist()) for a, b in tokenfile.read_file(io.BytesIO(written(rows)))] == rows
 
 
+@pytest.mark.parametrize("levels", [4, 6])
+def test_distributions_are_items(levels):
+    """A distribution is one item that moves as a whole, and learns as by the formula; its ends stay."""
+    rng, lanes = np.random.default_rng(levels), tokenfile._Lanes(50, levels)
+    for level in range(levels):
+        k, size = min(level, 3), len(lanes.digits[level])
+        want = np.tile((np.arange(17) * (tokenfile.WHOLE // 16)).astype(np.int16), (size, 1))
+        for _ in range(40):
+            at, digit = rng.choice(size, 30, replace=False), rng.integers(0, 16, 30)
+            rows = lanes.rows(level, at)
+            assert np.array_equal(rows, want[at])
+            want[at] += tokenfile.TARGETS[k][digit] - want[at] >> tokenfile.RATES[k]
+            lanes.renew(level, at, rows, digit)
+        assert np.array_equal(lanes.rows(level, np.arange(size)), want)
+        assert lanes.digits[level].shape == (size,) and (want[:, 0] == 0).all() and (want[:, 16] == tokenfile.WHOLE).all() and (np.diff(want) > 0).all()
+
+
+def test_library_starts_no_threads():
+    """A task's core is its own: the library doesn't spread a batch of runs over the machine."""
+    code = f"import os; from pulsegrid.llm import tokenfile; m = tokenfile.Memo({VOCAB!r}, 1); n = len(os.listdir('/proc/self/task')); m.encode([f'w{{i}}' for i in range(5000)]); assert len(os.listdir('/proc/self/task')) == n"
+    env = {k: v for k, v in os.environ.items() if k not in ("TOKENIZERS_PARALLELISM", "RAYON_NUM_THREADS")}
+    subprocess.run([sys.executable, "-c", code], check=True, env=env, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), timeout=60)
+
+
 def test_token_documents_over_groups(monkeypatch):
     monkeypatch.setattr(tokenfile, "GROUP_IDS", 1000)
     rng = np.random.default_rng(3)
