@@ -12,8 +12,10 @@ order-0 distributions, four bits at a time.  All arithmetic is in integers, so
 every machine decodes alike.  Ids may have up to 28 bits; larger ones are an
 error.
 
-Blocks are independent, so many blocks are coded in lock step: one NumPy
-operation serves one position of all blocks of a group.
+Tables are coded by the JVM, a block at a time: ``tokencode.java``, which Spark's
+own compiler (Janino) compiles once an application.  The same coder is here in
+NumPy for files outside of Spark and for tests; blocks are independent, so there
+one NumPy operation serves one position of all blocks of a group.
 
 A file holds groups of blocks, then an index of (doc_id, number of ids) with a
 checksum of its own.  Files are in ascending doc_id order inside and among each
@@ -22,8 +24,9 @@ another file after ``FILE_IDS`` ids, and readers hold one group at a time, so
 memory depends neither on the corpus nor on the number of partitions.
 
 The ids are the library's.  It is asked once for each run without white space
-(see ``Memo``), since runs repeat; tests compare with whole texts over all code
-points.
+(see ``Memo``), since runs repeat, and under the splitting rule in ``FINE`` once
+for each word, digit or group of signs of ASCII and Latin-1 letters (see
+``Split`` in ``tokencode.java``); tests compare with whole texts over all code points.
 
 Defined cases: null and empty texts hold the end id only; rows without an id
 come first; rows that repeat an id follow one another in the order of their
@@ -32,19 +35,24 @@ texts; an empty table gives no file; extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import io
+import json
 import os
+import tempfile
 import uuid
+import zipfile
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from math import exp, log
+from string import Template
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import fresh_path, planned_bytes, stored
@@ -57,6 +65,17 @@ GROUP_IDS = LANES * BLOCK_IDS
 FILE_IDS, FILE_DOCS = 8 * GROUP_IDS, 1 << 20
 #: The memo of runs starts anew beyond so many runs or characters; texts are encoded in lots of about so many characters.
 CACHE_RUNS, CACHE_CHARS, LOT_CHARS = 250_000, 16 << 20, 2 << 20
+#: A task's numbers of runs start anew beyond so many runs, or CACHE_CHARS bytes of them.
+TASK_RUNS = 1 << 19
+#: Tables are coded in groups of so many ids: few enough for rows of a table; the JVM needs no lanes.
+ROW_IDS = 1 << 18
+#: The rule under which runs may be cut into words, digits and other signs, and ASCII letters made small, before the library is asked.
+FINE = (
+    ["NFC", ("Replace", "\\s+", " "), "Lowercase"],
+    [("Split", "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+", "Removed", True), ("ByteLevel", False, False)],
+)
+#: Between runs that the library encodes together: a sign that is a piece of its own, and whose id no run has that is without it.
+MARK, MARKED = "\x01", 500
 #: Bytes of input (as the planner estimates it) a partition.
 PARTITION_BYTES = 32 << 20
 
@@ -314,11 +333,15 @@ class Writer:
         self.buffer = np.empty(GROUP_IDS, np.int32)
         out.write(MAGIC)
 
-    def add(self, names: list[int | None], sizes: np.ndarray, flat: np.ndarray) -> None:
+    def note(self, names: list[int | None], sizes: np.ndarray) -> None:
+        """Documents for the index."""
         self.nulls += names.count(None)
         self.names.append(np.array([n or 0 for n in names], "<i8"))
         self.sizes.append(sizes.astype("<i8"))
-        self.docs, self.ids = self.docs + len(names), self.ids + len(flat)
+        self.docs, self.ids = self.docs + len(names), self.ids + int(sizes.sum())
+
+    def add(self, names: list[int | None], sizes: np.ndarray, flat: np.ndarray) -> None:
+        self.note(names, sizes)
         while len(flat):
             part = flat[: GROUP_IDS - self.held]
             self.buffer[self.held : self.held + len(part)] = part
@@ -327,10 +350,14 @@ class Writer:
                 self._close_group()
 
     def _close_group(self) -> None:
-        data = group_bytes(self.buffer[: self.held])
+        self.put(group_bytes(self.buffer[: self.held]))
+        self.held = 0
+
+    def put(self, data: bytes) -> None:
+        """A whole group."""
         self.out.write(data)
         self.groups.append(self.at)
-        self.at, self.held = self.at + len(data), 0
+        self.at += len(data)
 
     def full(self) -> bool:
         return self.ids >= FILE_IDS or self.docs >= FILE_DOCS
@@ -346,10 +373,10 @@ class Writer:
         return self.at + len(index) + len(foot)
 
 
-def read_pieces(f) -> Iterator[tuple[int | None, np.ndarray, bool]]:
-    """(doc_id, some of its ids, whether they are its last) of a seekable file, one group in memory.
+def read_groups(f) -> Iterator[tuple[bytes, list[tuple[int | None, int, bool]]]]:
+    """Each group of a seekable file with (doc_id, number of its ids there, whether they are its last) of its documents.
 
-    Raises ValueError where a checksum fails.
+    Raises ValueError where the file is cut off or the index damaged.
     """
     foot = 40 + len(MAGIC)
     size = f.seek(0, io.SEEK_END) or f.tell()
@@ -367,25 +394,53 @@ def read_pieces(f) -> Iterator[tuple[int | None, np.ndarray, bool]]:
     if zlib.crc32(index) != check:
         raise ValueError("index checksum")
     names, sizes, groups = np.split(np.frombuffer(index, "<i8"), [docs, 2 * docs])
-    ends = [*groups.tolist()[1:n_groups], at]
-    blocks = (_group(f, a, b - a) for a, b in zip(groups.tolist(), ends, strict=True))
-    held = np.zeros(0, np.int32)
-    for i, (name, left) in enumerate(zip(names.tolist(), sizes.tolist(), strict=True)):
-        while left > len(held):
-            if len(held):
-                yield (None if i < nulls else name), held, False
-            left -= len(held)
-            held = next(blocks)
-        yield (None if i < nulls else name), held[:left], True
-        held = held[left:]
-
-
-def _group(f, at: int, size: int) -> np.ndarray:
-    f.seek(at)
-    data = f.read(size)
+    ends = [*groups.tolist()[1:], at][:n_groups]
+    named = ((None if i < nulls else n, s) for i, (n, s) in enumerate(zip(names.tolist(), sizes.tolist(), strict=True)))
+    name, left = next(named, (None, -1))
+    for a, b in zip(groups.tolist(), ends, strict=True):
+        f.seek(a)
+        data = f.read(b - a)
+        room, own = int(_head(data)[1][:, 0].sum(dtype=np.int64)), []
+        while left >= 0 and room:
+            own.append((name, min(left, room), left <= room))
+            room, left = room - own[-1][1], left - own[-1][1]
+            if own[-1][2]:
+                name, left = next(named, (None, -1))
+        if room:
+            raise ValueError("more ids than the index has")
+        yield data, own
+    own = [(name, left, True)] if left >= 0 else []
+    own += [(n, s, True) for n, s in named]
+    if any(s for _, s, _ in own):
+        raise ValueError("fewer ids than the index has")
+    if own:  # empty ones at the end
+        yield b"", own
+
+
+def read_pieces(f) -> Iterator[tuple[int | None, np.ndarray, bool]]:
+    """(doc_id, some of its ids, whether they are its last) of a seekable file, one group in memory.
+
+    Raises ValueError where a checksum fails.
+    """
+    for data, own in read_groups(f):
+        ids, at = _group(data) if data else np.zeros(0, np.int32), 0
+        for name, n, last in own:
+            yield name, ids[at : at + n], last
+            at += n
+
+
+def _head(data: bytes) -> tuple[int, np.ndarray]:
+    """Number of digits, and (ids, bytes, crc) of each block of a group."""
     n, levels = np.frombuffer(data, "<u4", 2).tolist()
     head = np.frombuffer(data, "<u4", 3 * n, 8).reshape(n, 3)
-    ends = 8 + 12 * n + np.cumsum(head[:, 1], dtype=np.int64)
+    if levels not in (4, 6, 8) or 8 + 12 * n + int(head[:, 1].sum(dtype=np.int64)) != len(data) or int(head[:, 0].max(initial=0)) > GROUP_IDS:
+        raise ValueError("blocks of a group")
+    return levels, head
+
+
+def _group(data: bytes) -> np.ndarray:
+    levels, head = _head(data)
+    ends = 8 + 12 * len(head) + np.cumsum(head[:, 1], dtype=np.int64)
     parts = [data[e - s : e] for e, s in zip(ends.tolist(), head[:, 1].tolist(), strict=True)]
     blocks = decode_blocks(parts, head[:, 0].tolist(), levels)
     for b, want in zip(blocks, head[:, 2].tolist(), strict=True):
@@ -396,12 +451,16 @@ def _group(f, at: int, size: int) -> np.ndarray:
 
 def read_file(f) -> Iterator[tuple[int | None, np.ndarray]]:
     """(doc_id, ids) of a seekable file."""
-    pieces = []
-    for name, ids, last in read_pieces(f):
-        pieces.append(ids)
+    return _whole(read_pieces(f))
+
+
+def _whole(pieces: Iterator[tuple[int | None, np.ndarray, bool]]) -> Iterator[tuple[int | None, np.ndarray]]:
+    held = []
+    for name, ids, last in pieces:
+        held.append(ids)
         if last:
-            yield name, pieces[0] if len(pieces) == 1 else np.concatenate(pieces)
-            pieces = []
+            yield name, held[0] if len(held) == 1 else np.concatenate(held)
+            held = []
 
 
 # -- tokenizer and tables -----------------------------------------------
@@ -438,8 +497,42 @@ class Memo:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.odd = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] + list("\x1c\x1d\x1e\x1f")
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 and fine(path) else None
+        self.held, self.old, self.held_chars = {}, {}, 0
         self._start()
 
+    def ask(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each run, all ids).  Runs go to the library together, apart by a mark: a call a run costs half as much again."""
+        if self.mark is None or any(MARK in r for r in runs):
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)]
+            return np.array([len(g) for g in got], np.int64), np.array([i for g in got for i in g], np.int32)
+        lots = [f" {MARK} ".join(runs[i : i + MARKED]) + f" {MARK}" for i in range(0, len(runs), MARKED)]
+        ids = np.concatenate([np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(lots, add_special_tokens=False)])
+        ends = np.flatnonzero(ids == self.mark)
+        if len(ends) != len(runs):
+            raise ValueError("the vocabulary joins runs across white space")
+        return np.diff(ends, prepend=-1) - 1, ids[ids != self.mark]
+
+    def recall(self, runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for runs in UTF-8; ids are held from task to task, in two generations of the memo's bounds: those still in use move on."""
+        if len(self.held) > CACHE_RUNS or self.held_chars > CACHE_CHARS:
+            self.old, self.held, self.held_chars = self.held, {}, 0
+        held, old, new = self.held, self.old, []
+        for r in dict.fromkeys(runs):
+            if r not in held:
+                self.held_chars += len(r)
+                if r in old:
+                    held[r] = old[r]
+                else:
+                    new.append(r)
+        if new:
+            sizes, ids = self.ask([r.decode() for r in new])
+            data, ends = ids.tobytes(), (4 * np.cumsum(sizes)).tolist()
+            held.update((r, data[a:b]) for r, a, b in zip(new, [0, *ends], ends, strict=False))
+        got = [held[r] for r in runs]
+        return np.array([len(g) >> 2 for g in got], np.int64), np.frombuffer(b"".join(got), np.int32)
+
     def _start(self) -> None:
         self.slots, self.chars = _Slots(), 0
         self.slots[None] = 0  # ends a document
@@ -456,11 +549,10 @@ class Memo:
             last.append(len(runs))
         at = np.fromiter(map(self.slots.__getitem__, runs), np.int64, len(runs))
         if self.slots.fresh:
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(self.slots.fresh, add_special_tokens=False)]
-            size = np.array([len(g) for g in got])
+            size, ids = self.ask(self.slots.fresh)
             self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(size) - size])
             self.size = np.concatenate([self.size, size])
-            self.ids = np.concatenate([self.ids, np.array([i for g in got for i in g], np.int32)])
+            self.ids = np.concatenate([self.ids, ids])
             self.chars += sum(map(len, self.slots.fresh))
             self.slots.fresh = []
         size = self.size[at]
@@ -474,19 +566,133 @@ def memo(path: str, end_id: int) -> Memo:
     return Memo(path, end_id)
 
 
-def _lots(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
-    """(ids, texts) of rows that have about ``LOT_CHARS`` characters together."""
+def fine(path: str) -> bool:
+    """Whether the vocabulary has the splitting rule and normaliser of ``FINE``."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    try:
+        nfc, replace, lower = spec["normalizer"]["normalizers"]
+        split, level = spec["pre_tokenizer"]["pretokenizers"]
+        own = (
+            [nfc["type"], (replace["type"], replace["pattern"]["Regex"], replace["content"]), lower["type"]],
+            [(split["type"], split["pattern"]["Regex"], split["behavior"], split["invert"]), (level["type"], level["add_prefix_space"], level["use_regex"])],
+        )
+    except (KeyError, TypeError, ValueError):
+        return False
+    return own == FINE
+
+
+class Runs:
+    """The ids of one task's texts, from the numbers that ``Split`` gives their runs."""
+
+    def __init__(self, own: Memo):
+        self.own = own
+        self._start()
+
+    def _start(self) -> None:
+        self.begin, self.size, self.ids = np.array([0], np.int32), np.array([1], np.int32), np.array([self.own.end_id], np.int32)
+
+    def encode(self, rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of each text with its end id, all ids)."""
+        out, at, fresh = [], [], []
+        for row in rows:
+            known, new, n = np.frombuffer(row, "<i4", 3).tolist()
+            if known != len(self.size) - 1 + len(fresh):
+                if known:
+                    raise ValueError("runs are not in the order of their numbers")
+                if at:
+                    out.append(self._ids(at, fresh))
+                    at, fresh = [], []
+                self._start()
+            if new:
+                ends = (12 + 4 * (new + n) + np.cumsum(np.frombuffer(row, "<i4", new, 12))).tolist()
+                fresh += [row[a:b] for a, b in zip([12 + 4 * (new + n), *ends], ends, strict=False)]
+            at.append(np.frombuffer(row, "<i4", n, 12 + 4 * new))
+        out.append(self._ids(at, fresh))
+        return (np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])) if len(out) > 1 else out[0]
+
+    def _ids(self, at: list[np.ndarray], fresh: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if fresh:
+            size, ids = self.own.recall(fresh)
+            self.begin = np.concatenate([self.begin, (len(self.ids) + np.cumsum(size) - size).astype(np.int32)])
+            self.size = np.concatenate([self.size, size.astype(np.int32)])
+            self.ids = np.concatenate([self.ids, ids])
+        last = np.cumsum([len(x) for x in at]) - 1
+        at = np.concatenate(at)
+        size = self.size.take(at)
+        ends = np.cumsum(size, dtype=np.int32)
+        place = np.repeat(self.begin.take(at) - ends + size, size)
+        place += np.arange(len(place), dtype=np.int32)
+        return np.diff(ends[last].astype(np.int64), prepend=0), self.ids.take(place)
+
+
+# -- code of the JVM -----------------------------------------------------
+
+_classes: dict[str, str] = {}
+
+
+def _hex(numbers) -> str:
+    return "".join(f"{int(x) & 0xFFFF:04x}" for x in np.asarray(numbers).reshape(-1))
+
+
+def _package(spark: SparkSession) -> str:
+    """The package of the classes of ``tokencode.java``, compiled for this application and known to its executors."""
+    app = spark.sparkContext.applicationId
+    if app not in _classes:
+        with open(os.path.join(os.path.dirname(__file__), "tokencode.java"), encoding="utf-8") as f:
+            source = f.read()
+        values = {
+            "PAIR_BITS": PAIR_BITS, "LAST_BITS": LAST_BITS, "OFTEN_BITS": OFTEN_BITS, "DEEP_BITS": DEEP_BITS, "WHOLE": WHOLE,
+            "STRETCH": _hex(STRETCH), "SQUASH": _hex(SQUASH), "RATES": _hex(RATES), "TARGETS": _hex(TARGETS), "TASK_RUNS": TASK_RUNS, "CACHE_CHARS": CACHE_CHARS,
+        }
+        package = "pulsegrid_" + hashlib.sha256((source + repr(values)).encode()).hexdigest()[:16]
+        compiler = spark._jvm.org.codehaus.janino.SimpleCompiler()
+        compiler.setParentClassLoader(spark._jvm.java.lang.Thread.currentThread().getContextClassLoader())
+        compiler.cook(Template(source).substitute(values, PACKAGE=package))
+        code = compiler.getBytecodes()
+        jar = os.path.join(tempfile.mkdtemp(prefix="pulsegrid-"), f"{package}.jar")
+        with zipfile.ZipFile(jar, "w") as z:
+            for name in code.keySet():
+                z.writestr(f"{name.replace('.', '/')}.class", bytes(code[name]))
+        spark._jsparkSession.sessionState().resourceLoader().addJar(f"file://{jar}")  # the driver hands it to executors
+        _classes[app] = package
+    return _classes[app]
+
+
+def _instance(spark: SparkSession, name: str):
+    return spark._jsparkSession.sharedState().jarClassLoader().loadClass(f"{_package(spark)}.TokenCode${name}").newInstance()
+
+
+def _called(spark: SparkSession, instance, column: str) -> Column:
+    """``instance`` on a column of binaries, once a row and in the order of rows."""
+    from pyspark.sql.classic.column import Column as Classic
+    from pyspark.sql.classic.column import _to_seq
+
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    named, types, values = jvm.java.lang.Class.forName, gateway.new_array(jvm.java.lang.Class, 2), gateway.new_array(jvm.java.lang.Object, 2)
+    types[0], types[1] = named("org.apache.spark.sql.api.java.UDF1"), named("org.apache.spark.sql.types.DataType")
+    values[0], values[1] = instance, jvm.org.apache.spark.sql.types.DataTypes.BinaryType
+    # by its signature: from among the functions named udf the gateway takes any that fits
+    function = named("org.apache.spark.sql.functions").getMethod("udf", types).invoke(None, values)
+    return Classic(function.asNondeterministic().apply(_to_seq(spark.sparkContext, [F.col(column)._jc])))
+
+
+# -- tables --------------------------------------------------------------
+
+
+def _lots(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
+    """(ids, runs) of rows that have about ``LOT_CHARS`` runs together."""
     for b in batches:
-        names, texts, chars = [], [], 0
-        for name, text in zip(b.column(0), b.column(1), strict=True):
-            names.append(name.as_py())
-            texts.append(text.as_py())
-            chars += len(texts[-1])
-            if chars > LOT_CHARS:
-                yield names, texts
-                names, texts, chars = [], [], 0
+        names, rows, size = [], [], 0
+        for name, row in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            names.append(name)
+            rows.append(row.as_py())
+            size += len(rows[-1])
+            if size > 4 * LOT_CHARS:
+                yield names, rows
+                names, rows, size = [], [], 0
         if names:
-            yield names, texts
+            yield names, rows
 
 
 def write_ids(docs: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -499,59 +705,123 @@ def write_ids(docs: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id
     folder = fresh_path(spark, "token-ids")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(100_000, planned_bytes(docs) // PARTITION_BYTES))
-    rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").select("doc_id", F.col("text").cast("binary").alias("text"))
+    split = _instance(spark, "Split")
+    with open(path, encoding="utf-8") as f:
+        for token in json.load(f).get("added_tokens") or []:
+            split = split.whole(bytearray(token["content"].encode()))
+    split = split.fine() if fine(path) else split
+    kind, types = "names array<long>, sizes array<long>, ids binary, full boolean", [pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.bool_()]
+
+    def ids(batches):
+        """Groups of ids, and the documents that end in them; the last group of a file is marked."""
+        runs, names, sizes, held, size, docs, total = Runs(memo(path, end_id)), [], [], [], 0, 0, 0
+
+        def group(n, full):
+            nonlocal names, sizes, held, size
+            flat = np.concatenate(held) if len(held) > 1 else held[0]  # of a long document the rest is not copied again and again
+            own, held, size = flat[:n], [flat[n:]], size - n
+            data = np.array([_levels(own), BLOCK_IDS], "<i4").tobytes() + own.astype("<i4", copy=False).tobytes()
+            row = [pa.array([x], t) for x, t in zip((names, sizes, data, full), types, strict=True)]
+            names, sizes = [], []
+            return pa.RecordBatch.from_arrays(row, names=["names", "sizes", "ids", "full"])
+
+        for own, rows in _lots(batches):
+            each, flat = runs.encode(rows)
+            names, held, size = names + own, [*held, flat], size + len(flat)
+            sizes += each.tolist()
+            docs, total = docs + len(own), total + len(flat)
+            full = total >= FILE_IDS or docs >= FILE_DOCS
+            while size > ROW_IDS:
+                yield group(ROW_IDS, False)
+            if full:
+                yield group(size, True)
+                docs = total = 0
+        if size:
+            yield group(size, True)
 
     def run(batches):
-        own, part, done, writer = memo(path, end_id), TaskContext.get().partitionId(), [], None
+        part, done, writer = TaskContext.get().partitionId(), [], None
         fs, base = pyarrow.fs.FileSystem.from_uri(folder)
         fs.create_dir(base, recursive=True)
-
-        def finish():
-            size = writer.close()
-            writer.out.close()
-            done[-1] += [writer.docs, writer.ids, size]
-
-        for names, texts in _lots(batches):
-            if writer is None:
-                name = f"ids-{uuid.uuid4().hex}.bin"
-                writer = Writer(fs.open_output_stream(f"{base}/{name}", compression=None))
-                done.append([f"{folder}/{name}", part, len(done), names[0]])
-            writer.add(names, *own.encode(texts))
-            if writer.full():
-                finish()
-                writer = None
-        if writer is not None:
-            finish()
+        for b in batches:
+            for row in b.to_pylist():
+                if writer is None:
+                    name = f"ids-{uuid.uuid4().hex}.bin"
+                    writer = Writer(fs.open_output_stream(f"{base}/{name}", compression=None))
+                    done.append([f"{folder}/{name}", part, len(done), row["names"][0]])
+                writer.note(row["names"], np.array(row["sizes"], "<i8"))
+                writer.put(row["ids"])
+                if row["full"]:
+                    size = writer.close()
+                    writer.out.close()
+                    done[-1] += [writer.docs, writer.ids, size]
+                    writer = None
         if done:
             types = [pa.string(), *[pa.int64()] * 6]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), types, strict=True)], names=["file", "part", "number", "first_id", "docs", "ids", "bytes"])
 
-    manifest = stored(rows.mapInArrow(run, "file string, part long, number long, first_id long, docs long, ids long, bytes long"), "token-manifest")
+    groups = rows.select("doc_id", _called(spark, split, "text").alias("runs")).mapInArrow(ids, kind)
+    groups = groups.select("names", "sizes", _called(spark, _instance(spark, "Encode"), "ids").alias("ids"), "full")
+    manifest = stored(groups.mapInArrow(run, "file string, part long, number long, first_id long, docs long, ids long, bytes long"), "token-manifest")
     # one row a file: the running sum over files is small whatever the corpus
     before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0)))
 
 
-def _read(manifest: DataFrame, rows: Callable[[object, int], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """Run ``rows`` on each file and the number of its first id; a task holds one file open."""
+def _read(manifest: DataFrame, rows: Callable[[Iterator[tuple[int | None, np.ndarray, bool]], int], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Run ``rows`` on the pieces of each file (as of ``read_pieces``) and the number of its first id; a task holds one file open."""
+    spark = manifest.sparkSession
 
-    def run(batches):
+    def groups(batches):
+        types = [pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary()]
         for b in batches:
             for file, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 fs, path = pyarrow.fs.FileSystem.from_uri(file)
                 with fs.open_input_file(path) as f:
-                    yield from rows(f, start)
+                    first = True
+                    for data, own in read_groups(f):
+                        row = (start, first, *map(list, zip(*own, strict=True)), data or group_bytes(np.zeros(0, np.int32)))
+                        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=["start", "first", "names", "sizes", "last", "data"])
+                        first = False
+
+    def run(batches):
+        def own():
+            """Rows of groups, file by file."""
+            for b in batches:
+                for i in range(b.num_rows):
+                    yield {c: b.column(k)[i] for k, c in enumerate(b.schema.names)}
+
+        def pieces():
+            nonlocal row
+            while row is not None:
+                if not row["data"].is_valid:
+                    raise ValueError("block checksum")
+                ids, at = np.frombuffer(row["data"].as_buffer(), "<i4"), 0
+                for name, n, last in zip(row["names"].as_py(), row["sizes"].as_py(), row["last"].as_py(), strict=True):
+                    yield name, ids[at : at + n], last
+                    at += n
+                row = next(every, None)
+                if row is None or row["first"].as_py():
+                    return
+
+        every = own()
+        row = next(every, None)
+        while row is not None:
+            yield from rows(pieces(), row["start"].as_py())
 
     n = max(1, min(manifest.count(), 100_000))
-    return manifest.select("file", "start").repartition(n).mapInArrow(run, schema)
+    read = manifest.select("file", "start").repartition(n).mapInArrow(groups, "start long, first boolean, names array<long>, sizes array<long>, last array<boolean>, data binary")
+    read = read.select("start", "first", "names", "sizes", "last", _called(spark, _instance(spark, "Decode"), "data").alias("data"))
+    return read.mapInArrow(run, schema)
 
 
 def read_ids(manifest: DataFrame) -> DataFrame:
     """(doc_id, start, ids array<int>) of every document, decoded from the files."""
 
-    def rows(f, start):
+    def rows(pieces, start):
         held, size = [], 0
-        for name, ids in read_file(f):
+        for name, ids in _whole(pieces):
             held.append((name, start, ids))
             start, size = start + len(ids), size + len(ids)
             if size > 500_000:
@@ -576,9 +846,9 @@ def read_checksums(manifest: DataFrame) -> DataFrame:
     the task, and a document longer than a group is not put together.
     """
 
-    def rows(f, start):
+    def rows(pieces, start):
         held, n, sum_ = [], 0, 0
-        for name, ids, last in read_pieces(f):
+        for name, ids, last in pieces:
             n, sum_ = n + len(ids), crc(ids, sum_)
             if last:
                 held.append((name, start, n, sum_))

@@ -314,6 +314,67 @@ def test_memo_equals_whole_texts():
         assert sizes.tolist() == [len(w) for w in want] and flat.tolist() == [i for w in want for i in w]
 
 
+def in_jvm(spark, name, rows):
+    got = spark.createDataFrame([(i, bytearray(r)) for i, r in enumerate(rows)], "i int, data binary").select("i", tokenfile._called(spark, tokenfile._instance(spark, name), "data").alias("data"))
+    return [bytes(r.data) if r.data is not None else None for r in sorted(got.collect())]
+
+
+def test_jvm_coder_equals_numpy(spark, monkeypatch):
+    """The JVM writes the bytes of the NumPy coder and reads them; carries, ids of all sizes, predictable and random ones."""
+    monkeypatch.setattr(tokenfile, "LANES", 8)
+    rng, cases = np.random.default_rng(5), []
+    for high in (2, 40, 60_000, 1 << 20, 1 << 28):
+        text = np.concatenate([rng.integers(0, high, 1500), np.tile(rng.integers(0, high, 7), 400), np.repeat(high - 1, 900), rng.zipf(1.3, 2000) % high])
+        cases += [text.astype(np.int32), text[:1].astype(np.int32)]
+    block = [min(tokenfile.BLOCK_IDS, max(tokenfile.LEAST_BLOCK, -(-len(c) // tokenfile.LANES))) for c in cases]
+    groups = [tokenfile.group_bytes(c) for c in cases]
+    heads = [np.array([tokenfile._levels(c), b], "<i4").tobytes() for c, b in zip(cases, block, strict=True)]
+    assert in_jvm(spark, "Encode", [h + c.tobytes() for h, c in zip(heads, cases, strict=True)]) == groups
+    assert in_jvm(spark, "Decode", groups) == [c.tobytes() for c in cases]
+    damaged = bytearray(groups[4])
+    damaged[-20] ^= 4
+    assert in_jvm(spark, "Decode", [damaged]) == [None]
+
+
+def test_cut_runs_equal_whole_texts(spark, monkeypatch):
+    """Words, digits and signs give the ids of whole texts: all code points beside letters, digits, apostrophes and white space; also if numbers start anew."""
+    monkeypatch.setattr(tokenfile, "_classes", {})
+    monkeypatch.setattr(tokenfile, "TASK_RUNS", 5000)
+    t = Tokenizer.from_file(VOCAB)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"A{c}b {c} É{c}1 {c}É" for c in points[i : i + 200]) for i in range(0, len(points), 200)]
+    texts += [f"don't DON'T 'S x'sé ÀÈ×Ü÷ß a1b22 $$a--B '{o} a{o}b É{o}\x01 \x1cA\x85B\xa0C \u0301a e\u0301 E\u0301X" for o in ("<|endoftext|>", "<|startoftext|>'s", "<|", "")]
+    texts += ["".join(random.Random(i).choices("aAzZéÉÿß×÷19'$-. \t\n\u0301", k=300)) for i in range(200)] + [None, "", " ", "\x01 a \x01"]
+    rows = docs(spark, texts, True)
+    got = {r.doc_id: r.ids for r in tokenfile.read_ids(tokenfile.write_ids(rows, VOCAB)).collect()}
+    want = t.encode_batch_fast([x or "" for x in texts], add_special_tokens=False)
+    assert len(got) == len(texts) and all(got[i] == w.ids + [1] for i, w in enumerate(want))
+
+
+def test_library_is_asked_once_for_runs_in_use(monkeypatch):
+    monkeypatch.setattr(tokenfile, "CACHE_RUNS", 40)
+    own, asked = tokenfile.Memo(VOCAB, 1), []
+    monkeypatch.setattr(own, "ask", lambda runs, ask=own.ask: asked.extend(runs) or ask(runs))
+    for i in range(20):
+        runs = [b"often", b"used"] + [f"rare{i}x{j}".encode() for j in range(30)]
+        sizes, ids = own.recall(runs)
+        want = [own.tokenizer.encode(r.decode(), add_special_tokens=False).ids for r in runs]
+        assert sizes.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+        assert len(own.held) + len(own.old) <= 2 * (40 + 32)
+    assert asked.count("often") == asked.count("used") == 1
+
+
+def test_table_reader_finds_damage(spark):
+    manifest = tokenfile.write_ids(docs(spark, near_copies(3)), VOCAB)
+    path = manifest.first().file.removeprefix("file://")
+    data = bytearray(open(path, "rb").read())
+    data[len(tokenfile.MAGIC) + 60] ^= 16
+    with open(path, "wb") as f:
+        f.write(data)
+    with pytest.raises(Exception, match="checksum|blocks of a group"):
+        tokenfile.read_checksums(manifest).collect()
+
+
 def test_bpe_equals_library(spark):
     texts = near_copies(2) + ["".join(random.Random(i).choices("aAbΣσİıﬁ'sré́̈ \t\x1c\x85​09٣①日🙂_-#!<|>", k=60)) for i in range(60)]
     t = Tokenizer.from_file(VOCAB)
