@@ -22,8 +22,8 @@ def vocal_summary(frames: DataFrame, silence: DataFrame, by: list[str], frame: s
     columns = [c for c in FRAMEWISE if c in frames.columns]
     size = frames.groupBy(*by).agg(F.count("*").alias("n_frames"), A.unvoiced_share(F.col("f0")).alias("silence_ratio"))
     speech = S.speech_runs(silence, size, by, "pause_start", "pause_end", rate=rate).withColumnRenamed("frame_idx", frame)
-    spoken = frames.join(speech, [*by, frame], "left_semi")
-    own = spoken if voiced else frames
+    spoken = A.in_sequence(frames.join(speech, [*by, frame], "left_semi"), by, [frame])
+    own = spoken if voiced else A.in_sequence(frames, by, [frame])
     ratio = lambda c: F.stddev_pop(c) / F.nullif(F.avg(c), F.lit(0.0))
     relative = spoken.groupBy(*by).agg(ratio("f0").alias("rel_f0_sd"), ratio("loudness").alias("rel_se0_sd"))
     pauses = A.silence_summary(silence.join(size.select(*by, (F.col("n_frames") / rate).alias("_s")), by), by, "pause_duration", F.first("_s"))
