@@ -21,8 +21,12 @@ def event_stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def hourly_counts(spark: SparkSession, path: str, delay: str = "10 minutes") -> DataFrame:
+    """Events and the sum of their values by user and hour; values are kept with their ids and summed in that order, in whatever order they come."""
     s = event_stream(spark, path).withWatermark("at", delay)
-    return s.groupBy("user_id", F.window("at", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select("user_id", F.col("w.start").alias("hour"), "n", "total")
+    values = F.collect_list(F.when(F.col("value").isNotNull(), F.struct("event_id", "value"))).alias("x")
+    got = s.groupBy("user_id", F.window("at", "1 hour").alias("w")).agg(F.count("*").alias("n"), values)
+    total = F.when(F.size("x") > 0, F.aggregate(F.array_sort("x"), F.lit(0.0), lambda s, p: s + p["value"]))
+    return got.select("user_id", F.col("w.start").alias("hour"), "n", total.alias("total"))
 
 
 def presence_sessions(spark: SparkSession, path: str, gap: str = "6 hours", delay: str = "10 minutes") -> DataFrame:
