@@ -8,26 +8,61 @@ import numpy as np
 
 def align(ref: list[str], hyp: list[str]) -> tuple[int, list[tuple[int, int]]]:
     """Word edit distance and the aligned index pairs (-1 for none); on ties insertion, then deletion, then the diagonal."""
-    n, m = len(ref), len(hyp)
+    (r, h), n, m = _codes(ref, hyp), len(ref), len(hyp)
+    # costs less the column: insertions don't change them, so the least of any way in is a running minimum
     cost = np.zeros((n + 1, m + 1), np.int32)
-    cost[:, 0], cost[0] = np.arange(n + 1), np.arange(m + 1)
+    cost[:, 0] = np.arange(n + 1)
+    same = (r[:, None] == h).astype(np.int32)
     for i in range(1, n + 1):
-        diag = cost[i - 1, :-1] + np.array([ref[i - 1] != h for h in hyp], np.int32)
-        best = np.minimum(diag, cost[i - 1, 1:] + 1)
-        # the least of best[k] + (j - k) over k <= j: insertions after any way in
-        cost[i, 1:] = np.minimum.accumulate(np.concatenate([cost[i, :1], best - np.arange(1, m + 1)]))[1:] + np.arange(1, m + 1)
+        np.minimum(cost[i - 1, :-1] - same[i - 1], cost[i - 1, 1:] + 1, out=cost[i, 1:])
+        np.minimum.accumulate(cost[i], out=cost[i])
     pairs, i, j = [], n, m
+    row, above = cost[n].tolist(), cost[n - 1].tolist() if n else []
     while i or j:
-        if j and cost[i, j] == cost[i, j - 1] + 1:
+        if j and row[j] == row[j - 1]:
             j -= 1
             pairs.append((-1, j))
-        elif i and cost[i, j] == cost[i - 1, j] + 1:
-            i -= 1
-            pairs.append((i, -1))
+            continue
+        if not (i and row[j] == above[j] + 1):
+            j -= 1
+            pairs.append((i - 1, j))
         else:
-            i, j = i - 1, j - 1
-            pairs.append((i, j))
-    return int(cost[n, m]), pairs[::-1]
+            pairs.append((i - 1, -1))
+        i -= 1
+        row, above = above, cost[i - 1].tolist() if i else []
+    return int(cost[n, m]) + m, pairs[::-1]
+
+
+def _codes(ref: list[str], hyp: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers for words, equal where the words are."""
+    number: dict[str, int] = {}
+    return tuple(np.fromiter((number.setdefault(w, len(number)) for w in x), np.int32, len(x)) for x in (ref, hyp))
+
+
+def aligned_words(ref: list[str], hyp: list[str]) -> tuple[int, int]:
+    """The cost and the number of pairs of words of ``align``; for long texts from two rows at a time, so that memory grows with one text, not with both."""
+    if len(ref) * len(hyp) <= 1 << 20:
+        cost, pairs = align(ref, hyp)
+        return cost, sum(i >= 0 and j >= 0 for i, j in pairs)
+    return _aligned_by_rows(ref, hyp)
+
+
+def _aligned_by_rows(ref: list[str], hyp: list[str]) -> tuple[int, int]:
+    r, h = _codes(ref, hyp)
+    at = np.arange(len(h) + 1, dtype=np.int32)
+    cost, pairs = np.zeros(len(h) + 1, np.int32), np.zeros(len(h) + 1, np.int32)
+    for i, word in enumerate(r, 1):
+        down = cost + 1
+        new = np.empty_like(cost)
+        new[0] = i
+        np.minimum(cost[:-1] - (h == word), down[1:], out=new[1:])
+        np.minimum.accumulate(new, out=new)
+        found = pairs.copy()
+        found[1:] = np.where(new[1:] == down[1:], pairs[1:], pairs[:-1] + 1)
+        way = at.copy()
+        way[1:][new[1:] == new[:-1]] = 0
+        pairs, cost = found[np.maximum.accumulate(way)], new
+    return int(cost[-1]) + len(h), int(pairs[-1])
 
 
 def transferred_speakers(ref: list[str], ref_speakers: list[int], hyp: list[str], hyp_speakers: list[int]) -> list[int]:
@@ -94,6 +129,38 @@ def gaussian_mixture(x: np.ndarray, rounds: int = 100) -> np.ndarray:
     return out
 
 
+def gaussian_mixtures(x: np.ndarray, sizes: np.ndarray, rounds: int = 100) -> np.ndarray:
+    """``gaussian_mixture`` of each of many short series, laid end to end: all go through a round at once; equal but for the last digits."""
+    out, of = np.full(len(x), np.nan), np.repeat(np.arange(len(sizes)), sizes)
+    ok = np.isfinite(x)
+    ok &= (np.bincount(of[ok], minlength=len(sizes)) >= 2)[of]
+    at, v = np.flatnonzero(ok), x[ok]
+    n = np.bincount(of[ok], minlength=len(sizes))
+    n = n[n > 0]
+    if not len(n):
+        return out
+    each = np.split(v, np.cumsum(n)[:-1])
+    mean, var, share = np.array([np.quantile(e, [0.25, 0.75]) for e in each]), np.array([np.full(2, e.var() + 1e-6) for e in each]), np.full((len(n), 2), 0.5)
+    for k in range(rounds):
+        first, one = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
+        logs = (np.log(share + 1e-300) - 0.5 * np.log(2 * np.pi * var))[one] - (v[:, None] - mean[one]) ** 2 / (2 * var)[one]
+        p = np.exp(logs - logs.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        weight = np.add.reduceat(p, first) + 1e-12
+        new = np.add.reduceat(p * v[:, None], first) / weight
+        var, share = np.add.reduceat(p * (v[:, None] - new[one]) ** 2, first) / weight + 1e-6, weight / n[:, None]
+        done, mean = np.abs(new - mean).max(1) < 1e-9, new
+        if k == rounds - 1:
+            done[:] = True
+        if done.any():
+            ends = done[one]
+            out[at[ends]] = p[ends, mean.argmax(1)[one[ends]]]
+            v, at, n, mean, var, share = v[~ends], at[~ends], n[~done], mean[~done], var[~done], share[~done]
+            if not len(n):
+                break
+    return out
+
+
 def kmeans(x: np.ndarray, k: int, rounds: int = 50) -> np.ndarray:
     """Cluster numbers; centres start from the farthest points, so the result is the same on every run."""
     if len(x) <= k:

@@ -4,26 +4,29 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import numeric as N
 from ..functions import text as T
 from ..operators import series as S
+from ..operators import stats as A
 from . import catalogue as C
 
 
 def edit_alignment(spark, sf_dir):
     """Word edit distance of each turn to the text of the next turn of its conversation."""
 
-    @F.pandas_udf("cost int, aligned int")
-    def distance(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        got = [N.align(list(x), list(y)) for x, y in zip(a, b, strict=True)]
-        return pd.DataFrame({"cost": [c for c, _ in got], "aligned": [sum(i >= 0 and j >= 0 for i, j in p) for _, p in got]})
+    def distances(batches):
+        for b in batches:  # one pair of texts at a time becomes words of Python
+            got = [N.aligned_words(x.as_py(), y.as_py()) for x, y in zip(b.column("w"), b.column("nw"), strict=True)]
+            cost, aligned = (pa.array([g[k] for g in got], pa.int32()) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("turn"), cost, aligned], ["conv_id", "turn", "cost", "aligned"])
 
     c = C.table(spark, sf_dir, "conversations").select("conv_id", "turn", T.tokens(F.col("text")).alias("w"))
     c = c.withColumn("nw", F.lead("w").over(S.in_order(["conv_id"], ["turn"]))).where("nw is not null")
-    return c.withColumn("d", distance("w", "nw")).select("conv_id", "turn", "d.cost", "d.aligned")
+    return c.mapInArrow(distances, "conv_id long, turn long, cost int, aligned int")
 
 
 def _per_recording(spark, sf_dir, run, schema):
@@ -41,7 +44,33 @@ def blinks(spark, sf_dir):
 
 
 def gmm_speaking(spark, sf_dir):
-    return _per_recording(spark, sf_dir, lambda p: p[["user_id", "event_id"]].assign(probability=N.gaussian_mixture(p.value.rolling(3, min_periods=2).std().to_numpy())), "user_id long, event_id long, probability double")
+    """Mixtures of many recordings at a time; only one of them need fit into a task."""
+
+    def run(batches):
+        for p in _whole_recordings(batches):
+            step = p.groupby("user_id", sort=False, dropna=False).value.rolling(3, min_periods=2).std().to_numpy()
+            sizes = p.groupby("user_id", sort=False, dropna=False).size().to_numpy()
+            yield p[["user_id", "event_id"]].assign(probability=N.gaussian_mixtures(step, sizes))
+
+    e = A.in_sequence(C.words(spark, sf_dir).select("user_id", "event_id", "t", "value"), C.BY, C.ORDER)
+    return e.mapInPandas(run, "user_id long, event_id long, probability double")
+
+
+def _whole_recordings(batches):
+    """Frames in order of recordings, cut anew so that none is split; the last one waits for the next batch."""
+    held = []
+    for b in batches:
+        if not len(b):
+            continue
+        ids = b.user_id.fillna(np.inf).to_numpy()  # no key is infinite
+        rest = ids == ids[-1]
+        if rest.all() and (not held or held[-1].user_id.fillna(np.inf).iloc[-1] == ids[-1]):
+            held.append(b)
+            continue
+        yield pd.concat([*held, b[~rest]], ignore_index=True)
+        held = [b[rest]]
+    if held:
+        yield pd.concat(held, ignore_index=True)
 
 
 def kalman_smoothing(spark, sf_dir):

@@ -280,3 +280,41 @@ def test_stream_returns_every_window(spark, tmp_path, parts):
     assert got.keys() == want.keys() and sum(k[2] for k in got) == e.count()
     assert all(got[k] == pytest.approx(want[k]) for k in want)
     assert run_once(distinct_events(spark, src), "d", f"file://{tmp_path}", "append").count() == e.select("event_id").distinct().count()
+
+
+def test_alignment_by_rows_needs_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        a, b = (list(rng.choice(list("abcd"), rng.integers(0, 12))) for _ in range(2))
+        cost, pairs = N.align(a, b)
+        assert N._aligned_by_rows(a, b) == N.aligned_words(a, b) == (cost, sum(i >= 0 and j >= 0 for i, j in pairs))
+    long = [f"w{i}" for i in rng.integers(0, 40, 1500)]
+    tracemalloc.start()
+    N.aligned_words(long, long[::-1])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2e6
+
+
+def test_mixtures_of_many_are_those_of_each():
+    rng = np.random.default_rng(1)
+    sizes = np.r_[rng.integers(0, 60, 50), 1, 0, 2, 3]
+    x = rng.gamma(2, 3, sizes.sum())
+    x[rng.random(len(x)) < 0.1] = np.nan
+    want = np.concatenate([N.gaussian_mixture(e) for e in np.split(x, np.cumsum(sizes)[:-1])])
+    np.testing.assert_allclose(N.gaussian_mixtures(x, sizes), want, atol=1e-9)
+
+
+def test_recordings_are_whole_in_frames():
+    import pandas as pd
+
+    from pulsegrid.plans.models import _whole_recordings
+
+    whole = pd.DataFrame({"user_id": [1, 1, 1, 2, 3, 3, 3, 3, None, None], "x": range(10)})
+    for size in range(1, 11):
+        got = list(_whole_recordings(whole.iloc[i : i + size] for i in range(0, 10, size)))
+        assert pd.concat(got).x.tolist() == list(range(10))
+        of = [set(g.user_id.fillna(-1)) for g in got]
+        assert sum(map(len, of)) == 4
