@@ -21,6 +21,15 @@ def containment_join(words: DataFrame, segments: DataFrame, by: list[str], bucke
     return w.join(s, [*by, "_bucket"]).where(inside).drop("_bucket")
 
 
+def spread(points: DataFrame, by: list[str], rows: int = 100_000) -> DataFrame:
+    """Points by recording, in enough partitions for about ``rows`` of them a task where the session's number gives a task more.
+
+    A point may become many windows, and all of a task's windows are summed in its memory.
+    """
+    n = -(-points.count() // rows)
+    return points.repartition(n, *by) if n > int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")) else points
+
+
 def split_by_window(segments: DataFrame, start: str, end: str, width: int) -> DataFrame:
     """A row for each window of ``width`` that a segment overlaps, with the clipped part: linear, no theta join.
 

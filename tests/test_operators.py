@@ -307,6 +307,13 @@ def test_mixtures_of_many_are_those_of_each():
     np.testing.assert_allclose(N.gaussian_mixtures(x, sizes), want, atol=1e-9)
 
 
+def test_partitions_grow_with_the_points(spark):
+    df = spark.range(1000).selectExpr("id % 50 r", "id t")
+    got = I.spread(df, ["r"], 10)
+    assert got.rdd.getNumPartitions() == 100 and got.count() == 1000
+    assert I.spread(df, ["r"], 1000) is df
+
+
 def test_recordings_are_whole_in_frames():
     import pandas as pd
 
